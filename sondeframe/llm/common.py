@@ -99,3 +99,30 @@ def _bitmap_word(h: Column) -> Column:
 
 def _bitmap_bit(h: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+
+def kth_largest(df: DataFrame, key: str, k: int, buckets: int = 4096, few: int = 10_000) -> float | None:
+    """The k-th largest value of a double column; None where there are fewer rows.
+
+    Rounds of histograms of bounded size narrow the range; at most ``few`` rows
+    come to the driver at the end.
+    """
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if k < 1 or n < k:
+        return None
+    above = 0
+    while low < high:
+        inside = df.filter(F.col(key).between(low, high))
+        if n <= few:
+            return sorted((r[0] for r in inside.select(key).collect()), reverse=True)[k - above - 1]
+        width = (high - low) / buckets
+        if not width or low + width == low:
+            break
+        at = F.least(F.floor((F.col(key) - low) / width), F.lit(buckets - 1))
+        counts = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+        for row in sorted(counts, key=lambda r: -r["at"]):
+            if above + row["n"] >= k:
+                low, high, n = row["low"], row["high"], row["n"]
+                break
+            above += row["n"]
+    return high
