@@ -17,6 +17,9 @@ _U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: For matching past edits: words are runs of letters, digits and non-ASCII bytes.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1342543DE82EF95 | 1
 _byte_values = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -94,9 +97,9 @@ class Words:
         )
 
 
-def _scan(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def _scan(data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray) -> Words:
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins, finishes = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     finishes[:-1] &= ~inside[1:]
@@ -111,11 +114,11 @@ def _scan(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
-def scan(texts: pa.Array, lower: bool = False, limit: int = 4 << 20) -> Iterator[tuple[int, Words]]:
+def scan(texts: pa.Array, lower: bool = False, limit: int = 4 << 20, space: np.ndarray = SPACE) -> Iterator[tuple[int, Words]]:
     """Scan a text column in runs of about ``limit`` bytes (one text at least).
 
     Yields (number of the run's first text, Words).  Null counts as empty.
-    ``lower`` hashes A-Z as a-z.
+    ``lower`` hashes A-Z as a-z; ``space`` says which bytes part words.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -130,6 +133,6 @@ def scan(texts: pa.Array, lower: bool = False, limit: int = 4 << 20) -> Iterator
         stop = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         stop = min(max(stop, first + 1), len(texts))
         yield first, _scan(
-            data[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first], lower
+            data[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first], lower, space
         )
         first = stop
