@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sondeframe.llm.decontaminate import contaminated
 from sondeframe.llm.exact_dedup import exact_duplicates
 from sondeframe.llm.jaccard_join import jaccard_classes
+from sondeframe.llm.mixing import mixing_rates
 from sondeframe.llm.quality import quality_scores
 
 
@@ -16,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing_rates(docs, docs).drop("key")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample that the resampling draws."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).filter("kept")
@@ -35,10 +42,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
