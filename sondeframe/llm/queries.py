@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from sondeframe.llm.common import scratch_path
 from sondeframe.llm.decontaminate import contaminated
 from sondeframe.llm.exact_dedup import exact_duplicates
 from sondeframe.llm.jaccard_join import jaccard_classes
 from sondeframe.llm.mixing import mixing_rates
 from sondeframe.llm.quality import quality_scores
 from sondeframe.llm.url_filter import judge_urls
+from sondeframe.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).drop("url", "payload")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_warc": op8_warc,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
