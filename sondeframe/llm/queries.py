@@ -10,6 +10,7 @@ import corpus_pipeline
 from sondeframe.llm.common import scratch_path
 from sondeframe.llm.decontaminate import contaminated
 from sondeframe.llm.exact_dedup import exact_duplicates
+from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
 from sondeframe.llm.mixing import mixing_rates
 from sondeframe.llm.quality import quality_scores
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing_rates(docs, docs).drop("key")
@@ -55,6 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
