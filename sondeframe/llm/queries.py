@@ -10,6 +10,7 @@ import corpus_pipeline
 from sondeframe.llm.common import scratch_path
 from sondeframe.llm.decontaminate import contaminated
 from sondeframe.llm.exact_dedup import exact_duplicates
+from sondeframe.llm.hmm import hmm_scores
 from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
 from sondeframe.llm.mixing import mixing_rates
@@ -55,6 +56,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).drop("url", "payload")
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
+    "op9_hmm": op9_hmm,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
