@@ -126,3 +126,28 @@ def kth_largest(df: DataFrame, key: str, k: int, buckets: int = 4096, few: int =
                 break
             above += row["n"]
     return high
+
+
+def stage_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back, and its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def maybe_in_bitmap(df: DataFrame, bitmap: DataFrame, flag: str, *columns: str) -> DataFrame:
+    """df with a boolean column: False where the key is not in the bitmap for certain."""
+    h = F.xxhash64(*columns)
+    word, mask = fresh(df, "word"), fresh(df, "mask")
+    bits = bitmap.select(F.col("word").alias(word), F.col("mask").alias(mask))
+    return (
+        df.join(F.broadcast(bits), _bitmap_word(h) == F.col(word), "left")
+        .withColumn(flag, F.coalesce(F.col(mask).bitwiseAND(_bitmap_bit(h)) != 0, F.lit(False)))
+        .drop(word, mask)
+    )

@@ -15,6 +15,7 @@ from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
 from sondeframe.llm.mixing import mixing_rates
 from sondeframe.llm.quality import quality_scores
+from sondeframe.llm.substring_dedup import remove_repeats
 from sondeframe.llm.url_filter import judge_urls
 from sondeframe.llm.warc import read_warc, write_warc
 
@@ -46,6 +47,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_hmm": op9_hmm,
