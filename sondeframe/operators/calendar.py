@@ -76,7 +76,7 @@ def month_counts(frame: DataFrame, months: list[int] | None = None) -> DataFrame
 
 def month_table(frame: DataFrame, clusters: list[int]) -> DataFrame:
     """Months by clusters, as columns."""
-    return frame.groupBy("month").pivot("cluster", clusters).agg(F.count("*")).na.fill(0)
+    return frame.groupBy("month").pivot("cluster", clusters).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def month_shares(frame: DataFrame, months: list[int] | None = None) -> DataFrame:
