@@ -38,6 +38,8 @@ CUES = frozenset(
     "related recommended recommendations comment comments commentlist disqus respond reply replies widget toolbar copyright legal disclaimer search pagination pager "
     "contentinfo complementary form".split()
 )
+#: Those that say so of an article or main element too, which else is content.
+ARTICLE_CUES = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments respond reply".split())
 #: An element of these is closed by a new one of the same set.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LISTS = frozenset("ul ol dl table menu select article main body".split())
@@ -59,8 +61,8 @@ class Token:
     content: bool
 
 
-def _cued(attributes: str) -> bool:
-    return any(part in CUES for m in _HINT.finditer(attributes) for part in _PART.findall(m[1].lower()))
+def _cued(attributes: str, cues: frozenset[str] = CUES) -> bool:
+    return any(part in cues for m in _HINT.finditer(attributes) for part in _PART.findall(m[1].lower()))
 
 
 def tokens(page: str) -> list[Token]:
@@ -146,7 +148,7 @@ def tokens(page: str) -> list[Token]:
                         break
             if name not in VOID:
                 bad = name in NEVER and not (name == "header" and marked) or (
-                    bool(attributes) and name not in ("html", "body", "article", "main") and _cued(attributes)
+                    bool(attributes) and name not in ("html", "body") and _cued(attributes, ARTICLE_CUES if name in MARKED else CUES)
                 )
                 stack.append((name, bad))
                 off += bad
@@ -167,6 +169,8 @@ _KINDS = ("p", "li", "cell", "h", "other")
 #: Weights where labelled pages say nothing, and the weight of any word or tag outside the marked article of a page.
 PRIOR = {f"w:{k}:-": 1.0 for k in _KINDS} | {f"w:{k}:a": -1.0 for k in _KINDS} | {f"t:{k}": -0.2 for k in _KNOWN} | {"t:other": -0.2, "outside": -5.0}
 MOST_TAG = -0.05
+#: In a marked article every word counts and tags hardly do, so that the run reaches from its first word to its last.
+MARKED_WORD, MARKED_TAG = 0.5, -0.01
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +237,8 @@ def extract(page: str | None, weights: dict[str, float] = PRIOR) -> str:
             scores.append(0.0)  # removed in any case
         elif has_mark and not t.marked:
             scores.append(outside * t.words if t.words else min(outside, 0.0) * 0.01)
+        elif has_mark:
+            scores.append(max(weights.get(t.feature, 0.0), MARKED_WORD) * t.words if t.feature[0] == "w" else MARKED_TAG)
         else:
             scores.append(weights.get(t.feature, PRIOR["t:other"]) * t.words if t.feature[0] == "w" else weights[t.feature])
     begin, end = best_run(scores)

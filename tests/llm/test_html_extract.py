@@ -26,6 +26,12 @@ def test_pages_without_text(page):
     assert X.extract(page) in ("", "<")
 
 
+def test_links_and_short_blocks_at_the_ends_of_an_article():
+    items = "".join(f"<li><i><a href='/{k}'>link{k}</a></i></li>" for k in range(30))
+    page = f"<body><nav>menu words here</nav><article><p><a href='/'>A link first</a></p><p>text</p><ul>{items}</ul></article><article class='comment'><p>no, no, no</p></article></body>"
+    assert X.extract(page) == "\n\n".join(["A link first", "text", *[f"link{k}" for k in range(30)]])
+
+
 def test_unmarked_page_takes_the_best_run():
     words = " ".join(f"word{k}" for k in range(60))
     links = "".join(f'<li><a href="/{k}">link {k} with words</a></li>' for k in range(20))
