@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ from sondeframe.llm.common import materialise
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
 RANGES = 1024
+#: Payload bytes of a batch that the reader gives on.
+READ_BYTES = 8 << 20
+DECISION, RECORD = 0, 1
 #: Every record has this date, so that equal tables give equal files.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -61,6 +65,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def members(content: bytes, step: int = 1 << 15) -> Iterator[bytes]:
+    """The gzip members of a file, one at a time.
+
+    Input goes in by small steps: what a member leaves over is copied, and so
+    must not be the rest of the file.
+    """
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + step]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        yield b"".join(parts)
+
+
 def _records(text: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(text):
@@ -92,15 +114,20 @@ def _write(folder: str, roll: int):
                 done.append((shard, part, name, size, n, digest.hexdigest()))
                 out = None
 
+        revisit: tuple | None = None  # id, digest and response of the revisits that come next
         for batch in batches:
             for row in batch.to_pylist():
+                if row["kind"] == DECISION:
+                    revisit = (row["page_id"], row["digest"], row["refers_to"])
+                    continue
+                refers = revisit[2] if revisit and revisit[:2] == (row["page_id"], row["digest"]) else None
                 if row["shard"] != shard or size >= roll:
                     close()
                     part = part + 1 if row["shard"] == shard else 0
                     shard, size, n, digest = row["shard"], 0, 0, hashlib.sha256()
                     name = f"{shard:06d}-{part:05d}.{uuid.uuid4().hex}.tmp"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["is_response"]), 6, mtime=0)
+                member = gzip.compress(record(row["page_id"], row["url"], row["payload"], refers, refers is None), 6, mtime=0)
                 out.write(member)
                 digest.update(member)
                 size, n = size + len(member), n + 1
@@ -175,24 +202,22 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     and the others revisit it; rows repeated with that id are responses too.  A
     null id comes first and never is a response for others, unless all of the
     group are null: then all are responses.  Files hold one shard's records in
-    the order of (id, url, digest).
+    the order of (id, digest, url).
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("payload"))
-    digest = F.sha2("payload", 256)
-    groups = (
-        records.filter(F.octet_length("payload") >= least_bytes).groupBy(digest.alias("digest"))
-        .agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "last")
-    )
+    records = records.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     shard, n_shards = _shard_of(records, shard_bytes)
-    placed = (
-        records.withColumn("digest", digest).join(groups, "digest", "left")
-        .withColumn("is_response", F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")))
-        .withColumn("refers_to", F.when(~F.col("is_response"), F.col("last")))
-        .withColumn("shard", shard)
-        .repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
-        .select("shard", "page_id", "url", "payload", "refers_to", "is_response")
+    slim = records.filter(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    # a revisit's decision goes to its record's place and comes before it, so that payloads move once
+    none = {n: F.lit(None).cast(t) for n, t in (("url", "string"), ("payload", "binary"), ("refers_to", "long"))}
+    decisions = (
+        slim.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        .select(shard.alias("shard"), "page_id", "digest", F.lit(DECISION).alias("kind"), none["url"].alias("url"), none["payload"].alias("payload"), "refers_to")
     )
+    bodies = records.select(shard.alias("shard"), "page_id", "digest", F.lit(RECORD).alias("kind"), "url", "payload", none["refers_to"].alias("refers_to"))
+    placed = bodies.unionByName(decisions).repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     written = materialise(placed.mapInArrow(_write(folder, roll_bytes), _FILES))
@@ -208,11 +233,23 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return manifest
 
 
+_READ = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+])
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+
+    def packed() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_READ)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
+
     for batch in batches:
         for content in batch.column("content"):
-            rows = []
-            for headers, block in _records(gzip.decompress(content.as_py())):
+            for headers, block in (x for member in members(content.as_py()) for x in _records(member)):
                 if "sha1:" + base32_sha1(block) != headers["WARC-Block-Digest"]:
                     raise ValueError(f"block digest of {headers['WARC-Record-ID']} differs")
                 http, payload = block.split(b"\r\n\r\n", 1)
@@ -222,12 +259,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = int(http.decode().rpartition("Content-Length: ")[2])
                 page, refers = (headers.get(h, "").removeprefix("<urn:page:").rstrip(">") for h in ("WARC-Record-ID", "WARC-Refers-To"))
                 rows.append((int(page) if page else None, headers.get("WARC-Target-URI"), size, digest, kind, int(refers) if refers else None, payload if kind == "response" else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
-            )
+                held += len(block)
+                if held >= READ_BYTES:
+                    yield packed()
+                    rows, held = [], 0
+    yield packed()
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
