@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling.
 
-Two pairs of hashed n-gram models are counted: of target text (labelled good,
-not toxic) and of the raw text of all documents, over byte 4-grams and over
-word bigrams.  A document's weight compares it with held-out target documents
-on both ratios, and a Gumbel top-k draws documents by weight.
+Three pairs of hashed n-gram models are counted: of target text (labelled good,
+not toxic) and of the raw text of all documents, over byte 4-grams, word
+bigrams and the first bytes of words.  A document's weight compares it with
+held-out target documents on all ratios, and a Gumbel top-k draws documents by
+weight.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeframe.llm.common import fresh, kth_largest, materialise, text_or_empty
-from sondeframe.llm.wordscan import SPACE, Words, scan
+from sondeframe.llm.wordscan import SPACE, Words, mix, scan
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 BYTE_N, WORD_N = 4, 2
+#: A word's first bytes, which tell stems in any of their endings.
+PREFIX_BYTES = 6
+KINDS = 3
 MAX_LABELLED = 200_000
 SHARPNESS = 4.0
 #: What a lost good document costs against a kept bad one, as shares of their kinds.
 LOSS = 4.0
 FIT, GOOD, BAD = 1, 2, 3
+RATIOS = ("byte_ratio", "word_ratio", "prefix_ratio")
 
 _fold = np.arange(256, dtype=np.uint8)
 _fold[0x41:0x5B] += 0x20
@@ -35,7 +40,7 @@ _fold[SPACE] = 0x20
 
 
 def _features(words: Words, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document numbers, buckets) of the byte n-grams, then of the word bigrams."""
+    """(document numbers, buckets) of the byte n-grams, the word bigrams and the words' first bytes."""
     data = _fold[words.data].astype(np.uint64)
     n = max(0, len(data) - BYTE_N + 1)
     h = np.zeros(n, dtype=np.uint64)
@@ -48,6 +53,12 @@ def _features(words: Words, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     yield docs, h[inside]
     at, grams = words.grams(WORD_N)
     yield words.docs[at], (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    h = np.zeros(len(words.starts), dtype=np.uint64)
+    for j in range(PREFIX_BYTES):
+        at = words.starts + j
+        inside = at < words.ends
+        h[inside] = h[inside] * np.uint64(0x100000001B3) + data[at[inside]] + np.uint64(1)
+    yield words.docs, (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -64,7 +75,7 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, np.ndarray]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 2, BUCKETS), dtype=np.int64)  # byte or word, raw or target
+    counts = np.zeros((KINDS, 2, BUCKETS), dtype=np.int64)  # raw or target
     for batch in batches:
         fit = batch.column("role").to_numpy(zero_copy_only=False) == FIT
         for first, words, offsets in _runs(batch):
@@ -72,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, (docs, buckets) in enumerate(_features(words, offsets)):
                 counts[kind, 0] += np.bincount(buckets, minlength=BUCKETS)
                 counts[kind, 1] += np.bincount(buckets[own[docs]], minlength=BUCKETS)
-    for kind in range(2):
+    for kind in range(KINDS):
         at = np.flatnonzero(counts[kind, 0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(at + kind * BUCKETS, pa.int32()), pa.array(counts[kind, 0, at]), pa.array(counts[kind, 1, at])],
@@ -93,8 +104,8 @@ def _score(ratios):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, docs), batch.column("role").slice(first, docs),
                      pa.array(n_words, pa.int64()),
-                     pa.array(sums[0] / np.sqrt(np.diff(offsets) + 100.0)), pa.array(sums[1] / np.maximum(n_words, 20))],
-                    names=["doc_id", "role", "n_words", "byte_ratio", "word_ratio"],
+                     pa.array(sums[0] / np.sqrt(np.diff(offsets) + 100.0)), pa.array(sums[1] / np.maximum(n_words, 20)), pa.array(sums[2] / np.sqrt(n_words + 20.0))],
+                    names=["doc_id", "role", "n_words", *RATIOS],
                 )
 
     return run
@@ -102,21 +113,21 @@ def _score(ratios):
 
 @dataclass
 class Scale:
-    """Of held-out target documents: centre and spread of both ratios; the cut between good and bad."""
+    """Of held-out target documents: the spreads of the ratios and the centre of the words'; the cut between good and bad."""
 
-    byte_centre: float
-    byte_spread: float
-    word_centre: float
-    word_spread: float
-    cut: float | None
+    byte_spread: float = 1.0
+    word_centre: float = 0.0
+    word_spread: float = 1.0
+    prefix_spread: float = 1.0
+    cut: float | None = None
 
 
 def _calibrate(good: np.ndarray, bad: np.ndarray) -> Scale:
-    byte, word = np.median(good, axis=0), good.std(axis=0)
-    scale = Scale(0.0, max(float(word[0]), 1e-6), float(byte[1]), max(float(word[1]), 1e-6), None)
+    spreads = np.maximum(good.std(axis=0), 1e-6)
+    scale = Scale(float(spreads[0]), float(np.median(good[:, 1])), float(spreads[1]), float(spreads[2]))
 
     def weight(x: np.ndarray) -> np.ndarray:
-        return np.minimum(x[:, 0] / scale.byte_spread, (x[:, 1] - scale.word_centre) / scale.word_spread)
+        return np.minimum(np.minimum(x[:, 0] / scale.byte_spread, x[:, 2] / scale.prefix_spread), (x[:, 1] - scale.word_centre) / scale.word_spread)
 
     if len(bad):
         g, b = np.sort(weight(good)), np.sort(weight(bad))
@@ -140,8 +151,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     empty.  Documents of the same id share the noise and so a key; all that
     reach the k-th key are drawn.
 
-    Columns: the id, n_words, byte_ratio, word_ratio, weight, gumbel_key
-    (doubles), kept (boolean).
+    Columns: the id, n_words, byte_ratio, word_ratio, prefix_ratio, weight,
+    gumbel_key (doubles), kept (boolean).
     """
     spark = docs.sparkSession
     context = spark.sparkContext
@@ -160,28 +171,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
     counted = (
         source.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # 2 * BUCKETS rows at most
+        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # KINDS * BUCKETS rows at most
     )
+    bucket, n_raw, n_target = (counted[c].to_numpy() for c in ("bucket", "raw", "target"))
     tables = []
-    for kind, (below, add) in enumerate(((1.0, 3.0), (None, 1.0))):
+    for kind, (below, add) in enumerate(((1.0, 3.0), (None, 1.0), (1.0, 3.0))):
         raw, fit = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        own = counted[counted["bucket"] // BUCKETS == kind]
-        raw[own["bucket"] - kind * BUCKETS], fit[own["bucket"] - kind * BUCKETS] = own["raw"], own["target"]
+        own = bucket // BUCKETS == kind
+        raw[bucket[own] - kind * BUCKETS], fit[bucket[own] - kind * BUCKETS] = n_raw[own], n_target[own]
         wanted = raw * (fit.sum() / max(1.0, raw.sum()))
         ratio = np.log((fit + add) / (wanted + add))
-        # byte n-grams count only where they are clearly rarer in target text
+        # byte n-grams and first bytes count only where they are clearly rarer in target text
         tables.append((np.minimum(ratio + below, 0) if below else ratio).astype(np.float32))
     ratios = context.broadcast(tables)
-    schema = "doc_id long, role int, n_words long, byte_ratio double, word_ratio double"
+    schema = "doc_id long, role int, n_words long, " + ", ".join(f"{c} double" for c in RATIOS)
     scored = materialise(source.mapInArrow(_score(ratios), schema))
 
-    held = scored.filter(F.col("role").isin(GOOD, BAD)).select("role", "byte_ratio", "word_ratio").toPandas()
-    pairs = held[["byte_ratio", "word_ratio"]].to_numpy()
-    good = pairs[held["role"] == GOOD]
-    scale = _calibrate(good, pairs[held["role"] == BAD]) if len(good) else Scale(0.0, 1.0, 0.0, 1.0, None)
+    held = scored.filter(F.col("role").isin(GOOD, BAD)).select("role", *RATIOS).toArrow()  # max_labelled rows at most
+    role, ratios_of = held["role"].to_numpy(), np.stack([held[c].to_numpy() for c in RATIOS], axis=1)
+    good = ratios_of[role == GOOD]
+    scale = _calibrate(good, ratios_of[role == BAD]) if len(good) else Scale()
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("gumbel")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     weighed = scored.withColumn(
-        "weight", F.least(F.col("byte_ratio") / scale.byte_spread, (F.col("word_ratio") - scale.word_centre) / scale.word_spread)
+        "weight",
+        F.least(F.col("byte_ratio") / scale.byte_spread, F.col("prefix_ratio") / scale.prefix_spread, (F.col("word_ratio") - scale.word_centre) / scale.word_spread),
     ).withColumn("gumbel_key", F.col("weight") * SHARPNESS - F.log(-F.log(uniform)))
     if scale.cut is None:
         drawn = weighed.withColumn("kept", F.lit(True))
@@ -189,7 +202,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         k = weighed.filter(F.col("weight") >= scale.cut).count()
         least = kth_largest(weighed, "gumbel_key", k)
         drawn = weighed.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= least)
-    return drawn.select(F.col("doc_id").alias(id_col), "n_words", "byte_ratio", "word_ratio", "weight", "gumbel_key", "kept")
+    return drawn.select(F.col("doc_id").alias(id_col), "n_words", *RATIOS, "weight", "gumbel_key", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
