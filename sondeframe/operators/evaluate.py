@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +31,44 @@ def adjusted_rand(labels: DataFrame, a: str, b: str, by: list[str] | None = None
     return joined.select(*by, F.coalesce(score, F.lit(1.0)).alias("ari"), F.col("_n").cast("long").alias("n"))
 
 
-def silhouette(points: DataFrame, features: str = "features", cluster: str = "cluster", blocks: int = 8) -> DataFrame:
+def silhouette(points: DataFrame, features: str = "features", cluster: str = "cluster", block: int = 1024) -> DataFrame:
     """(profile_id, cluster, silhouette) with Euclidean distances over all pairs.
 
-    Exact, and so quadratic in the profiles: meant for the few thousand that a
-    clustering run has.  Points meet in blocks: each side is sent to ``blocks``
-    tasks, and sums by cluster are taken before the next shuffle.
+    Exact, and so quadratic in the profiles, but no row is made for a pair:
+    points meet in pairs of blocks of about ``block`` rows, and a task gives on
+    each point's distances summed by cluster.
     """
-    own = points.select(F.col("profile_id").alias("i"), F.col(cluster).alias("ci"), F.col(features).alias("x"), F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).alias("bi"))
-    other = points.select(F.col("profile_id").alias("j"), F.col(cluster).alias("cj"), F.col(features).alias("y"), F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).alias("bj"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    met = own.withColumn("bj", F.explode(every)).join(other.withColumn("bi", F.explode(every)), ["bi", "bj"]).filter("i != j")
-    square = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    sums = met.groupBy("i", "ci", "cj").agg(F.sum(F.sqrt(square)).alias("d"), F.count("*").alias("n"))
-    facts = sums.groupBy("i", "ci").agg(
-        F.max(F.when(F.col("ci") == F.col("cj"), F.col("d") / F.col("n"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d") / F.col("n"))).alias("b")
-    )
+    rows = points.select("profile_id", F.col(cluster).alias("c"), F.col(features).alias("x"))
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("at", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = placed.select(F.col("at").alias("i"), F.col("to").alias("j"), F.lit(0).alias("side"), "profile_id", "c", "x")
+    other = placed.select(F.col("to").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "profile_id", "c", "x")
+    kinds = dict(rows.dtypes)
+    schema = f"i {kinds['profile_id']}, ci {kinds['c']}, cj {kinds['c']}, d double, n long"
+    sums = own.unionByName(other).groupBy("i", "j").applyInPandas(_distance_sums, schema)
+    cells = sums.groupBy("i", "ci", "cj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    cells = cells.withColumn("n", F.col("n") - (F.col("ci") == F.col("cj")).cast("long"))  # a point is no neighbour of itself
+    mean = F.try_divide("d", "n")
+    facts = cells.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), mean)).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), mean)).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return facts.select(F.col("i").alias("profile_id"), F.col("ci").alias("cluster"), score.alias("silhouette"))
 
 
+def _distance_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks: for each point of the first and cluster of the second, the distances' sum and number."""
+    own, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if own.empty or other.empty:
+        return pd.DataFrame({"i": [], "ci": [], "cj": [], "d": [], "n": []})
+    x, y = np.stack(own["x"]), np.stack(other["x"])
+    names, at = np.unique(other["c"].to_numpy(), return_inverse=True)
+    member = np.eye(len(names))[at]
+    sums = np.concatenate([np.sqrt(((x[k : k + 16, None] - y[None]) ** 2).sum(axis=2)) @ member for k in range(0, len(x), 16)])
+    return pd.DataFrame({
+        "i": np.repeat(own["profile_id"].to_numpy(), len(names)), "ci": np.repeat(own["c"].to_numpy(), len(names)), "cj": np.tile(names, len(x)),
+        "d": sums.ravel(), "n": np.tile(member.sum(axis=0).astype(np.int64), len(x)),
+    })
+
+
 def inertia(points: DataFrame, features: str = "features", cluster: str = "cluster") -> DataFrame:
     """(inertia): squared distances to the means of given clusters, in one pass of sums."""
     long = points.select(F.col(cluster).alias("c"), F.posexplode(features).alias("k", "x"))

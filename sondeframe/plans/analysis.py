@@ -29,14 +29,30 @@ class Prepared:
 
 
 def prepare(profiles: DataFrame, levels: DataFrame, low: float = 0.0, high: float = 14_900.0, step: float = 100.0, max_start: float = 500.0,
-            min_coverage: float = 0.8, min_levels: int = 20, tolerance: float = 500.0) -> Prepared:
-    """Stitch fragments, clean, keep covered profiles and resample them."""
+            min_coverage: float = 0.8, min_levels: int = 20, tolerance: float = 500.0, path: str | None = None) -> Prepared:
+    """Stitch fragments, clean, keep covered profiles and resample them.
+
+    With ``path`` the tables are written there once and read back, so that the
+    fits that follow, which pass over them many times, don't prepare them anew.
+    """
     heads, whole, merges = stitch(profiles, levels, tolerance)
     kept, statistics = qc.clean(whole, min_levels=min_levels)
     good, _ = qc.filter_by_coverage(kept, low, high, max_start, min_coverage)
     grid = height_grid(levels.sparkSession, low, high, step)
     own = heads.join(good.select("profile_id").distinct(), "profile_id", "left_semi")
-    return Prepared(own, good, resample(good, grid), statistics, merges, grid)
+    ready = Prepared(own, good, resample(good, grid), statistics, merges, grid)
+    if path is None:
+        return ready
+    levels_ = _written(good, f"{path}/levels")
+    return Prepared(
+        _written(heads.join(levels_.select("profile_id").distinct(), "profile_id", "left_semi"), f"{path}/profiles"), levels_,
+        _written(resample(levels_, grid), f"{path}/resampled"), _written(statistics, f"{path}/statistics"), _written(merges, f"{path}/merges"), grid,
+    )
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def profile_shapes(prepared: Prepared, k: int, variables: list[str] | None = None, components: int = 5, strategy: str = "mean", seed: int = 0, n_init: int = 20) -> cluster.Fit:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sondeframe.operators import aggregate as A
 from sondeframe.operators import calendar as C
-from sondeframe.operators import qc, stitch
-from sondeframe.plans import analysis
+from sondeframe.operators import features, qc, stitch
+from sondeframe.plans import analysis, figures
 from sondeframe.schema import height_alias, without_nan
 from sondeframe.sources import soundings as S
 from sondeframe.streaming import recent
@@ -196,15 +196,22 @@ def test_circular_mean(spark):
     assert min(value, 360 - value) == pytest.approx(0, abs=1e-9)
 
 
-def test_whole_analysis(spark):
+def test_whole_analysis(spark, tmp_path):
     levels = spark.createDataFrame(random_levels(3, 40), COLUMNS)
     profiles = spark.createDataFrame([("s", k, str(k), datetime.datetime(2023, 1 + k % 12, 1 + k // 12, 0)) for k in range(40)], "station string, profile_seq long, profile_id string, date timestamp")
-    ready = analysis.prepare(profiles, levels, 0.0, 5000.0, 250.0)
+    ready = analysis.prepare(profiles, levels, 0.0, 5000.0, 250.0, path=str(tmp_path))
     assert ready.statistics.count() == 40 and ready.resampled.select("profile_id").distinct().count() == ready.profiles.count() > 30
     fit = analysis.profile_shapes(ready, 3, ["t", "td", "u", "v"], 3, n_init=2)
     assert fit.assignments.count() == ready.profiles.count() and len(fit.centres) == 3
-    told = analysis.explain(ready, fit.assignments)
+    told = analysis.explain(ready, fit.assignments).cache()
     assert told.count() == 4 and told.filter("cluster is null").first()["n"] == ready.profiles.count()
+    pages = figures.cluster_pages(ready.resampled, fit.assignments, top=2000.0).cache()
+    assert pages.filter("g_idx > 8").count() == 0 and {"t_q10", "rhi_mean", "dd"} <= set(pages.columns)
+    assert figures.cluster_mean_profiles(ready.resampled, fit.assignments).count() == 3 * 21
+    assert figures.scatter(fit.assignments, fit.assignments).count() == ready.profiles.count()
+    table = features.diagnostics(ready.levels)
+    assert figures.lapse_map(table, fit.assignments).count() == 30
+    assert all(len(r["lapse_0_500_mean"].split(".")[1]) == 5 for r in figures.with_digits(told.na.fill(0.0)).select("lapse_0_500_mean").collect())
     assert {r["season"] for r in analysis.compare_seasons(ready).collect()} == {"winter", "summer", "rest"}
     assert analysis.profile_features(levels, 2, 2, n_init=1).assignments.count() > 30
     entropy, agreement = analysis.yearly_consistency(ready.profiles, fit.assignments, [6, 7, 8], 31, 1)
