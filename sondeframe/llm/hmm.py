@@ -28,7 +28,7 @@ END = CLASSES  # the class of the end token
 SEGMENT = 128
 ROUNDS = 2
 #: Words whose counts are broadcast; those of rarer words come by a join.
-HEAD_WORDS = 1 << 21
+HEAD_WORDS = 1 << 19
 PRIOR_TOKENS = 50.0
 RESCALE = 8
 
@@ -287,10 +287,10 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held + count > head_words:
             break
         least, held = n, held + count
-    head = words.filter(F.col("n") >= (least or 0)).toPandas() if least else words.limit(0).toPandas()
-    hashes = head["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    head = (words.filter(F.col("n") >= least) if least else words.limit(0)).toArrow()  # head_words rows at most, as columns
+    hashes = head["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    counts = head["n"].to_numpy(dtype=np.int64)[order]
+    counts = head["n"].to_numpy()[order]
     class_logs = np.log10(n_class + v_class + 1)
     shared = context.broadcast((model, hashes[order], counts, class_logs))
     numbered = source.withColumn("row_uid", F.monotonically_increasing_id())
