@@ -157,8 +157,8 @@ _CONTEXTS = "doc_id long, key long, anchor long, context long, first int, last i
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted contexts; of hot anchors their windows' hashes."""
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("words", pa.string()), ("windows", pa.list_(pa.int64()))])
+    """The words of the wanted contexts; of hot anchors a row for each window, with its hash."""
+    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("words", pa.string()), ("lo", pa.int32()), ("window", pa.int64())])
     rows: list[tuple] = []
 
     def packed() -> pa.RecordBatch:
@@ -170,11 +170,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.as_py().encode().split()
             for c in wanted.as_py():
                 cut = b" ".join(words[c["first"] : c["last"] + WINDOW]).decode()
-                hashes: list[int] = []
                 if c["hot"]:
                     _, own = next(scan(pa.array([cut])))
                     hashes = own.grams(WINDOW)[1].view(np.int64).tolist()
-                rows.append((c["anchor"], c["context"], doc.as_py(), None if c["hot"] else cut, hashes))
+                    rows += [(c["anchor"], c["context"], doc.as_py(), None, lo, h) for lo, h in enumerate(hashes)]
+                else:
+                    rows.append((c["anchor"], c["context"], doc.as_py(), cut, None, None))
             if len(rows) >= 5000:
                 yield packed()
                 rows = []
@@ -236,9 +237,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).filter("doc_id is not null")
     source = source.withColumn("key", F.xxhash64("text"))
     every, path = stage_table(source.mapInArrow(_contexts, _CONTEXTS), "contexts")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x != y").select("anchor")
+    # written apart, so that both sides of the join are plain shuffles, which can be split where an anchor is hot
+    shared, shared_path = stage_table(every.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x != y").select("anchor"), "anchors")
     uses, uses_path = stage_table(every.join(shared, "anchor"), "shared-contexts")
     remove_path(spark, path)
+    remove_path(spark, shared_path)
 
     distinct = uses.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "key", "first", "last")).alias("x")).select("anchor", "context", "x.*")
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
@@ -248,7 +251,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holders = maybe_in_bitmap(source, key_bitmap(open_, "doc_id"), "hit", "doc_id").filter("hit").drop("hit")
     cut, cut_path = stage_table(
         holders.join(wanted, ["doc_id", "key"]).select("doc_id", "text", "wanted")
-        .mapInArrow(_cut_out, "anchor long, context long, doc_id long, words string, windows array<long>"),
+        .mapInArrow(_cut_out, "anchor long, context long, doc_id long, words string, lo int, window long"),
         "cut",
     )
     shards = max(shuffle_partitions(spark), -(-n_open // SHARD_CONTEXTS))
@@ -257,7 +260,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .repartition(min(shards, shuffle_partitions(spark) * 4), "shard").sortWithinPartitions("shard", "doc_id")
         .mapInArrow(_match, "anchor long, context long, lo int, hi int")
     )
-    windows = cut.filter("words is null").select("anchor", "context", "doc_id", F.posexplode("windows").alias("lo", "window"))
+    windows = cut.filter("words is null").select("anchor", "context", "doc_id", "lo", "window")
     owners = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("owner"))
     hot = windows.join(owners, ["anchor", "window"]).filter("owner < doc_id").select("anchor", "context", "lo", (F.col("lo") + WINDOW).alias("hi"))
 
