@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and test item that it holds an edited copy of.
 
-    Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.  An
+    Words are runs of letters, digits and non-ASCII bytes, in lower case.  An
     item's seeds are its 3-grams expected at most once in the corpus if words
     were independent, and its rarest in any case; an item of fewer words is one
     seed, one without words has none.  The score is the alignment's as a share
@@ -173,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_words (its length in words).
     """
     context = docs.sparkSession.sparkContext
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(text_or_empty(item_text)).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // (BLOCK_BYTES // 2)
     found = None

@@ -58,6 +58,13 @@ def test_edited_copies_are_found(spark, docs_of, rng):
     assert (exact["score"], exact["start"], exact["n_words"]) == (1.0, 0, 31)
 
 
+def test_case_of_any_letter_is_ignored(spark, docs_of):
+    item = "Élan vêtu, où l'âge évité ÈS çà naïf Ünder größer señal mañana"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = D.contaminated(docs_of([(1, "some words " + item.upper().replace("SS", "ß")), (2, "other words")]), bench).collect()
+    assert [(r["doc_id"], r["score"]) for r in found] == [(1, 1.0)]
+
+
 def test_blocks_of_items_give_the_same(spark, docs_of, rng, monkeypatch):
     bench, df, planted = items_and_docs(spark, docs_of, rng)
     monkeypatch.setattr(D, "BLOCK_BYTES", 800)
