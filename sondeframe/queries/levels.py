@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sondeframe.functions import levels as L
 from sondeframe.functions import physics as P
 from sondeframe.operators import aggregate, features, qc, resample, stitch
+from sondeframe.queries import feature_sql
 from sondeframe.queries.common import E, G, events, on_grid, r, rounded, table
 from sondeframe.sources import adapters, soundings
 
@@ -127,7 +128,8 @@ def dry_adiabat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.layer_features(events(spark, d)))
+    table = features.layer_features(events(spark, d))  # means of few decimals: more digits, past their ties
+    return table.select(*[F.round(c, 9 if c.startswith("T_mean") else 6).alias(c) if c != "profile_id" else F.col(c) for c in table.columns])
 
 
 def basic_features(spark: SparkSession, d: str) -> DataFrame:
@@ -226,6 +228,9 @@ _GRAD = f"""n0 AS (SELECT *, lag(t) OVER w AS y0, lead(t) OVER w AS y2, lag(alti
 
 
 SQL = {
+    "layer_features": feature_sql.LAYERS,
+    "full_features": feature_sql.FULL,
+    "diagnostics": feature_sql.DIAGNOSTICS,
     "qc_thresholds": f"WITH {E}, {_LIMITED} SELECT profile_id, CAST(sum(n_threshold) AS BIGINT) AS threshold, CAST(sum(n_dewpoint) AS BIGINT) AS dewpoint, count(t) AS n_t, count(td) AS n_td FROM dew GROUP BY 1",
     "dedup_first_level": f"WITH {_FLOORED} SELECT profile_id, level_idx, altitude FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, altitude ORDER BY level_idx) AS rn FROM e) WHERE rn = 1",
     "null_run_longest": f"""WITH {E}, f AS (SELECT profile_id, p_niv IS NULL AS gap, row_number() OVER (PARTITION BY profile_id ORDER BY level_idx) - row_number() OVER (PARTITION BY profile_id, p_niv IS NULL ORDER BY level_idx) AS run FROM e)
