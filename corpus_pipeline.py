@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sondeframe.llm.common import scratch_path
+from sondeframe.llm.common import remove_path, scratch_path
 from sondeframe.llm.decontaminate import drop_contaminated
 from sondeframe.llm.exact_dedup import drop_exact_duplicates
 from sondeframe.llm.jaccard_join import drop_near_duplicates
@@ -56,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes once the next one is written."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs

@@ -40,9 +40,10 @@ def test_stages_take_effect(spark, tables):
     assert ids["mixture"] == ids["decontaminate"]
 
 
-def test_run_gives_the_last_stage(spark, tables):
-    out = P.run(spark, tables)
-    assert out.count() > 100 and {"rate", "copies"} <= set(out.columns)
+def test_run_gives_the_last_stage(spark, tables, monkeypatch):
+    monkeypatch.setattr(P, "STAGES", [s for s in P.STAGES if s[0] in ("exact_dedup", "decontaminate")])
+    ids = {r["doc_id"] for r in P.run(spark, tables).collect()}
+    assert len(P.STAGES) == 2 and not ids & {5, 302} and {6, 300, 301} <= ids
 
 
 CONTRACTS = {
