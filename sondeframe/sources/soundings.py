@@ -129,25 +129,29 @@ def _inside(w) -> Column:
     return F.coalesce(F.max(F.startswith(F.trim("line"), F.lit(HEADER))).over(before), F.lit(False))
 
 
-def _named(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Rows with ``cells``, a map from column name to text; the record's ``bad`` marks rows that don't fit.
+def _with_names(parsed: DataFrame) -> DataFrame:
+    """Value rows of all kinds with their column names, without spoiled records.
 
-    A row shorter than the names is padded with null.  A longer row, or a block
-    whose rows are all shorter, spoils its record.
+    A row shorter than the names is padded with null later.  A longer row, or a
+    block whose rows are all shorter, spoils its record.  All by windows over
+    the partitioning by file that parsing has already.
     """
-    cells, names = _cells("line"), F.col("_names")
-    paired = rows.join(columns, ["file", "record"]).withColumn("_cells", cells)
-    n = F.size("_cells")
-    padded = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.get(F.col("_cells"), k - 1))
     own = Window.partitionBy("file", "record")
-    bad = F.bool_or(n > F.size(names)).over(own) | ~F.bool_or(n >= F.size(names)).over(own)
-    # of names that occur twice the last stays
-    pairs = F.map_from_entries(F.filter(F.arrays_zip(names.alias("k"), padded.alias("v")), lambda x: x["k"].isNotNull()))
-    return paired.withColumn("bad", bad).withColumn("cells", pairs)
-
-
-def _names_of(parsed: DataFrame, kind: str) -> DataFrame:
-    return parsed.filter((F.col("kind") == kind) & (F.col("place") == 0)).select("file", "record", F.array_distinct(_cells("line")).alias("_names"))
+    first = {k: F.max(F.when((F.col("kind") == k) & (F.col("place") == 0), F.col("line"))).over(own) for k in ("header", "columns", "second_columns")}
+    line = F.when(F.col("kind") == "values", first["header"]).when(F.col("kind") == "data", first["columns"]).when(F.col("kind") == "second", first["second_columns"])
+    rows = parsed.withColumn("_line", line).withColumn("_names", F.split(F.trim("_line"), ","))
+    n, width = F.size(_cells("line")), F.size("_names")
+    spoiled = F.coalesce(F.bool_or(n > width).over(own), F.lit(False))
+    for k in ("values", "data", "second"):
+        spoiled |= ~F.coalesce(F.bool_or(F.when(F.col("kind") == k, n >= width)).over(own), F.lit(True))
+    return rows.withColumn("_spoiled", spoiled).filter(~F.col("_spoiled") & F.col("_names").isNotNull()).withColumn("cells", _pairs())
+
+
+def _pairs() -> Column:
+    """A row's cells by name; of a name that occurs twice the first stays."""
+    cells, names = _cells("line"), F.col("_names")
+    places = F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda k: F.array_position(names, F.get(names, k)) == k + 1)
+    return F.map_from_entries(F.transform(places, lambda k: F.struct(F.get(names, k).alias("key"), F.get(cells, k).alias("value"))))
 
 
 def profile_id() -> Column:
@@ -159,35 +163,23 @@ def read_profiles(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Numbers that can't be read are null; columns of the level block that the
     level table doesn't have are left out, those of the header are in ``extra``.
-    A record with a malformed block is left out.  Profiles are numbered by file
-    name and place.
+    A record with a malformed block is left out.  Profiles are ordered by file
+    name and place: profile_seq rises with both.
     """
-    parsed = parse(lines)
-    data = _named(parsed.filter("kind = 'data'"), _names_of(parsed, "columns"))
-    second = _named(parsed.filter("kind = 'second'"), _names_of(parsed, "second_columns"))
-    values = _named(parsed.filter("kind = 'values'"), _names_of(parsed, "header"))
-    bad = data.filter("bad").select("file", "record").unionByName(second.filter("bad").select("file", "record")).unionByName(values.filter("bad").select("file", "record")).distinct()
-
-    def good(df: DataFrame) -> DataFrame:
-        return df.join(bad, ["file", "record"], "left_anti")
-
-    heads = good(values)
+    rows = _with_names(parse(lines))
     lower = F.transform_keys("cells", lambda k, v: F.lower(k))
     known = ("numer_sta", "date", "nb_niv")
     date = F.get(F.map_values(F.map_filter(lower, lambda k, v: k == "date")), 0)
-    profiles = heads.select(
-        profile_id().alias("profile_id"), "file", "record", F.col("cells")["numer_sta"].alias("station"), timestamp(date).alias("date"),
-        F.col("cells")["nb_niv"].try_cast("int").alias("nb_niv"), F.map_filter("cells", lambda k, v: ~F.lower(k).isin(*known)).alias("extra"),
+    # a row a file meets in one task
+    files = lines.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")))
+    profiles = rows.filter("kind = 'values' and place = 0").join(files, "file").select(
+        profile_id().alias("profile_id"), (F.col("_file").cast("long") * F.lit(1 << 32) + F.col("record")).alias("profile_seq"), "file",
+        F.col("cells")["numer_sta"].alias("station"), timestamp(date).alias("date"), F.col("cells")["nb_niv"].try_cast("int").alias("nb_niv"),
+        F.map_filter("cells", lambda k, v: ~F.lower(k).isin(*known)).alias("extra"),
     )
-    # numbering needs the files' record counts alone: a row a file meets in one task
-    first = profiles.groupBy("file").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("file").orderBy("record"))
-    profiles = profiles.join(first, "file").withColumn("profile_seq", (F.coalesce("_base", F.lit(0)) + within - 1).cast("long"))
-    profiles = profiles.select("profile_id", "profile_seq", "file", "station", "date", "nb_niv", "extra")
-
-    named = good(data).select(profile_id().alias("profile_id"), F.col("place").alias("level_idx"), *[number(F.col("cells")[c]).alias(c) for c in NUMBERS])
+    named = rows.filter("kind = 'data'").select(profile_id().alias("profile_id"), F.col("place").alias("level_idx"), *[number(F.col("cells")[c]).alias(c) for c in NUMBERS])
     levels = height_alias(named).select("profile_id", "level_idx", "altitude", "p_niv", "t", "td", "dd", "ff", "dep_lat", "dep_lon")
-    cis = good(second).select(profile_id().alias("profile_id"), F.col("place").alias("row_idx"), F.transform_values("cells", lambda k, v: number(v)).alias("values"))
+    cis = rows.filter("kind = 'second'").select(profile_id().alias("profile_id"), F.col("place").alias("row_idx"), F.transform_values("cells", lambda k, v: number(v)).alias("values"))
     return profiles, levels, cis
 
 

@@ -25,8 +25,8 @@ p_niv,altitude,t,td,dd,ff
 98650,43,255.1,250.2,120,14.2
 98000,95,256.0,250.9,125
 97000,,abc,250.1,130,16.1
-p_cis,altitude
-97500,60
+p_cis,altitude,p_cis
+97500,60,1
 """
 SECOND = """numer_sta,date,nb_niv
 89643,20230615121500,1
