@@ -265,7 +265,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = windows.join(owners, ["anchor", "window"]).filter("owner < doc_id").select("anchor", "context", "lo", (F.col("lo") + WINDOW).alias("hi"))
 
     parts = matched.unionByName(hot).groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    known = distinct.select("anchor", "context", F.col("doc_id").alias("owner")).join(parts, ["anchor", "context"], "left")
+    # written apart for the same reason: a context can stand in very many documents
+    known, known_path = stage_table(distinct.select("anchor", "context", F.col("doc_id").alias("owner")).join(parts, ["anchor", "context"], "left"), "known")
     spans = (
         uses.join(known, ["anchor", "context"])
         .withColumn("span", F.explode(
@@ -274,8 +275,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("doc_id", "key", F.struct((F.col("first") + F.col("span.lo")).alias("lo"), (F.col("first") + F.col("span.hi")).alias("hi")).alias("span"))
     )
     found = materialise(spans.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")))
-    remove_path(spark, uses_path)
-    remove_path(spark, cut_path)
+    for done in (uses_path, cut_path, known_path):
+        remove_path(spark, done)
     return found
 
 
