@@ -78,7 +78,11 @@ class SuffixAutomaton:
             last = new
 
     def spans(self, sequence: list[int], least: int) -> list[tuple[int, int]]:
-        """Maximal spans of the sequence covered by matches of at least ``least`` symbols."""
+        """Spans of the sequence covered by matches of at least ``least`` symbols.
+
+        Every window of ``least`` symbols in a span matches; where one across a
+        seam does not, a new span starts, which can overlap the one before.
+        """
         moves, link, length = self.next, self.link, self.length
         state = matched = 0
         out: list[tuple[int, int]] = []
@@ -93,8 +97,8 @@ class SuffixAutomaton:
                 matched = 0
             if matched >= least:
                 begin = at + 1 - matched
-                if out and begin <= out[-1][1]:
-                    out[-1] = (min(out[-1][0], begin), at + 1)
+                if out and out[-1][1] == at:
+                    out[-1] = (out[-1][0], at + 1)
                 else:
                     out.append((begin, at + 1))
         return out
@@ -199,7 +203,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sequence = [ids.setdefault(w, len(ids)) for w in text.encode().split()]
             spans = automaton.spans(sequence, WINDOW)
             rows += [(anchor, context, lo, hi) for lo, hi in spans]
-            if spans != [(0, len(sequence))]:
+            if spans != [(0, len(sequence))]:  # else all its windows are known
                 waiting.append(sequence)
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(

@@ -75,3 +75,20 @@ def test_automaton_spans():
         for lo, hi in own.spans(text, 4):
             marked[lo:hi] = [True] * (hi - lo)
         assert marked == covered
+
+
+def test_windows_across_the_seam_of_two_known_excerpts(docs_of, rng):
+    rows = []
+    for k in range(12):
+        p = prose(rng, 160).split()
+        cuts = [(0, 100), (60, 160), (0, 160), (52, 108)] + [sorted(rng.sample(range(161), 2)) for _ in range(12)]
+        rows += [(100 * k + j, " ".join(p[a:b])) for j, (a, b) in enumerate(cuts)]
+    assert found(docs_of(rows).repartition(6)) == brute(rows)
+
+
+def test_spans_part_where_a_window_is_unknown():
+    own = S.SuffixAutomaton()
+    own.add(list(range(5)))
+    own.add(list(range(3, 10)))
+    assert own.spans(list(range(10)), 4) == [(0, 5), (3, 10)]
+    assert own.spans(list(range(1, 5)), 4) == [(0, 4)]
