@@ -32,6 +32,10 @@ SHARPNESS = 4.0
 #: What a lost good document costs against a kept bad one, as shares of their kinds.
 LOSS = 4.0
 FIT, GOOD, BAD = 1, 2, 3
+#: Share of the held-out target text, by length, in documents of at most the penalty a gram that is allowed to all texts.
+ALLOWED = 0.9
+#: What is kept of a document to form the ratios once the scale is known.
+SUMS = ("n_bytes", "byte_sum", "word_ratio", "prefix_sum")
 RATIOS = ("byte_ratio", "word_ratio", "prefix_ratio")
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -99,13 +103,13 @@ def _score(ratios):
                 docs = len(offsets) - 1
                 sums = []
                 for kind, (owner, buckets) in enumerate(_features(words, offsets)):
-                    sums.append(np.bincount(owner, weights=tables[kind][buckets], minlength=docs))
+                    sums.append(np.bincount(owner, weights=tables[kind][buckets], minlength=docs).astype(np.float64))  # without grams it counts integers
                 n_words = np.diff(words.bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, docs), batch.column("role").slice(first, docs),
                      pa.array(n_words, pa.int64()),
-                     pa.array(sums[0] / np.sqrt(np.diff(offsets) + 100.0)), pa.array(sums[1] / np.maximum(n_words, 20)), pa.array(sums[2] / np.sqrt(n_words + 20.0))],
-                    names=["doc_id", "role", "n_words", *RATIOS],
+                     pa.array(np.diff(offsets).astype(np.float64)), pa.array(sums[0]), pa.array(sums[1] / np.maximum(n_words, 20)), pa.array(sums[2])],
+                    names=["doc_id", "role", "n_words", *SUMS],
                 )
 
     return run
@@ -113,13 +117,31 @@ def _score(ratios):
 
 @dataclass
 class Scale:
-    """Of held-out target documents: the spreads of the ratios and the centre of the words'; the cut between good and bad."""
+    """Of held-out target documents: penalties allowed a byte and a word, the spreads of the ratios and the centre of the words'; the cut between good and bad."""
 
     byte_spread: float = 1.0
     word_centre: float = 0.0
     word_spread: float = 1.0
     prefix_spread: float = 1.0
     cut: float | None = None
+    byte_allowed: float = 0.0
+    prefix_allowed: float = 0.0
+
+
+def _allowed(sums: np.ndarray, lengths: np.ndarray) -> float:
+    """The penalty a unit of length that ALLOWED of the text, by length, stays within."""
+    rates = -sums / np.maximum(lengths, 1.0)
+    order = np.argsort(rates)
+    total = np.cumsum(lengths[order])
+    return float(rates[order][np.searchsorted(total, ALLOWED * total[-1])]) if total[-1] > 0 else 0.0
+
+
+def _ratios(n_words: np.ndarray, sums: np.ndarray, byte_allowed: float, prefix_allowed: float) -> np.ndarray:
+    n_bytes, byte_sum, word_ratio, prefix_sum = sums.T
+    return np.stack([
+        np.minimum(byte_sum + byte_allowed * n_bytes, 0) / np.sqrt(n_bytes + 100.0), word_ratio,
+        np.minimum(prefix_sum + prefix_allowed * n_words, 0) / np.sqrt(n_words + 20.0),
+    ], axis=1)
 
 
 def _calibrate(good: np.ndarray, bad: np.ndarray) -> Scale:
@@ -146,7 +168,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     with a null is not used; of repeated ids the worst counts.  At most
     ``max_labelled`` labels, chosen by a hash of the id, are used: three
     quarters of the target documents fit the target model, the others and the
-    bad ones set the scale and the cut.  Without target or bad labels every
+    bad ones set the scale and the cut.  Penalties count beyond the rate that
+    clean text has anyway (``ALLOWED``), at any length.  Without target or bad labels every
     document is drawn.  Raw counts are of all whole texts; null counts as
     empty.  Documents of the same id share the noise and so a key; all that
     reach the k-th key are drawn.
@@ -184,15 +207,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         # byte n-grams and first bytes count only where they are clearly rarer in target text
         tables.append((np.minimum(ratio + below, 0) if below else ratio).astype(np.float32))
     ratios = context.broadcast(tables)
-    schema = "doc_id long, role int, n_words long, " + ", ".join(f"{c} double" for c in RATIOS)
+    schema = "doc_id long, role int, n_words long, " + ", ".join(f"{c} double" for c in SUMS)
     scored = materialise(source.mapInArrow(_score(ratios), schema))
 
-    held = scored.filter(F.col("role").isin(GOOD, BAD)).select("role", *RATIOS).toArrow()  # max_labelled rows at most
-    role, ratios_of = held["role"].to_numpy(), np.stack([held[c].to_numpy() for c in RATIOS], axis=1)
-    good = ratios_of[role == GOOD]
-    scale = _calibrate(good, ratios_of[role == BAD]) if len(good) else Scale()
+    held = scored.filter(F.col("role").isin(GOOD, BAD)).select("role", "n_words", *SUMS).toArrow()  # max_labelled rows at most
+    role, words_of, sums_of = held["role"].to_numpy(), held["n_words"].to_numpy(), np.stack([held[c].to_numpy() for c in SUMS], axis=1)
+    scale = Scale()
+    if (role == GOOD).any():
+        good = sums_of[role == GOOD]
+        allowed = _allowed(good[:, 1], good[:, 0]), _allowed(good[:, 3], words_of[role == GOOD].astype(np.float64))
+        ratios_of = _ratios(words_of, sums_of, *allowed)
+        scale = _calibrate(ratios_of[role == GOOD], ratios_of[role == BAD])
+        scale.byte_allowed, scale.prefix_allowed = allowed
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("gumbel")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    weighed = scored.withColumn(
+    # without the allowance the ratios of clean text would fall like the root of its length
+    weighed = scored.withColumns({
+        "byte_ratio": F.least(F.col("byte_sum") + scale.byte_allowed * F.col("n_bytes"), F.lit(0.0)) / F.sqrt(F.col("n_bytes") + 100.0),
+        "prefix_ratio": F.least(F.col("prefix_sum") + scale.prefix_allowed * F.col("n_words"), F.lit(0.0)) / F.sqrt(F.col("n_words") + 20.0),
+    }).withColumn(
         "weight",
         F.least(F.col("byte_ratio") / scale.byte_spread, F.col("prefix_ratio") / scale.prefix_spread, (F.col("word_ratio") - scale.word_centre) / scale.word_spread),
     ).withColumn("gumbel_key", F.col("weight") * SHARPNESS - F.log(-F.log(uniform)))

@@ -54,3 +54,19 @@ def test_kth_largest(spark):
     for k in (1, 7, 1500, 3500):
         assert kth_largest(df, "x", k, buckets=16, few=10) == own[k - 1]
     assert kth_largest(df, "x", 0) is None and kth_largest(df, "x", 3501) is None
+
+
+def test_length_alone_rejects_no_clean_text(docs_of, spark, rng):
+    """Clean text has a few of the words that toxic text is full of."""
+    clean = [f"word{k}" for k in range(200)]
+
+    def text(n, slurs):
+        return " ".join(f"slur{rng.randrange(5)}" if rng.random() < slurs else rng.choice(clean) for _ in range(n))
+
+    rows = [(k, text(80, 0.3 if k % 5 == 0 else 0.005)) for k in range(3000)]
+    long = {9000: text(100_000, 0.005), 9001: text(300_000, 0.005), 9002: text(1_000_000, 0.005), 9003: text(90_000, 0.005) + " " + text(10_000, 0.3)}
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), int(k % 5 == 0)) for k in range(0, 3000) if k // 10 % 2], "doc_id long, quality int, toxic int")
+    kept = {}
+    for k, t in long.items():  # one at a time, so that the raw counts are of the short texts
+        kept |= {r["doc_id"]: r["kept"] for r in Q.quality_scores(docs_of([*rows, (k, t)]), labels).collect() if r["doc_id"] == k}
+    assert kept == {9000: True, 9001: True, 9002: True, 9003: False}
