@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +26,13 @@ MAX_LABELLED = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 #: Elements that are never content; header counts only outside an article.
-NEVER = frozenset("head script style noscript template iframe object svg nav header footer aside form button select textarea dialog menu title noembed noframes canvas audio video".split())
+NEVER = frozenset("head script style noscript template iframe object svg nav header footer aside button select textarea dialog menu title noembed noframes canvas audio video".split())
 MARKED = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-#: Words of a class, id or role that name boilerplate.
+#: Words of a class, id or role that name boilerplate.  An element of these, or a form, is none if it wraps most of the page's words.
 CUES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login social share sharing "
@@ -49,6 +50,16 @@ _HINT = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 _PART = re.compile(r"[a-z]+")
 
 
+@dataclass(slots=True)
+class Region:
+    """The tokens of a cued element or form."""
+
+    begin: int
+    end: int
+    strong: bool  # by a cue that says so of an article too
+    holds_article: bool
+
+
 @dataclass(slots=True)
 class Token:
     """A tag, or a run of text in one block."""
@@ -70,10 +81,13 @@ def tokens(page: str) -> list[Token]:
 
     Comments, declarations and raw elements (scripts, styles) give no text.  A
     missing end tag is supplied where a block, list item or the parent's end
-    implies it.
+    implies it.  Cued elements and forms are not content, but wrappers are: those
+    of more than half of the page's words, which of ``ARTICLE_CUES`` must also
+    hold an article or main element without such a cue.
     """
     out: list[Token] = []
-    stack: list[tuple[str, bool]] = []  # name, not content
+    stack: list[tuple[str, bool, Region | None]] = []  # name, never content, cued
+    regions: list[Region] = []
     off = links = marked = block = 0
     kind = "other"
     at, n = 0, len(page)
@@ -81,8 +95,10 @@ def tokens(page: str) -> list[Token]:
     def pop(to: int) -> None:
         nonlocal off, links, marked
         while len(stack) > to:
-            name, bad = stack.pop()
+            name, bad, region = stack.pop()
             off -= bad
+            if region:
+                region.end = len(out)
             links -= name == "a"
             marked -= name in MARKED
 
@@ -147,10 +163,18 @@ def tokens(page: str) -> list[Token]:
                     if stack[k][0] in _LISTS:
                         break
             if name not in VOID:
-                bad = name in NEVER and not (name == "header" and marked) or (
-                    bool(attributes) and name not in ("html", "body") and _cued(attributes, ARTICLE_CUES if name in MARKED else CUES)
-                )
-                stack.append((name, bad))
+                bad = name in NEVER and not (name == "header" and marked)
+                hinted = bool(attributes) and name not in ("html", "body")
+                strong = hinted and _cued(attributes, ARTICLE_CUES)
+                region = None
+                if name in MARKED and not strong and not off:
+                    for *_, around in stack:
+                        if around:
+                            around.holds_article = True
+                if not bad and (strong or name == "form" or hinted and name not in MARKED and _cued(attributes)):
+                    region = Region(len(out), len(out), strong, False)
+                    regions.append(region)
+                stack.append((name, bad, region))
                 off += bad
                 links += name == "a"
                 marked += name in MARKED
@@ -160,9 +184,28 @@ def tokens(page: str) -> list[Token]:
         if not closing and name in RAW:
             stop = re.compile(rf"</{name}", re.I).search(page, at)
             at = stop.start() if stop else n
+    pop(0)
+    _remove(out, regions)
     return out
 
 
+def _remove(found: list[Token], regions: list[Region]) -> None:
+    """Cued elements and forms are no content, unless they wrap most of the page's words."""
+    for strong in (True, False):  # comments and the like are no words of the page when others are judged
+        own = [r for r in regions if r.strong == strong]
+        if not own:
+            continue
+        words = [0, *accumulate(t.words if t.content else 0 for t in found)]
+        gone = 0
+        for r in own:
+            if r.begin < gone:
+                continue  # within one that is removed
+            if 2 * (words[r.end] - words[r.begin]) <= words[-1] or strong and not r.holds_article:
+                gone = r.end
+                for t in found[r.begin : r.end]:
+                    t.content = False
+
+
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KNOWN = BLOCK | frozenset("a b i em strong span br img code small u sup sub abbr time cite q mark".split())
 _KINDS = ("p", "li", "cell", "h", "other")

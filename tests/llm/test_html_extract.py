@@ -62,3 +62,27 @@ def test_fitted_weights_keep_their_signs(spark):
     assert all(w < 0 for n, w in weights.items() if n.startswith("t:") or n.endswith(":a"))
     assert all(w > 0 for n, w in weights.items() if n.startswith("w:") and n.endswith("-"))
     assert X.extract(PAGE, weights) == TEXT
+
+
+WRAPPERS = ['<div class="site has-sidebar">', '<div class="no-sidebar">', '<div id="page" class="share-enabled">', '<form action="/page.aspx">', '<div class="has-comments">']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_cued_wrapper_of_the_page_hides_no_article(wrapper):
+    inner = PAGE[PAGE.index("<nav>") : PAGE.index("</body>")]
+    assert X.extract(f"<body>{wrapper}{inner}</{wrapper[1:5].strip()}></body>") == TEXT
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS[:4])
+def test_a_cued_wrapper_of_an_unmarked_page(wrapper):
+    words = " ".join(f"word{k}" for k in range(60))
+    tail = '<div class="sidebar"><p>beside it</p></div><div class="ad"><p>Buy this now.</p></div>'
+    comments = f'<div id="comments"><p>{words} {words} {words} no</p></div>'
+    page = f"<body>{wrapper}<p>{words}</p>{tail}</{wrapper[1:5].strip()}>{comments}</body>"
+    assert X.extract(page) == words
+
+
+def test_cued_elements_beside_the_text_stay_out():
+    words = " ".join(f"word{k}" for k in range(60))
+    page = f'<body><p>{words}</p><div class="related"><article><p>a teaser</p></article></div><form><p>Your name</p></form><div class="widget"><p>one two</p></div></body>'
+    assert X.extract(page) == words
