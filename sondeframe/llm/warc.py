@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are cut into ranges of ids of about equal payload, each range is sorted
-and written as a run of gzip files that roll at a compressed size.  Tasks write
-under temporary names; when all have ended a second pass gives the files of the
+Records are put in the order of their keys and cut into shards of about equal
+payload by a running sum over that order; each shard is sorted and written as
+a run of gzip files that roll at a compressed size.  Tasks write under
+temporary names; when all have ended a second pass gives the files of the
 winning attempts their names, and the manifest is written last.
 """
 
@@ -16,16 +17,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeframe.llm.common import materialise
+from sondeframe.llm.common import materialise, shuffle_partitions
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
-RANGES = 1024
+#: Shards grow beyond ``shard_bytes`` rather than be more than these, so that their bounds stay a broadcast of a few MB.
+MAX_SHARDS = 1 << 16
+#: What a record weighs beside its payload.
+HEAD_BYTES = 512
 #: Payload bytes of a batch that the reader gives on.
 READ_BYTES = 8 << 20
 DECISION, RECORD = 0, 1
@@ -33,6 +39,12 @@ DECISION, RECORD = 0, 1
 DATE = "2000-01-01T00:00:00Z"
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder's URI; Hadoop's names of S3 are read as S3."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri("s3" + colon + rest if scheme in ("s3a", "s3n") else folder)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -103,7 +115,7 @@ def _write(folder: str, roll: int):
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("temporary", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         out, name, shard, part, size, n, digest = None, "", None, 0, 0, 0, hashlib.sha256()
         done = []
 
@@ -115,19 +127,21 @@ def _write(folder: str, roll: int):
                 out = None
 
         revisit: tuple | None = None  # id, digest and response of the revisits that come next
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == DECISION:
-                    revisit = (row["page_id"], row["digest"], row["refers_to"])
+        for batch in batches:  # of bounded bytes; payloads become Python objects one at a time
+            payloads = batch.column("payload")
+            small = [batch.column(c).to_pylist() for c in ("shard", "page_id", "digest", "kind", "url", "refers_to")]
+            for k, (to, page, key, kind, url, refers_to) in enumerate(zip(*small, strict=True)):
+                if kind == DECISION:
+                    revisit = (page, key, refers_to)
                     continue
-                refers = revisit[2] if revisit and revisit[:2] == (row["page_id"], row["digest"]) else None
-                if row["shard"] != shard or size >= roll:
+                refers = revisit[2] if revisit and revisit[:2] == (page, key) else None
+                if to != shard or size >= roll:
                     close()
-                    part = part + 1 if row["shard"] == shard else 0
-                    shard, size, n, digest = row["shard"], 0, 0, hashlib.sha256()
+                    part = part + 1 if to == shard else 0
+                    shard, size, n, digest = to, 0, 0, hashlib.sha256()
                     name = f"{shard:06d}-{part:05d}.{uuid.uuid4().hex}.tmp"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(record(row["page_id"], row["url"], row["payload"], refers, refers is None), 6, mtime=0)
+                member = gzip.compress(record(page, url, payloads[k].as_py(), refers, refers is None), 6, mtime=0)
                 out.write(member)
                 digest.update(member)
                 size, n = size + len(member), n + 1
@@ -140,7 +154,7 @@ def _write(folder: str, roll: int):
 
 def _rename(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         for batch in batches:
             names = []
             for row in batch.to_pylist():
@@ -156,41 +170,68 @@ def _rename(folder: str):
     return run
 
 
-def _shard_of(records: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """Shard number of a record by ranges of its id, and the number of shards.
+def _keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """(known, id, hash) as byte strings that sort alike."""
+    out = np.zeros((len(ids), 17), dtype=np.uint8)
+    out[:, 0] = known
+    sign = np.uint64(1 << 63)
+    for at, column in ((1, ids), (9, hashes)):
+        out[:, at : at + 8] = (column.astype(np.int64).view(np.uint64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def _begins(offsets: dict[int, int], size: int):
+    """Of rows in order: the first of each shard (and of each partition)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if total is None:
+                total = offsets[batch.column("at")[0].as_py()]
+            weights = batch.column("weight").to_numpy()
+            ends = total + np.cumsum(weights)
+            total = int(ends[-1])
+            shards = (ends - weights) // size
+            new = np.flatnonzero(np.diff(shards, prepend=-1 if last is None else last))
+            last = int(shards[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(shards[new]), batch.column("page_id").take(pa.array(new)), batch.column("h").take(pa.array(new))], names=["shard", "page_id", "h"])
+
+    return run
+
+
+def _shard_of(slim: DataFrame, shard_bytes: int) -> tuple[Column, int]:
+    """Shard number of a record by its key, and the number of shards.
 
-    Histograms of at most RANGES buckets give the payload of each id range; a
-    bucket of more than a shard is divided again.  Bounds follow from the rows
-    alone, so that a second run cuts alike.
+    Keys (id, hash) are range-sorted without their payloads; the sums of the
+    partitions and a running sum within each give every record's place in bytes.
+    A shard begins where that place passes a multiple of its size, so the bounds
+    follow from the rows alone and a second run cuts alike.  One pass, whatever
+    the number of shards.
     """
-    low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0), 1
-    weight = F.octet_length("payload") + F.lit(512)
-    pieces: list[tuple[int, int]] = []  # (first id, bytes)
-    spans = [(low, high)]
-    while spans:
-        begin, end = spans.pop()
-        width = (end - begin) // RANGES + 1
-        at = F.floor((F.col("page_id") - begin) / width)
-        rows = records.filter(F.col("page_id").between(begin, end)).groupBy(at.alias("at")).agg(F.sum(weight).alias("n")).collect()
-        for at_, n in rows:
-            first = begin + at_ * width
-            if n > shard_bytes and width > 1:
-                spans.append((first, min(end, first + width - 1)))
-            else:
-                pieces.append((first, n))
-    bounds, size = [], 0
-    for first, n in sorted(pieces):
-        if size and size + n > shard_bytes:
-            bounds.append(first)
-            size = 0
-        size += n
-    if not bounds:
+    order = (F.col("page_id").asc_nulls_first(), F.col("h").asc())
+    ranged = materialise(slim.select("page_id", "h", "weight").repartitionByRange(shuffle_partitions(slim.sparkSession), *order).sortWithinPartitions(*order))
+    placed = ranged.withColumn("at", F.spark_partition_id())
+    sums = sorted(tuple(r) for r in placed.groupBy("at").agg(F.sum("weight")).collect())  # a row a partition
+    total, offsets = 0, {}
+    for at, n in sums:
+        offsets[at] = total
+        total += n
+    size = max(shard_bytes, -(-total // MAX_SHARDS))
+    if total <= size:
         return F.lit(0), 1
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    shard = F.size(F.filter(cuts, lambda b: b <= F.col("page_id")))
-    return F.coalesce(F.when(F.col("page_id").isNotNull(), shard), F.lit(0)), len(bounds) + 1
+    begins = placed.mapInArrow(_begins(offsets, size), "shard long, page_id long, h long").toArrow()  # MAX_SHARDS and a row a partition at most
+    rows = sorted((s, p is not None, p or 0, h) for s, p, h in zip(*(begins[c].to_pylist() for c in ("shard", "page_id", "h")), strict=True))
+    firsts = [b for a, b in zip([None, *rows], rows, strict=False) if a is None or a[0] != b[0]][1:]
+    bounds = slim.sparkSession.sparkContext.broadcast(np.unique(_keys(*(np.array([f[k] for f in firsts]) for k in (1, 2, 3)))))
+
+    @F.pandas_udf("int")
+    def shard(known: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        keys = _keys(known.to_numpy(), ids.to_numpy(), hashes.to_numpy())
+        return pd.Series(np.searchsorted(bounds.value, keys, side="right").astype(np.int32))
+
+    return shard(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), F.col("h")), len(bounds.value) + 1
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -202,32 +243,35 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     and the others revisit it; rows repeated with that id are responses too.  A
     null id comes first and never is a response for others, unless all of the
     group are null: then all are responses.  Files hold one shard's records in
-    the order of (id, digest, url).
+    the order of (id, hash of payload and url).  The number of jobs is the same
+    for any size; a shard is about ``shard_bytes`` of payload, or what makes
+    MAX_SHARDS of them.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(html, "UTF-8").alias("payload"))
-    records = records.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    shard, n_shards = _shard_of(records, shard_bytes)
-    slim = records.filter(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
-    groups = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    records = records.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("h", F.xxhash64("digest", "url"))
+    # what decides places and revisits: a few dozen bytes a record
+    slim = materialise(records.select("page_id", "digest", "h", F.octet_length("payload").cast("long").alias("n"), (F.octet_length("payload") + F.lit(HEAD_BYTES)).cast("long").alias("weight")))
+    shard, n_shards = _shard_of(slim, shard_bytes)
+    wanted = slim.filter(F.col("n") >= least_bytes)
+    groups = wanted.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     # a revisit's decision goes to its record's place and comes before it, so that payloads move once
     none = {n: F.lit(None).cast(t) for n, t in (("url", "string"), ("payload", "binary"), ("refers_to", "long"))}
     decisions = (
-        slim.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-        .select(shard.alias("shard"), "page_id", "digest", F.lit(DECISION).alias("kind"), none["url"].alias("url"), none["payload"].alias("payload"), "refers_to")
+        wanted.select("page_id", "digest", "h").join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        .select(shard.alias("shard"), "page_id", "h", "digest", F.lit(DECISION).alias("kind"), none["url"].alias("url"), none["payload"].alias("payload"), "refers_to")
     )
-    bodies = records.select(shard.alias("shard"), "page_id", "digest", F.lit(RECORD).alias("kind"), "url", "payload", none["refers_to"].alias("refers_to"))
-    placed = bodies.unionByName(decisions).repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
-    store, root = fs.FileSystem.from_uri(folder)
+    bodies = records.select(shard.alias("shard"), "page_id", "h", "digest", F.lit(RECORD).alias("kind"), "url", "payload", none["refers_to"].alias("refers_to"))
+    placed = bodies.unionByName(decisions).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "h", "digest", "kind", "url")
+    store, root = store_of(folder)
     store.create_dir(root, recursive=True)
     written = materialise(placed.mapInArrow(_write(folder, roll_bytes), _FILES))
     manifest = materialise(written.mapInArrow(_rename(folder), "name string, bytes long, records long, sha256 string"))
-    kept = {r["name"] for r in manifest.select("name").toLocalIterator()}  # a row a file
-    for info in store.get_file_info(fs.FileSelector(root)):  # what lost attempts left
-        if info.base_name not in kept:
+    for info in store.get_file_info(fs.FileSelector(root)):  # what lost attempts left: the winners' files have their names
+        if info.base_name.endswith(".tmp"):
             store.delete_file(info.path)
     with store.open_output_stream(f"{root}/manifest.tmp", compression=None) as out:
-        for row in manifest.orderBy("name").toLocalIterator():
+        for row in manifest.coalesce(1).sortWithinPartitions("name").toLocalIterator():  # a row a file
             out.write(json.dumps(row.asDict(), sort_keys=True).encode() + b"\n")
     store.move(f"{root}/manifest.tmp", f"{root}/manifest.jsonl")
     return manifest

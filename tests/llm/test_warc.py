@@ -62,3 +62,31 @@ def test_members():
     assert list(W.members(b"".join(gzip.compress(p) for p in parts), step=7)) == parts
     with pytest.raises(ValueError):
         list(W.members(gzip.compress(b"abc")[:-3]))
+
+
+def test_the_number_of_jobs_does_not_follow_the_shards(spark, tmp_path):
+    jobs = []
+    for name, size in (("many", 1_000), ("few", 40_000)):
+        group = f"warc-{name}"
+        spark.sparkContext.setJobGroup(group, group)
+        W.write_warc(table(spark, ROWS * 3), f"file://{tmp_path}/{name}", shard_bytes=size)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        shards = {p.name.split("-")[0] for p in Path(tmp_path, name).glob("*.warc.gz")}
+        jobs.append((len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), len(shards)))
+    (many, shards), (few, fewer) = jobs
+    assert shards > 4 * fewer and many <= few + 2
+
+
+def test_shards_are_even_where_one_id_holds_most_rows(spark, tmp_path):
+    rows = [(None, f"u{k}", f"<p>{k}") for k in range(2000)] + [(k, "v", f"<b>{k}") for k in range(200)] + [(2**62, "w", "last")]
+    manifest = W.write_warc(table(spark, rows), f"file://{tmp_path}/w", shard_bytes=50_000)
+    per = {}
+    for r in manifest.collect():
+        per[r["name"][:6]] = per.get(r["name"][:6], 0) + r["records"]
+    assert sum(per.values()) == len(rows) and len(per) > 15 and max(per.values()) < 150
+
+
+def test_uris():
+    assert W.store_of("file:///a/b")[1] == "/a/b"
+    kind, path = W.store_of("s3a://bucket/w?region=us-east-1")
+    assert kind.type_name == "s3" and path == "bucket/w"
