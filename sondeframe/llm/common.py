@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors see.
 
-    Only where it is unset (local tests) a temporary folder is set.
+    Only where it is unset and Spark runs in this process alone a temporary
+    folder is set; on a cluster, whose executors would not see it, that is an
+    error.
     """
     context = spark.sparkContext
     path = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sondeframe-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -46,6 +51,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, column: str, n: int, most: int, salt: str = "sample") -> DataFrame:
+    """About ``most`` of the n rows, chosen by all 64 bits of a hash of the column; all of them where n is less.
+
+    The expected number is ``most`` at any n: a threshold over few distinct
+    values would round down to nothing in a large table.
+    """
+    return df if n <= most else df.filter(F.xxhash64(column, F.lit(salt)) < hash_bound(most, n))
+
+
+def hash_bound(most: int, n: int) -> int:
+    """Below it lie ``most`` of n hashes, as a signed 64-bit number."""
+    return min((most << 64) // n - (1 << 63), (1 << 63) - 1)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeframe.llm.common import fresh, materialise, text_or_empty
+from sondeframe.llm.common import fresh, hash_sample, materialise, text_or_empty
 from sondeframe.llm.wordscan import scan
 
 BUCKET_BITS = 16
@@ -28,6 +28,8 @@ SLACK = 1e-4
 #: Words whose evidence counts whole; that of longer texts is scaled down to it.
 EVIDENCE_WORDS = 20
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
+#: Of the query: half of the tokens, of a mixture without one of the domains, so that rates sink and reach 0.
+QUERY_TARGETS, QUERY_SHARE = {"en": 0.5, "de": 0.3, "fr": 0.2, "es": 0.0}, 0.5
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
@@ -72,6 +74,16 @@ def _posteriors(model):
     return run
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
+    """The documents whose id is in ``labels``, for at most about ``most`` of its ids.
+
+    Only of these the domain counts as known; all others are scored unseen.
+    """
+    ids = labels.select(id_col).na.drop().distinct()
+    chosen = hash_sample(ids, id_col, ids.count(), most, "labelled")
+    return docs.join(F.broadcast(chosen), id_col, "left_semi")
+
+
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], domain_col: str,
                       id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, key, n_tokens, posterior) for every document.
@@ -84,9 +96,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     context = docs.sparkSession.sparkContext
     number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col(domain_col)) - 1
     sample = labelled.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), number.cast("int").alias("domain")).filter("domain >= 0")
-    n = sample.count()
-    if n > max_labelled:
-        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+    sample = hash_sample(sample, "doc_id", sample.count(), max_labelled)
     rows = (
         sample.select("domain", "text").mapInArrow(_count(len(domains)), "domain int, bucket int, n long")
         .groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()  # domains * BUCKETS rows at most
@@ -119,16 +129,17 @@ def _rate(history: list[list[float]]) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "lang",
-                 id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, steps: int = STEPS) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, budget_share: float | None = None, steps: int = STEPS) -> DataFrame:
     """One row per document: posteriors over the domains, rate and copies.
 
     With n the tokens of a document, p its posteriors and r its rate, the rates
     minimise the sum over domains of (sum of r n p - target)^2 / (sum of n p),
     r >= 0, from r = 1.  The step is 1, which is safe because in these units
     the largest eigenvalue of the Gram matrix is 1 (posteriors sum to 1).
-    Targets are the weights times ``budget`` tokens.  Without a budget it is
-    the least at which no domain must shrink, so that no document is thinned
-    out; a domain with no mass is left out.  ``copies`` is the rate rounded down, and
+    Targets are the weights times ``budget`` tokens, or ``budget_share`` of all
+    the tokens.  Without either it is the least at which no domain must shrink,
+    so that no document is thinned out.  A target of 0 takes a domain's
+    documents to rate 0; a domain with no mass is left out.  ``copies`` is the rate rounded down, and
     up with the fraction as chance, by a hash of the id.  Null or empty texts
     have 0 tokens: rate 1 moved like any other.
 
@@ -154,7 +165,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     if live.any():
         share = np.where(live, weights, 0.0)
         share /= share.sum() or 1.0
-        tokens = budget or float((base[share > 0] / share[share > 0]).max())
+        tokens = budget or budget_share and budget_share * float(base.sum()) or float((base[share > 0] / share[share > 0]).max())
         wanted = share * tokens
         now = base
         for _ in range(steps):
@@ -162,7 +173,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
             if np.abs(excess).max() < TOLERANCE:
                 break
             history.append(excess.tolist())
-            now = totals(_rate(history))
+            before, now = now, totals(_rate(history))
+            if np.abs(np.where(live, (now - before) / np.maximum(base, 1e-9), 0.0)).max() < TOLERANCE:
+                break  # the bound at 0 holds what excess is left
     packed.unpersist()
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("copies")), 11) / F.lit(float(1 << 53))
     rated = table.withColumn("rate", _rate(history)).withColumn(

@@ -2,9 +2,10 @@
 
 Three pairs of hashed n-gram models are counted: of target text (labelled good,
 not toxic) and of the raw text of all documents, over byte 4-grams, word
-bigrams and the first bytes of words.  A document's weight compares it with
-held-out target documents on all ratios, and a Gumbel top-k draws documents by
-weight.
+bigrams and the first bytes of words.  A document's log weight is the sum over
+all its n-grams of log(p_target / p_raw), smoothed and shrunk, for a kind as a
+share of the square root of its length and of its spread in held-out target
+text.  A Gumbel top-k draws k documents by weight.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeframe.llm.common import fresh, kth_largest, materialise, text_or_empty
+from sondeframe.llm.common import fresh, hash_sample, kth_largest, materialise, text_or_empty
 from sondeframe.llm.wordscan import SPACE, Words, mix, scan
 
 BUCKET_BITS = 18
@@ -28,14 +29,19 @@ BYTE_N, WORD_N = 4, 2
 PREFIX_BYTES = 6
 KINDS = 3
 MAX_LABELLED = 200_000
-SHARPNESS = 4.0
+#: Counts are smoothed by ADD, log ratios are shrunk towards 0 by SHRINK (as by a Laplace prior), so that chance differences of rare n-grams don't add up.
+ADD, SHRINK = 3.0, 0.5
+#: The keys are log weight / temperature + Gumbel noise.
+TEMPERATURE = 0.25
 #: What a lost good document costs against a kept bad one, as shares of their kinds.
 LOSS = 4.0
 FIT, GOOD, BAD = 1, 2, 3
 #: Share of the held-out target text, by length, in documents of at most the penalty a gram that is allowed to all texts.
 ALLOWED = 0.9
 #: What is kept of a document to form the ratios once the scale is known.
-SUMS = ("n_bytes", "byte_sum", "word_ratio", "prefix_sum")
+SUMS = ("n_bytes", "byte_sum", "word_sum", "prefix_sum")
+#: Units added to a length, so that a few n-grams decide nothing.
+PADS = (100.0, 20.0, 20.0)
 RATIOS = ("byte_ratio", "word_ratio", "prefix_ratio")
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -108,7 +114,7 @@ def _score(ratios):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, docs), batch.column("role").slice(first, docs),
                      pa.array(n_words, pa.int64()),
-                     pa.array(np.diff(offsets).astype(np.float64)), pa.array(sums[0]), pa.array(sums[1] / np.maximum(n_words, 20)), pa.array(sums[2])],
+                     pa.array(np.diff(offsets).astype(np.float64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])],
                     names=["doc_id", "role", "n_words", *SUMS],
                 )
 
@@ -117,15 +123,22 @@ def _score(ratios):
 
 @dataclass
 class Scale:
-    """Of held-out target documents: penalties allowed a byte and a word, the spreads of the ratios and the centre of the words'; the cut between good and bad."""
+    """Of held-out target documents, for each kind: penalty allowed a unit of length, centre and spread; the cut between good and bad."""
 
-    byte_spread: float = 1.0
-    word_centre: float = 0.0
-    word_spread: float = 1.0
-    prefix_spread: float = 1.0
+    allowed: tuple[float, ...] = (0.0,) * KINDS
+    centres: tuple[float, ...] = (0.0,) * KINDS
+    spreads: tuple[float, ...] = (1.0,) * KINDS
     cut: float | None = None
-    byte_allowed: float = 0.0
-    prefix_allowed: float = 0.0
+
+
+def shrunk(ratio: np.ndarray) -> np.ndarray:
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - SHRINK, 0)
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket, smoothed and shrunk."""
+    wanted = raw * (target.sum() / max(1.0, raw.sum()))
+    return shrunk(np.log((target + ADD) / (wanted + ADD)))
 
 
 def _allowed(sums: np.ndarray, lengths: np.ndarray) -> float:
@@ -136,23 +149,23 @@ def _allowed(sums: np.ndarray, lengths: np.ndarray) -> float:
     return float(rates[order][np.searchsorted(total, ALLOWED * total[-1])]) if total[-1] > 0 else 0.0
 
 
-def _ratios(n_words: np.ndarray, sums: np.ndarray, byte_allowed: float, prefix_allowed: float) -> np.ndarray:
-    n_bytes, byte_sum, word_ratio, prefix_sum = sums.T
-    return np.stack([
-        np.minimum(byte_sum + byte_allowed * n_bytes, 0) / np.sqrt(n_bytes + 100.0), word_ratio,
-        np.minimum(prefix_sum + prefix_allowed * n_words, 0) / np.sqrt(n_words + 20.0),
-    ], axis=1)
-
-
-def _calibrate(good: np.ndarray, bad: np.ndarray) -> Scale:
-    spreads = np.maximum(good.std(axis=0), 1e-6)
-    scale = Scale(float(spreads[0]), float(np.median(good[:, 1])), float(spreads[1]), float(spreads[2]))
+def _ratios(n_words: np.ndarray, sums: np.ndarray, allowed: tuple[float, ...]) -> np.ndarray:
+    lengths = (sums[:, 0], n_words, n_words)
+    return np.stack([np.minimum(sums[:, k + 1] + allowed[k] * lengths[k], 0) / np.sqrt(lengths[k] + PADS[k]) for k in range(KINDS)], axis=1)
 
-    def weight(x: np.ndarray) -> np.ndarray:
-        return np.minimum(np.minimum(x[:, 0] / scale.byte_spread, x[:, 2] / scale.prefix_spread), (x[:, 1] - scale.word_centre) / scale.word_spread)
 
-    if len(bad):
-        g, b = np.sort(weight(good)), np.sort(weight(bad))
+def _calibrate(n_words: np.ndarray, sums: np.ndarray, good: np.ndarray, bad: np.ndarray) -> Scale:
+    """From held-out rows of SUMS; ``good`` and ``bad`` say which are."""
+    if not good.any():
+        return Scale()
+    words = n_words.astype(np.float64)
+    allowed = tuple(_allowed(sums[good, k + 1], (sums[:, 0], words, words)[k][good]) for k in range(KINDS))
+    x = _ratios(words, sums, allowed)
+    centres, spreads = np.median(x[good], axis=0), np.maximum(x[good].std(axis=0), 1e-6)
+    scale = Scale(allowed, tuple(map(float, centres)), tuple(map(float, spreads)))
+    if bad.any():
+        weight = ((x - centres) / spreads).sum(axis=1)
+        g, b = np.sort(weight[good]), np.sort(weight[bad])
         at = np.sort(np.concatenate([g, b]))
         cost = LOSS * np.searchsorted(g, at) / len(g) + 1 - np.searchsorted(b, at) / len(b)
         best = int(np.argmin(cost))
@@ -160,17 +173,30 @@ def _calibrate(good: np.ndarray, bad: np.ndarray) -> Scale:
     return scale
 
 
+def gumbel_key(weight: Column, temperature: float = TEMPERATURE, seed: int = 0, id_col: str = "doc_id") -> Column:
+    """log weight / temperature + Gumbel noise by a hash of the id.
+
+    The rows of the k largest keys are a sample without replacement in which
+    each next row is drawn with chances as weight^(1 / temperature).
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(f"gumbel {seed}")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return weight / temperature - F.log(-F.log(uniform))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   max_labelled: int = MAX_LABELLED) -> DataFrame:
+                   max_labelled: int = MAX_LABELLED, k: int | None = None, temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """One row per document: its log weight and whether the resampling draws it.
 
+    ``k`` documents are drawn; without it, as many as weigh more than the cut
+    that parts held-out good and bad documents best.
+
     ``labels`` has the id, quality (1 good) and toxic (1 toxic).  A label row
     with a null is not used; of repeated ids the worst counts.  At most
     ``max_labelled`` labels, chosen by a hash of the id, are used: three
     quarters of the target documents fit the target model, the others and the
     bad ones set the scale and the cut.  Penalties count beyond the rate that
     clean text has anyway (``ALLOWED``), at any length.  Without target or bad labels every
-    document is drawn.  Raw counts are of all whole texts; null counts as
+    document is drawn, unless k is given.  Raw counts are of all whole texts; null counts as
     empty.  Documents of the same id share the noise and so a key; all that
     reach the k-th key are drawn.
 
@@ -182,8 +208,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), "quality", "toxic").na.drop()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = known.count()
-    if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+    known = hash_sample(known, "doc_id", n, max_labelled)
     target = (F.col("quality") == 1) & (F.col("toxic") == 0)
     fitted = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) > 0
     roles = known.select("doc_id", F.when(target & fitted, FIT).when(target, GOOD).otherwise(BAD).alias("role"))
@@ -198,49 +223,42 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     )
     bucket, n_raw, n_target = (counted[c].to_numpy() for c in ("bucket", "raw", "target"))
     tables = []
-    for kind, (below, add) in enumerate(((1.0, 3.0), (None, 1.0), (1.0, 3.0))):
+    for kind in range(KINDS):
         raw, fit = np.zeros(BUCKETS), np.zeros(BUCKETS)
         own = bucket // BUCKETS == kind
         raw[bucket[own] - kind * BUCKETS], fit[bucket[own] - kind * BUCKETS] = n_raw[own], n_target[own]
-        wanted = raw * (fit.sum() / max(1.0, raw.sum()))
-        ratio = np.log((fit + add) / (wanted + add))
-        # byte n-grams and first bytes count only where they are clearly rarer in target text
-        tables.append((np.minimum(ratio + below, 0) if below else ratio).astype(np.float32))
+        tables.append(log_ratios(fit, raw).astype(np.float32))
     ratios = context.broadcast(tables)
     schema = "doc_id long, role int, n_words long, " + ", ".join(f"{c} double" for c in SUMS)
     scored = materialise(source.mapInArrow(_score(ratios), schema))
 
     held = scored.filter(F.col("role").isin(GOOD, BAD)).select("role", "n_words", *SUMS).toArrow()  # max_labelled rows at most
     role, words_of, sums_of = held["role"].to_numpy(), held["n_words"].to_numpy(), np.stack([held[c].to_numpy() for c in SUMS], axis=1)
-    scale = Scale()
-    if (role == GOOD).any():
-        good = sums_of[role == GOOD]
-        allowed = _allowed(good[:, 1], good[:, 0]), _allowed(good[:, 3], words_of[role == GOOD].astype(np.float64))
-        ratios_of = _ratios(words_of, sums_of, *allowed)
-        scale = _calibrate(ratios_of[role == GOOD], ratios_of[role == BAD])
-        scale.byte_allowed, scale.prefix_allowed = allowed
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("gumbel")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    # without the allowance the ratios of clean text would fall like the root of its length
+    scale = _calibrate(words_of, sums_of, role == GOOD, role == BAD)
+    lengths = [F.col("n_bytes"), F.col("n_words"), F.col("n_words")]
     weighed = scored.withColumns({
-        "byte_ratio": F.least(F.col("byte_sum") + scale.byte_allowed * F.col("n_bytes"), F.lit(0.0)) / F.sqrt(F.col("n_bytes") + 100.0),
-        "prefix_ratio": F.least(F.col("prefix_sum") + scale.prefix_allowed * F.col("n_words"), F.lit(0.0)) / F.sqrt(F.col("n_words") + 20.0),
-    }).withColumn(
-        "weight",
-        F.least(F.col("byte_ratio") / scale.byte_spread, F.col("prefix_ratio") / scale.prefix_spread, (F.col("word_ratio") - scale.word_centre) / scale.word_spread),
-    ).withColumn("gumbel_key", F.col("weight") * SHARPNESS - F.log(-F.log(uniform)))
-    if scale.cut is None:
+        # without the allowance the ratios of clean text would fall like the root of its length
+        name: F.least(F.col(total) + scale.allowed[kind] * lengths[kind], F.lit(0.0)) / F.sqrt(lengths[kind] + PADS[kind])
+        for kind, (name, total) in enumerate(zip(RATIOS, SUMS[1:], strict=True))
+    })
+    terms = [(F.col(name) - scale.centres[kind]) / scale.spreads[kind] for kind, name in enumerate(RATIOS)]
+    weighed = weighed.withColumn("weight", sum(terms[1:], terms[0])).withColumn("gumbel_key", gumbel_key(F.col("weight"), temperature, seed))
+    if k is None and scale.cut is None:
         drawn = weighed.withColumn("kept", F.lit(True))
     else:
-        k = weighed.filter(F.col("weight") >= scale.cut).count()
+        k = weighed.filter(F.col("weight") >= scale.cut).count() if k is None else k
         least = kth_largest(weighed, "gumbel_key", k)
-        drawn = weighed.withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= least)
+        every = k > 0  # fewer rows than k
+        drawn = weighed.withColumn("kept", F.lit(every) if least is None else F.col("gumbel_key") >= least)
     return drawn.select(F.col("doc_id").alias(id_col), "n_words", *RATIOS, "weight", "gumbel_key", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows that the resampling draws.
 
-    Of documents that share an id, all stay if one is drawn.
+    Of documents that share an id, all stay if one is drawn.  Null and empty
+    texts have the weight of a text without n-grams, a null id is an id like
+    others; an empty table stays empty.
     """
     kept_id = fresh(docs, "kept_id")
     kept = quality_scores(docs, labels, id_col, text_col).filter("kept").select(F.col(id_col).alias(kept_id))

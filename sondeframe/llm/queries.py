@@ -13,7 +13,7 @@ from sondeframe.llm.exact_dedup import exact_duplicates
 from sondeframe.llm.hmm import hmm_scores
 from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
-from sondeframe.llm.mixing import mixing_rates
+from sondeframe.llm.mixing import QUERY_SHARE, QUERY_TARGETS, labelled_rows, mixing_rates
 from sondeframe.llm.quality import quality_scores
 from sondeframe.llm.substring_dedup import remove_repeats
 from sondeframe.llm.url_filter import judge_urls
@@ -29,8 +29,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the tokens in another mixture; the classifier knows the languages of labelled documents alone."""
     docs = _table(spark, sf_dir, "documents")
-    return mixing_rates(docs, docs).drop("key")
+    known = labelled_rows(docs, _table(spark, sf_dir, "labels"))
+    return mixing_rates(docs, known, QUERY_TARGETS, budget_share=QUERY_SHARE).drop("key")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

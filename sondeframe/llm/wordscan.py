@@ -25,6 +25,8 @@ _STEP = 0xD1342543DE82EF95 | 1
 _byte_values = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _lower_values = _byte_values.copy()
 _lower_values[0x41:0x5B] = _byte_values[0x61:0x7B]
+#: Bytes that are hashed at once.
+PIECE = 4 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -80,13 +82,16 @@ class Words:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
         last = np.repeat(self.bounds[1:], np.diff(self.bounds))
         at = np.flatnonzero(np.arange(len(h)) + n <= last)
-        if n <= 8:
-            g = np.zeros(len(at), dtype=_U)
-            for j in range(n):
-                g = g * _U(_STEP) + h[at + j]
-        else:
-            p = _prefix(h, _STEP)
-            g = (p[at + n] - p[at]) * _power_table(_STEP, len(h))[1][at]
+        g, done = np.zeros(len(h), dtype=_U), 0
+        power, width = h, 1  # hashes of the `width` words from each word on
+        for bit in range(n.bit_length()):
+            if n >> bit & 1:  # the n words are runs of lengths that are powers of two, one after the other
+                g[: len(h) - n + 1] = g[: len(h) - n + 1] * _U(pow(_STEP, width, 1 << 64)) + power[done : done + len(h) - n + 1]
+                done += width
+            if n >> bit > 1:
+                power = power[:-width] * _U(pow(_STEP, width, 1 << 64)) + power[width:]
+                width *= 2
+        g = g[at]
         return at, mix(g)
 
     def text(self, first: int, stop: int) -> bytes:
@@ -108,9 +113,23 @@ def _scan(data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray)
     finishes[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
     ends = np.flatnonzero(finishes) + 1
-    values = (_lower_values if lower else _byte_values)[data]
-    p = _prefix(values, _BASE)
-    hashes = mix((p[ends] - p[starts]) * _power_table(_BASE, max(1, n))[1][starts])
+    table = _lower_values if lower else _byte_values
+    hashes = np.empty(len(starts), dtype=_U)
+    first = 0
+    while first < len(starts):  # pieces of whole words, so that tables of powers stay small however long the text
+        begin = int(starts[first])
+        stop = max(first + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+        end = int(ends[stop - 1])
+        if end - begin <= PIECE:
+            p = _prefix(table[data[begin:end]], _BASE)
+            hashes[first:stop] = (p[ends[first:stop] - begin] - p[starts[first:stop] - begin]) * _power_table(_BASE, end - begin)[1][starts[first:stop] - begin]
+        else:  # one word of more than a piece
+            total = 0
+            for k in range(begin, end, PIECE):
+                total += int(_prefix(table[data[k : min(k + PIECE, end)]], _BASE)[-1]) * pow(_BASE, k - begin, 1 << 64)
+            hashes[first] = total & (2**64 - 1)
+        first = stop
+    hashes = mix(hashes)
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 

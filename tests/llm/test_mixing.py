@@ -56,3 +56,23 @@ def test_stage_and_edge_cases(spark, three):
     empty = odd.filter("doc_id in (900, 901)")
     assert {r["rate"] for r in M.mixing_rates(empty, empty, TARGETS).collect()} == {1.0}
     assert M.mix(three, three.limit(0), targets=TARGETS).count() > 0  # without labels all posteriors are the prior
+
+
+def test_domains_sink_to_zero_under_a_budget(spark, three):
+    """The classifier knows a few rows' languages; a domain without weight goes, others are thinned out."""
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 3)] + [(None, 1), (3, 1)], "doc_id long, quality int")
+    known = M.labelled_rows(three, labels)
+    assert known.count() == 100 and known.columns == three.columns
+    targets = {"en": 0.75, "de": 0.25, "fr": 0.0}
+    rows = M.mixing_rates(three, known, targets, budget_share=0.5).join(three.select("doc_id", "lang"), "doc_id").collect()
+    unseen = [r for r in rows if r["doc_id"] % 3 and r["n_tokens"] > 10]
+    assert np.mean([r[f"p_{r['lang']}"] > 0.5 for r in unseen]) > 0.95
+    sunk = [r["rate"] for r in rows if r["lang"] == "fr" and r["n_tokens"] > 10]
+    assert np.mean(np.array(sunk) == 0) > 0.9
+    n = sum(r["n_tokens"] for r in rows)
+    for d, w in targets.items():
+        total = sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in rows)
+        assert total / n == pytest.approx(0.5 * w, abs=0.01)
+    dropped = M.mix(three, known, targets=targets, budget_share=0.5)
+    assert dropped.count() == sum(r["copies"] > 0 for r in rows) < 250
+    assert M.labelled_rows(three, labels, most=10).count() < 40

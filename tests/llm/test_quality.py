@@ -70,3 +70,77 @@ def test_length_alone_rejects_no_clean_text(docs_of, spark, rng):
     for k, t in long.items():  # one at a time, so that the raw counts are of the short texts
         kept |= {r["doc_id"]: r["kept"] for r in Q.quality_scores(docs_of([*rows, (k, t)]), labels).collect() if r["doc_id"] == k}
     assert kept == {9000: True, 9001: True, 9002: True, 9003: False}
+
+
+def test_weights_against_a_count_by_hand(judged):
+    """Counts, log ratios and weights again, a document and an n-gram at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = judged
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.na.drop().collect()}
+    side = {r["doc_id"]: r["fit"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 'fit'), 4) > 0 AS fit").collect()}
+    grams, lengths = {}, {}
+    for k, text in texts.items():
+        ((_, words, offsets),) = Q._runs(pa.RecordBatch.from_arrays([pa.array([text])], names=["text"]))
+        grams[k] = [buckets.tolist() for _, buckets in Q._features(words, offsets)]
+        lengths[k] = (len(text.encode()), len(text.split()), len(text.split()))
+        assert [len(g) for g in grams[k]] == [len(text.encode()) - 3, len(text.split()) - 1, len(text.split())]
+    tables = []
+    for kind in range(Q.KINDS):
+        raw, target = ({}, {})
+        for k, own in grams.items():
+            for b in own[kind]:
+                raw[b] = raw.get(b, 0) + 1
+                if known.get(k) == (1, 0) and side[k]:
+                    target[b] = target.get(b, 0) + 1
+        share = sum(target.values()) / sum(raw.values())
+        ratio = {b: np.log((target.get(b, 0) + Q.ADD) / (n * share + Q.ADD)) for b, n in raw.items()}
+        tables.append({b: np.sign(x) * max(abs(x) - Q.SHRINK, 0) for b, x in ratio.items()})
+    sums = {k: [sum(tables[kind][b] for b in own[kind]) for kind in range(Q.KINDS)] for k, own in grams.items()}
+    good = [k for k, v in known.items() if v == (1, 0) and not side[k] and k in texts]
+    want = dict.fromkeys(texts, 0.0)
+    for kind in range(Q.KINDS):
+        rates = sorted((-sums[k][kind] / lengths[k][kind], lengths[k][kind]) for k in good)
+        total, allowed = 0, None
+        for rate, n in rates:
+            total += n
+            if total >= Q.ALLOWED * sum(n for _, n in rates) - 1e-9:
+                allowed = rate
+                break
+        x = {k: min(sums[k][kind] + allowed * lengths[k][kind], 0) / (lengths[k][kind] + Q.PADS[kind]) ** 0.5 for k in texts}
+        centre, spread = np.median([x[k] for k in good]), max(np.std([x[k] for k in good]), 1e-6)
+        want = {k: want[k] + (x[k] - centre) / spread for k in texts}
+    found = {r["doc_id"]: r["weight"] for r in Q.quality_scores(docs, labels).collect()}
+    assert all(found[k] == pytest.approx(want[k], rel=1e-3, abs=1e-2) for k in texts)
+
+
+def test_draws_follow_the_weights(spark):
+    """Of three rows of log weights 0, -0.5 and -1 the first key is largest as often as its weight says."""
+    import numpy as np
+
+    df = spark.range(60_000).selectExpr("id AS doc_id", "id div 3 AS trial", "-0.5D * (id % 3) AS weight")
+    for temperature in (1.0, 0.25):
+        keyed = df.withColumn("key", Q.gumbel_key(df["weight"], temperature, 3))
+        won = {r["w"]: r["count"] for r in keyed.groupBy("trial").agg({"key": "max"}).join(keyed, "trial").filter("key = `max(key)`").selectExpr("weight AS w").groupBy("w").count().collect()}
+        chances = np.exp(np.array([0, -0.5, -1]) / temperature)
+        assert [won.get(w, 0) / 20_000 for w in (0.0, -0.5, -1.0)] == pytest.approx((chances / chances.sum()).tolist(), abs=0.012)
+
+
+def test_k_documents_and_ties(judged, docs_of):
+    docs, labels = judged
+    rows = Q.quality_scores(docs, labels, k=50).collect()
+    assert sum(r["kept"] for r in rows) == 50
+    twice = docs.unionByName(docs.filter("doc_id = 0")).unionByName(docs.filter("doc_id = 0"))  # repeated rows share a key
+    keys = {r["gumbel_key"] for r in Q.quality_scores(twice, labels).filter("doc_id = 0").collect()}
+    assert len(keys) == 1 and Q.quality_scores(docs, labels, k=10_000).filter("kept").count() == 600
+    assert Q.quality_scores(docs, labels, k=0).filter("kept").count() == 0
+
+
+def test_samples_of_any_table_size():
+    from sondeframe.llm.common import hash_bound
+
+    for n in (10**6, 25 * 10**9, 10**12, 10**15):
+        assert (hash_bound(20_000, n) + 2**63) / 2**64 == pytest.approx(20_000 / n, rel=0.01)
+    assert hash_bound(5, 5) == 2**63 - 1
