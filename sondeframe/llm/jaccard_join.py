@@ -2,11 +2,14 @@
 
 Documents with one text are one class, which is signed once.  The number of
 rows a band (and of bands) follows from the recall wanted at the threshold.
-Signatures meet in band buckets; a bucket gives only a star of edges, and the
-components of the stars say which classes must be compared.  Each component is
-compared in blocks of bounded size, on full n-gram sets, inside tasks: no row
-is made for a pair, so that a group of m near copies costs m rows times its
-number of blocks.
+Signatures meet in band buckets.  The members of a bucket compare their whole
+signatures, a byte a hash: only pairs that agree in a share of hashes that no
+pair at the threshold falls short of, but for a chance below that of the bands,
+are candidates, so that chance meetings don't tie unlike texts together.  Groups
+of candidates are verified on full n-gram sets.  Both comparisons run in blocks
+of bounded size inside tasks, and give spanning edges and counts instead of a
+row for a pair, so that a group of m near copies costs m rows times its number
+of blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 BLOCK = 256
+SKETCH_BLOCK = 1024
+#: Standard deviations of a signature's estimate by which a candidate may fall short of the threshold: a chance of 3e-8.
+SHORT = 5.4
 COLUMNS = 8192
 
 
@@ -48,6 +54,11 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES)
     return best
 
 
+def least_agreement(threshold: float, hashes: int) -> int:
+    """Hashes in which a candidate must agree."""
+    return max(1, math.floor(threshold * hashes - SHORT * math.sqrt(threshold * (1 - threshold) * hashes)))
+
+
 def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and hashes of the distinct n-grams of each document.
 
@@ -77,9 +88,9 @@ def _sign(n: int, bands: int, rows: int):
     rng = np.random.default_rng(7)
     mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
-    def bands_of(owner: np.ndarray, grams: np.ndarray, docs: int) -> list[np.ndarray | None]:
+    def bands_of(owner: np.ndarray, grams: np.ndarray, docs: int) -> tuple[list[np.ndarray | None], list[bytes]]:
         cuts = np.searchsorted(owner, np.arange(docs + 1))
         sigs = np.full((docs, bands * rows), np.uint64(2**64 - 1))
         step = max(1, (1 << 21) // (bands * rows))
@@ -101,22 +112,98 @@ def _sign(n: int, bands: int, rows: int):
         for r in range(rows):
             out = out * np.uint64(0x100000001B3) + keys[:, :, r]
         out = mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64)
-        return [out[d] if cuts[d + 1] > cuts[d] else None for d in range(docs)]
+        sketches = (mix(sigs) >> np.uint64(56)).astype(np.uint8)
+        return [out[d] if cuts[d + 1] > cuts[d] else None for d in range(docs)], [x.tobytes() for x in sketches]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, words in scan(batch.column("text")):
                 docs = len(words.bounds) - 1
-                owner, grams = gram_sets(words, n)
+                bands_, sketches = bands_of(*gram_sets(words, n), docs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, docs), batch.column("key").slice(first, docs),
-                     pa.array(bands_of(owner, grams, docs), type=schema.field("bands").type)],
+                     pa.array(bands_, type=schema.field("bands").type), pa.array(sketches, pa.binary())],
                     schema=schema,
                 )
 
     return run
 
 
+def sketch_groups(sketches: np.ndarray, least: int) -> np.ndarray:
+    """For each row the first row of its group: rows that agree in ``least`` bytes are tied.
+
+    Groups grow from a row over all rows not yet reached, so that a group of
+    near copies takes one step a row on a shrinking rest.
+    """
+    group = np.full(len(sketches), -1)
+    rest = np.arange(len(sketches))
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        group[first], todo = first, [first]
+        while todo and len(rest):
+            near = (sketches[rest] == sketches[todo.pop()]).sum(axis=1) >= least
+            group[rest[near]] = first
+            todo += rest[near].tolist()
+            rest = rest[~near]
+    return group
+
+
+def _candidates(least: int):
+    """Over rows sorted by (bucket, i, j): edges from each row to the first one of its group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def edges(ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        group = sketch_groups(sketches, least)
+        own = group != np.arange(len(group))
+        return ids[own], ids[group[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, rows = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            new_ids = batch.column("doc_id").to_numpy()
+            new_rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            if last is not None:  # the group at the end of the batch before goes on here
+                keys = np.concatenate([np.repeat(last[:, None], len(ids), axis=1), keys], axis=1)
+                new_ids, new_rows = np.concatenate([ids, new_ids]), np.concatenate([rows, new_rows])
+            starts = np.flatnonzero(np.append(True, (np.diff(keys, axis=1) != 0).any(axis=0)))
+            ends = np.append(starts[1:], len(new_ids))
+            last, ids, rows = keys[:, starts[-1]], new_ids[starts[-1] :], new_rows[starts[-1] :]
+            starts, ends = starts[:-1], ends[:-1]
+            two = starts[ends - starts == 2]
+            near = two[(new_rows[two] == new_rows[two + 1]).sum(axis=1) >= least]
+            found = [(new_ids[near + 1], new_ids[near])]
+            found += [edges(new_ids[s:e], new_rows[s:e]) for s, e in zip(starts, ends, strict=True) if e - s > 2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=schema)
+        if last is not None and len(ids) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges(ids, rows)], schema=schema)
+
+    return run
+
+
+def candidate_groups(classes: DataFrame, bands: int, rows: int, threshold: float, block: int = SKETCH_BLOCK) -> DataFrame:
+    """(node, component) of the classes (doc_id, bands, sketch) that have a candidate."""
+    entries = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = (
+        entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
+        .filter("low != high").groupBy("low", "high", "n", "x").agg(F.min("bucket").alias("bucket"))  # of buckets with the same members one is enough
+        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    )
+    placed = (
+        classes.select("doc_id", "sketch", F.explode("bands").alias("bucket")).join(buckets, "bucket")
+        .withColumn("at", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
+        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    paired = placed.select("bucket", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "doc_id", "sketch")
+    edges = (
+        paired.repartition(shuffle_partitions(classes.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        .mapInArrow(_candidates(least_agreement(threshold, bands * rows)), "a long, b long")
+    )
+    return materialise(connected_components(edges))
+
+
 def _links(left: list[tuple], right: list[tuple] | None, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, list]:
     """Weighted link counts of both sides' rows, and edges of a spanning forest.
 
@@ -223,18 +310,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = source.withColumn("key", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
-    signed = keyed.mapInArrow(_sign(n, bands, rows), "doc_id long, key binary, bands array<long>")
+    signed = keyed.mapInArrow(_sign(n, bands, rows), "doc_id long, key binary, bands array<long>, sketch binary")
     members = materialise(
-        signed.groupBy("doc_id").agg(F.min(F.struct("key", "bands")).alias("x")).select("doc_id", "x.key", "x.bands")
+        signed.groupBy("doc_id").agg(F.min(F.struct("key", "bands", "sketch")).alias("x")).select("doc_id", "x.key", "x.bands", "x.sketch")
     )
     classes = materialise(
         members.filter("doc_id is not null and bands is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    entries = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low != high")
-    stars = entries.join(buckets.select("bucket", "low"), "bucket").filter("doc_id != low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    candidates = materialise(connected_components(stars))
+    candidates = candidate_groups(classes, bands, rows, threshold)
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = (

@@ -86,6 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS gram FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM meet JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE k >= 0.8e0 * (na.n + nb.n - k) - 1e-9),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM documents
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,

@@ -69,3 +69,55 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= J.MAX_HASHES
     with pytest.raises(ValueError):
         J.choose_bands(0.05, 0.9999999, 4)
+
+
+def test_unlike_texts_that_share_bands_are_not_compared(spark, docs_of, rng):
+    """A chain: each text shares half of its words with the next, a similarity of about 0.3; one in fifty has a near copy."""
+    words = [f"c{k}" for k in range(50 * 1501)]
+    rows = [(k, " ".join(words[50 * k : 50 * k + 100])) for k in range(1500)]
+    rows += [(10_000 + k, rows[k][1] + " tail") for k in range(0, 1500, 50)]
+    groups = J.candidate_groups(sketched(docs_of(rows)), *J.choose_bands(J.THRESHOLD, J.RECALL), J.THRESHOLD)
+    per = groups.groupBy("component").count().collect()
+    assert len(per) == 30 and {r["count"] for r in per} == {2}
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.jaccard_classes(docs_of(rows)).collect()}
+    assert found == {k: (k % 10_000, int(k % 50 == 0)) for k, _ in rows}
+
+
+def sketched(docs):
+    bands, rows = J.choose_bands(J.THRESHOLD, J.RECALL)
+    return docs.selectExpr("doc_id", "text", "unhex(sha2(text, 256)) AS key").mapInArrow(J._sign(J.WORDS, bands, rows), "doc_id long, key binary, bands array<long>, sketch binary")
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_candidates_tie_all_that_the_threshold_does(docs_of, rng, block):
+    base = [prose(rng, 150) for _ in range(4)]
+    rows = [(k, edited(rng, base[k % 4], k % 5)) for k in range(160)]
+    groups = {r["node"]: r["component"] for r in J.candidate_groups(sketched(docs_of(rows)), *J.choose_bands(J.THRESHOLD, J.RECALL), J.THRESHOLD, block).collect()}
+    want = brute(rows)
+    for a, (root, links) in want.items():
+        assert not links or groups[a] == groups[root]
+
+
+def test_sketch_groups():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (60, 40), dtype=np.uint8)
+    for k in range(20, 60):
+        rows[k] = rows[k - 20]
+        rows[k, rng.integers(0, 40, 6)] = 0
+    group = J.sketch_groups(rows, 30)
+    near = (rows[:, None] == rows[None]).sum(axis=2) >= 30
+    reach = near.copy()
+    for _ in range(6):
+        reach = reach @ reach
+    assert (group == reach.argmax(axis=1)).all()
+
+
+def test_least_agreement_costs_no_recall():
+    bands, rows = J.choose_bands(J.THRESHOLD, J.RECALL)
+    least = J.least_agreement(J.THRESHOLD, bands * rows)
+    from math import comb
+
+    n = bands * rows
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-6 and least > 0.55 * n
