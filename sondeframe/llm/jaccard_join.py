@@ -191,8 +191,9 @@ def candidate_groups(classes: DataFrame, bands: int, rows: int, threshold: float
         .filter("low != high").groupBy("low", "high", "n", "x").agg(F.min("bucket").alias("bucket"))  # of buckets with the same members one is enough
         .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
+    # signatures join the few rows that share a bucket, not all of a document's bands
     placed = (
-        classes.select("doc_id", "sketch", F.explode("bands").alias("bucket")).join(buckets, "bucket")
+        entries.join(buckets, "bucket").join(classes.select("doc_id", "sketch"), "doc_id")
         .withColumn("at", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int"))
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
