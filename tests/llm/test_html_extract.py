@@ -86,3 +86,83 @@ def test_cued_elements_beside_the_text_stay_out():
     words = " ".join(f"word{k}" for k in range(60))
     page = f'<body><p>{words}</p><div class="related"><article><p>a teaser</p></article></div><form><p>Your name</p></form><div class="widget"><p>one two</p></div></body>'
     assert X.extract(page) == words
+
+
+def bare(page):
+    import re
+
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", page)
+
+
+def fitted(pages):
+    from collections import Counter
+
+    inside, outside = Counter(), Counter()
+    for page in pages:
+        a, b = X.count_features(page)
+        inside.update(a)
+        outside.update(b)
+    return X.weights_of([(k, inside[k], outside[k]) for k in sorted({*inside, *outside})])
+
+
+def site(rng, names):
+    """A page of a site with its own class names; between the article's paragraphs stands what names[1] holds."""
+    say = lambda n: " ".join(f"word{rng.randrange(300)}" for _ in range(n))
+    body = [say(rng.randrange(15, 60)) for _ in range(rng.randrange(3, 7))]
+    parts = "".join(f"<p>{b}</p>" for b in body[:2]) + f'<div class="{names[1]}"><p>{say(9)}</p></div>' + "".join(f"<p>{b}</p>" for b in body[2:])
+    page = (f'<body><div class="{names[0]}"><p>{say(12)}</p></div><ul><li><a href="/">{say(2)}</a></li><li><a href="/">{say(2)}</a></li></ul>'
+            f'<div class="{names[1]}"><p>{say(9)}</p></div><article>{parts}</article><div class="{names[0]}"><p>{say(8)}</p></div><p>{say(2)}</p></body>')
+    return page, "\n\n".join(body)
+
+
+def test_class_words_are_learned_from_marked_pages(rng):
+    """Names that no list has; the marks are hidden when pages are read, and their weight says nothing."""
+    names = ("qq-strip", "zz-box")
+    marked = [site(rng, names)[0].replace(f'<div class="{names[1]}"><p>', f'<aside class="{names[1]}"><p>', 0) for _ in range(60)]
+    outside_only = [p.replace(p[p.index("<article>") : p.index("</article>")], "<article><p>" + " ".join(f"word{k}" for k in range(80)) + "</p>") for p in marked]
+    weights = fitted(outside_only)
+    assert weights["c:qq"] < X.LEAVE and weights["c:zz"] < X.LEAVE
+    tests = [site(rng, names) for _ in range(40)]
+    assert sum(X.extract(bare(page), weights) == text for page, text in tests) >= 39  # the last two words stand alone
+    assert sum(X.extract(bare(page)) == text for page, text in tests) == 0  # fixed weights don't know the names
+
+
+def test_the_scan_leaves_stray_words_out(rng):
+    """Words of an ordinary paragraph far from the text, with links between, are of another run."""
+    words = " ".join(f"word{k}" for k in range(60))
+    links = "".join(f'<li><a href="/{k}">link {k} of the page</a></li>' for k in range(9))
+    page = f"<body><p>two words</p><ul>{links}</ul><div><p>{words}</p></div><ul>{links}</ul><p>some more words</p></body>"
+    assert X.extract(page) == words
+
+
+def test_the_run_is_the_best_of_all_runs(rng):
+    """The whole extraction against every run of a page's tokens."""
+    names = ["p", "div", "li", "a", "h2", "b", "nav", "section", "td", "form", "article"]
+    for _ in range(150):
+        page = ""
+        for _ in range(rng.randrange(14)):
+            name = rng.choice(names)
+            attribute = rng.choice(["", "", ' class="ad"', ' id="comments"', ' class="body text"'])
+            page += rng.choice([f"<{name}{attribute}>", f"</{name}>", " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(5)))])
+        found, scores, left = X.scored(page)
+        best = max((sum(scores[a:b]), -a) for a in range(len(scores) + 1) for b in range(a, len(scores) + 1))[0]
+        runs = {"".join("".join(t.text for t, gone in zip(found[a:b], left[a:b], strict=True) if not gone).split())
+                for a in range(len(scores) + 1) for b in range(a, len(scores) + 1) if abs(sum(scores[a:b]) - best) < 1e-9}
+        assert "".join(X.extract(page).split()) in runs
+
+
+@pytest.mark.parametrize("page", [
+    "<body>" + "<span>" * 100_000 + "</b>" * 300_000 + "<p>end</p>", "<li><ul>" + "<span>" * 100_000 + "<li></li>" * 100_000, "<p>" + "<i>" * 100_000 + "<p>x" * 100_000,
+    '<div class="ad">' * 60_000 + "<article>x</article>" * 60_000, "<b>" * 500_000,
+], ids=["stray ends", "list items", "paragraphs", "nested", "open"])
+def test_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    X.extract(page)
+    assert time.process_time() - began < 6
+
+
+def test_items_and_cells_close_what_they_must():
+    page = "<article><table><tr><td>a<td>b<tr><th>c<td><ul><li>d<li>e</ul></table><dl><dt>f<dd>g<dt>h</dl><p>i<div>j</div></article>"
+    assert X.extract(page).split("\n\n") == list("abcdefghij")
