@@ -65,10 +65,37 @@ def test_case_of_any_letter_is_ignored(spark, docs_of):
     assert [(r["doc_id"], r["score"]) for r in found] == [(1, 1.0)]
 
 
-def test_blocks_of_items_give_the_same(spark, docs_of, rng, monkeypatch):
+def test_the_shuffle_of_seeds_gives_the_same(spark, docs_of, rng, monkeypatch):
     bench, df, planted = items_and_docs(spark, docs_of, rng)
-    monkeypatch.setattr(D, "BLOCK_BYTES", 800)
-    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, bench).collect()} == set(planted.items())
+    bench = bench.unionByName(spark.createDataFrame([(None, "an item that has no number at all", "x"), (3, "a second text of the third item"), (3, "a second text of the third item")][:1], bench.schema))
+    df = df.unionByName(docs_of([(500, "here is an item that has no number, at all. " + "long " * 3000), (100, "again without")]))
+    one = sorted(map(str, D.contaminated(df, bench).collect()))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, D.contaminated(df, bench).collect())) == one and len(one) == len(planted) + 1
+    assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.filter("item_id = 9")).count() == 0
+
+
+def test_recall_against_alignment_without_seeds(spark, docs_of, rng):
+    """Every document with every item, whole; copies of which up to two fifths of the words are edited."""
+    items = [prose(rng, 40) for _ in range(10)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = []
+    for share in (0.0, 0.1, 0.2, 0.3, 0.4):
+        rows += [(len(rows) + k, f"{prose(rng, 60)} {changed(rng, items[k % 10], int(40 * share))} {prose(rng, 60)}") for k in range(30)]
+    hashed = D._hashes([t for _, t in rows])
+    wanted = D._hashes(items)
+    brute = {(rows[d][0], k): s / (D.MATCH * len(item)) for k, item in enumerate(wanted) for d, words in enumerate(hashed) if (s := D.align(item, words)[0]) / (D.MATCH * len(item)) >= D.LEAST_SCORE}
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(docs_of(rows), bench).collect()}
+    assert set(found) <= set(brute) and len(brute) > 110
+    assert len(found) / len(brute) >= 0.97
+    assert sum(found[x] == brute[x] for x in found) / len(found) > 0.95
+
+
+def test_ties_take_the_first_placement(spark, docs_of, rng):
+    item = prose(rng, 25)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (row,) = D.contaminated(docs_of([(1, f"{prose(rng, 30)} {item} {prose(rng, 70)} {item}")]), bench).collect()
+    assert (row["score"], row["start"], row["n_words"]) == (1.0, 30, 25)
 
 
 def test_clean_documents_stay(spark, docs_of, rng):
