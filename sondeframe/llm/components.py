@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     neighbours to the smallest node it sees, small-star does the same with its
     smaller ones.  Both keep components and shorten them, so that a number of
     rounds like the logarithm of the longest path leaves only stars.  Rows stay
-    on the executors; each round is cut with a checkpoint.
+    on the executors; each step is cut with a checkpoint, which also lets the
+    joins be dealt anew where the neighbours of one node are many.
     """
     now = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
@@ -23,11 +24,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        centre = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (
+        centre = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = materialise(
             both.filter("v > u").join(centre, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -22,26 +22,24 @@ from sondeframe.llm.common import fresh, in_bitmap, key_bitmap, materialise, onc
 
 FINGERPRINT_BITS = 48
 CHUNK_ROWS = 32_768
+#: Fingerprints of an owner, about, beyond as many owners as shuffle partitions.
+OWNER_ROWS = 4_000_000
 
 
 def golomb_encode(values: np.ndarray, rice: int) -> bytes:
     """Golomb code with parameter 2**rice of the gaps of a sorted array.
 
-    Each gap is its quotient in unary (ones, then a zero) and ``rice`` bits.
+    First the quotients of all gaps in unary (ones, then a zero), then, from
+    the next byte on, ``rice`` bits of each gap's remainder.
     """
     if not len(values):
         return b""
     gaps = np.diff(values.astype(np.int64), prepend=np.int64(0))
     high, low = gaps >> rice, gaps & ((1 << rice) - 1)
-    widths = high + 1 + rice
-    starts = np.cumsum(widths) - widths
-    bits = np.zeros(int(widths.sum()), dtype=np.uint8)
-    ones = np.repeat(starts, high) + np.arange(int(high.sum())) - np.repeat(np.cumsum(high) - high, high)
-    bits[ones] = 1
-    tails = starts + high + 1
-    for j in range(rice):
-        bits[tails + j] = (low >> (rice - 1 - j)) & 1
-    return np.packbits(bits).tobytes()
+    unary = np.ones(int(high.sum()) + len(gaps), dtype=np.uint8)
+    unary[np.cumsum(high + 1) - 1] = 0
+    rest = (low[:, None] >> np.arange(rice - 1, -1, -1)) & 1
+    return np.packbits(unary).tobytes() + np.packbits(rest.astype(np.uint8)).tobytes()
 
 
 def golomb_decode(code: bytes, n: int, rice: int) -> np.ndarray:
@@ -49,22 +47,11 @@ def golomb_decode(code: bytes, n: int, rice: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
     bits = np.unpackbits(np.frombuffer(code, dtype=np.uint8))
-    zeros = np.flatnonzero(bits == 0)
-    following = np.searchsorted(zeros, np.arange(len(bits) + 1))  # first zero at or after
-    stop = np.empty(n, dtype=np.int64)
-    begin = np.empty(n, dtype=np.int64)
-    at = 0
-    jump = zeros.tolist()
-    after = following.tolist()
-    for i in range(n):
-        begin[i] = at
-        z = jump[after[at]]
-        stop[i] = z
-        at = z + 1 + rice
-    low = np.zeros(n, dtype=np.int64)
-    for j in range(rice):
-        low = (low << 1) | bits[stop + 1 + j]
-    return np.cumsum(((stop - begin) << rice) | low)
+    zeros = np.flatnonzero(bits == 0)[:n]
+    high = np.diff(zeros, prepend=-1) - 1
+    begin = -(-(int(zeros[-1]) + 1) // 8) * 8
+    rest = bits[begin : begin + n * rice].reshape(n, rice).astype(np.int64)
+    return np.cumsum((high << rice) | (rest << np.arange(rice - 1, -1, -1)).sum(axis=1))
 
 
 def _rice(span: int, n: int) -> int:
@@ -151,10 +138,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     number of the row).
     """
     spark = docs.sparkSession
-    owners = owners or shuffle_partitions(spark)
     text = text_or_empty(text_col)
     numbered = (
-        docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"))
+        docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"), F.xxhash64(text).alias("x"))
         .withColumn("row_uid", F.monotonically_increasing_id())
         # the partition's number stands in the id's upper bits
         .withColumn("chunk", F.col("row_uid") - F.col("row_uid").bitwiseAND((1 << 33) - 1)
@@ -162,30 +148,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .withColumn("fp", F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long"))
     )
     rows = materialise(numbered)  # row numbers and chunks must outlive a lost executor
+    owners = owners or max(shuffle_partitions(spark), -(-rows.count() // OWNER_ROWS))
 
     sent = rows.select("chunk", "fp").mapInArrow(_send(owners), _SENT_DDL)
     answers = sent.groupBy("owner").applyInPandas(_answer, "chunk long, owner int, bitmap binary")
-    schema = "doc_id long, sha string, row_uid long, chunk long, fp long, suspect boolean"
+    schema = "doc_id long, sha string, x long, row_uid long, chunk long, fp long, suspect boolean"
     marked = materialise(
         rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("chunk")
         .cogroup(answers.groupBy("chunk")).applyInPandas(_mark(owners), schema)
     )
 
     # A bitmap of bounded size lets the scan pass on suspects' texts alone (and a few
-    # others, which the join then drops).
-    suspects = marked.filter("suspect").select("doc_id", "sha", "row_uid")
-    wanted = suspects.groupBy("doc_id", "sha").agg(F.max("row_uid").alias("last_uid"))
+    # others, which the join then drops).  Rows find the group of their text by two
+    # hashes: texts of one digest would be two groups.
+    suspects = marked.filter("suspect").select("doc_id", "sha", "x", "row_uid")
+    wanted = suspects.groupBy("doc_id", "sha", "x").agg(F.max("row_uid").alias("last_uid"))
     texts = docs.select(F.col(id_col).cast("long").alias("t_id"), text.alias("t_text")).withColumn(
         "t_sha", F.sha2(F.encode("t_text", "UTF-8"), 256)
-    )
+    ).withColumn("t_x", F.xxhash64("t_text"))
     texts = in_bitmap(texts, key_bitmap(suspects, "sha"), "t_sha")
     verified = (
-        texts.join(wanted, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_sha") == F.col("sha")))
-        .groupBy("sha", "t_text")
+        texts.join(wanted, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_sha") == F.col("sha")) & (F.col("t_x") == F.col("x")))
+        .groupBy("sha", "x", "t_text")
         .agg(F.max(F.struct("doc_id", "last_uid")).alias("keep"), F.count("*").alias("group_size"))
-        .select("sha", F.col("keep.doc_id").alias("keep_id"), F.col("keep.last_uid").alias("keep_uid"), "group_size")
+        .select("sha", "x", F.col("keep.doc_id").alias("keep_id"), F.col("keep.last_uid").alias("keep_uid"), "group_size")
     )
-    grouped = suspects.join(verified, "sha", "left").select(
+    grouped = suspects.join(verified, ["sha", "x"], "left").select(
         "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), "sha", "row_uid"
     )
     alone = marked.filter("not suspect").select(
