@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sondeframe.llm.common import scratch_path
@@ -67,6 +68,11 @@ def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(_table(spark, sf_dir, "documents"))
 
 
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_hmm that SQL can compute: the unigram base and what it counts."""
+    return op9_hmm(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hmm": op9_hmm,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
+    "base_scores": base_scores,
 }
 
 ORACLE_SQL = {
@@ -96,6 +103,30 @@ ORACLE_SQL = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM documents
     """,
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w WHERE len(words) >= 50),
+        win AS (SELECT doc_id, pos, md5(array_to_string(words[pos : pos + 49], ' ')) AS h FROM starts),
+        own AS (SELECT h, min(doc_id) AS first FROM win GROUP BY 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM win JOIN own USING (h) WHERE first < doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+        kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS kept, count(g.pos) AS n_removed
+                 FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos GROUP BY 1)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "base_scores": r"""
+        WITH d AS (
+            SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS tokens,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 7 = 2 AS held_out
+            FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM d),
+        c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+        n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+        SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+               round(sum(log10((coalesce(c.c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))), 5) + 0e0 AS base_score
+        FROM t LEFT JOIN c USING (token), n GROUP BY 1
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
