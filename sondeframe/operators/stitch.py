@@ -18,12 +18,15 @@ def chains(records: DataFrame, tolerance: float = 500.0, group: str = "station",
     (the largest so far), above LOWEST_RESTART, and both begin in the same hour
     or one of the dates is missing; the chain's date is its first record's.  A
     missing bottom or top ends the chain.  The fold runs over a group's records
-    in order; a group without missing dates is cut where the hour changes.
+    in order, cut before every record that can't continue a chain: one whose
+    bottom is missing or not above LOWEST_RESTART, or, in a group without missing
+    dates, of another hour.  So a run is about an ascent, and not a history.
     """
     w = Window.partitionBy(group).orderBy(order)
     hour = F.date_trunc("hour", F.col("date"))
     dated = records.withColumn("_hour", hour).withColumn("_undated", F.max(F.col("date").isNull()).over(Window.partitionBy(group)))
-    breaks = F.coalesce(~F.col("_undated") & (F.col("_hour") != F.lag("_hour").over(w)), F.lit(False)).cast("int")
+    grounded = ~F.coalesce(F.col("bottom") > LOWEST_RESTART, F.lit(False))
+    breaks = (grounded | F.coalesce(~F.col("_undated") & (F.col("_hour") != F.lag("_hour").over(w)), F.lit(False))).cast("int")
     runs = dated.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(w))
     entry = F.struct(
         F.col(order).cast("long").alias("seq"), F.col("profile_id").alias("id"), F.col("bottom").cast("double").alias("bottom"),

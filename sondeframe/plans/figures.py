@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeframe.operators import aggregate, qc
@@ -24,6 +24,17 @@ def cluster_pages(resampled: DataFrame, assignments: DataFrame, quantiles: tuple
     return spread.join(aggregate.circular_profile(rows, ["cluster"]), ["cluster", "g_idx"])
 
 
+def first_profiles(levels: DataFrame, profiles: DataFrame, m: int) -> DataFrame:
+    """The levels of the first m profiles of each cluster, with cluster and rank.
+
+    ``profiles`` is (profile_id, cluster, date).  The order is by date, those
+    without one last, then by id.
+    """
+    w = Window.partitionBy("cluster").orderBy(F.col("date").asc_nulls_last(), "profile_id")
+    chosen = profiles.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= m).select("profile_id", "cluster", "rank")
+    return levels.join(F.broadcast(chosen), "profile_id")  # m profiles a cluster
+
+
 def scatter(scores: DataFrame, assignments: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
     """(profile_id, x, y, cluster): two components and the cluster."""
     at = vector_to_array("features")

@@ -28,9 +28,9 @@ def _array_points(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("profile_id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("cluster"))
 
 
-def _gappy(spark: SparkSession, d: str) -> DataFrame:
-    """Event profiles with values out of range as nulls: a matrix over the first levels."""
-    rows = qc.apply_limits(events(spark, d), {"t": (205.0, 320.0), "ff": (1.0, 30.0)}).filter("level_idx < 20")
+def _gappy(spark: SparkSession, d: str, limits: dict[str, tuple[float, float]] = {"t": (205.0, 320.0), "ff": (1.0, 30.0)}) -> DataFrame:  # noqa: B006
+    """Event profiles with values out of range as nulls: a matrix over all levels."""
+    rows = qc.apply_limits(events(spark, d), limits)
     pairs = F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).alias("val")) for v in ("t", "ff")])
     return rows.select("profile_id", F.col("level_idx").cast("int").alias("g_idx"), F.explode(pairs).alias("x")).select("profile_id", "x.var", "g_idx", "x.val")
 
@@ -52,7 +52,8 @@ def impute_most_frequent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impute_drop(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(matrix.impute(_gappy(spark, d).filter("g_idx < 2"), "drop"))
+    """Of profiles with few values out of range those without any."""
+    return rounded(matrix.impute(_gappy(spark, d, {"t": (200.0, 1000.0), "ff": (0.2, 100.0)}), "drop"))
 
 
 def standardise(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +81,8 @@ def scale_block_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("profile_id"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)])
-    return rounded(aggregate.cluster_summary(rows, _labels(spark, d), [f"e{k}" for k in range(4)]), 5)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("profile_id"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
+    return rounded(aggregate.cluster_summary(rows, _labels(spark, d), [f"e{k}" for k in range(64)]), 5)
 
 
 def effect_size(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +94,9 @@ def anova_f(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anova_p(spark: SparkSession, d: str) -> DataFrame:
-    """With the tail probability, which SQL has not."""
-    return evaluate.anova(_vectors(spark, d), _labels(spark, d))
+    """With the tail probability, which SQL integrates."""
+    found = evaluate.anova(_vectors(spark, d), _labels(spark, d))
+    return found.select("var", F.round("f", 4).alias("f"), F.round("p", 5).alias("p"))
 
 
 def correlations(spark: SparkSession, d: str) -> DataFrame:
@@ -218,8 +220,8 @@ QUERIES = {f.__name__: f for f in (
 
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, label AS cluster, printf('e%02d', CAST(i - 1 AS INTEGER)) AS var, CAST(i - 1 AS INTEGER) AS g_idx, CAST(embedding[i] AS DOUBLE) AS val FROM embeddings, range(1, 65) t(i))"
 _GAPPY = f"""{E}, m AS (
-    SELECT profile_id, 't' AS var, CAST(level_idx AS INTEGER) AS g_idx, CASE WHEN t BETWEEN 205 AND 320 THEN t END AS val FROM e WHERE level_idx < 20
-    UNION ALL SELECT profile_id, 'ff', CAST(level_idx AS INTEGER), CASE WHEN ff BETWEEN 1 AND 30 THEN ff END FROM e WHERE level_idx < 20)"""
+    SELECT profile_id, 't' AS var, CAST(level_idx AS INTEGER) AS g_idx, CASE WHEN t BETWEEN 205 AND 320 THEN t END AS val FROM e
+    UNION ALL SELECT profile_id, 'ff', CAST(level_idx AS INTEGER), CASE WHEN ff BETWEEN 1 AND 30 THEN ff END FROM e)"""
 _BLOCKS = f"""{_GAPPY}, lv AS (SELECT var, g_idx, var_pop(val) AS v, sum(val) AS s, count(val) AS n, max(abs(val)) AS m FROM m GROUP BY 1, 2),
     bl AS (SELECT var, sqrt(avg(v)) AS sd, sum(s) / sum(n) AS mu, max(m) AS mx FROM lv GROUP BY 1)"""
 _RUNS = """runs AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, i AS run, CAST(embedding[3 * i + 1] > 0 AS INT) + 2 * CAST(embedding[3 * i + 2] > 0 AS INT) AS cluster FROM embeddings, range(5) t(i)),
@@ -241,7 +243,7 @@ SQL = {
     "impute_median": f"WITH {_GAPPY}, f AS (SELECT var, g_idx, median(val) AS fill FROM m GROUP BY 1, 2) SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN f USING (var, g_idx)",
     "impute_most_frequent": f"""WITH {_GAPPY}, c AS (SELECT var, g_idx, val AS fill, row_number() OVER (PARTITION BY var, g_idx ORDER BY count(*) DESC, val) AS k FROM m WHERE val IS NOT NULL GROUP BY 1, 2, 3)
         SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN c USING (var, g_idx) WHERE k = 1""",
-    "impute_drop": f"WITH {_GAPPY}, s AS (SELECT * FROM m WHERE g_idx < 2), ok AS (SELECT profile_id FROM s GROUP BY 1 HAVING bool_and(val IS NOT NULL)) SELECT profile_id, var, g_idx, {r('val', 'val')} FROM s JOIN ok USING (profile_id)",
+    "impute_drop": f"WITH {E}, s AS (SELECT profile_id, 't' AS var, CAST(level_idx AS INTEGER) AS g_idx, CASE WHEN t BETWEEN 200 AND 1000 THEN t END AS val FROM e UNION ALL SELECT profile_id, 'ff', CAST(level_idx AS INTEGER), CASE WHEN ff BETWEEN 0.2e0 AND 100 THEN ff END FROM e), ok AS (SELECT profile_id FROM s GROUP BY 1 HAVING bool_and(val IS NOT NULL)) SELECT profile_id, var, g_idx, {r('val', 'val')} FROM s JOIN ok USING (profile_id)",
     "standardise": f"WITH {_V}, f AS (SELECT var, avg(val) AS m, stddev_pop(val) AS s FROM v GROUP BY 1) SELECT profile_id, var, g_idx, {r('(val - m) / CASE WHEN s = 0 THEN 1 ELSE s END', 'val', 5)} FROM v JOIN f USING (var)",
     "scale_profile": f"""WITH {_GAPPY}, w AS (SELECT *, min(val) OVER k AS lo, max(val) OVER k AS hi FROM m WINDOW k AS (PARTITION BY profile_id, var))
         SELECT profile_id, var, g_idx, {r("CASE WHEN var <> 't' THEN val WHEN val IS NULL THEN NULL WHEN hi - lo <= 1e-6 THEN 0.5e0 ELSE (val - lo) / (hi - lo) END", 'val')} FROM w""",
@@ -250,7 +252,7 @@ SQL = {
     "scale_block_std": f"WITH {_BLOCKS} SELECT profile_id, var, g_idx, {r('CASE WHEN sd > 1e-8 THEN val / sd ELSE val END', 'val', 5)} FROM m JOIN bl USING (var)",
     "scale_block_z": f"WITH {_BLOCKS} SELECT profile_id, var, g_idx, {r('CASE WHEN sd > 1e-8 THEN (val - mu) / sd ELSE val - mu END', 'val', 5)} FROM m JOIN bl USING (var)",
     "scale_block_max": f"""WITH {_BLOCKS} SELECT profile_id, var, g_idx, {r("CASE WHEN var = 'ff' AND mx > 1e-8 THEN val / mx ELSE val END", 'val', 5)} FROM m JOIN bl USING (var)""",
-    "cluster_summary": f"""SELECT label AS cluster, count(*) AS n, {', '.join(x for k in range(4) for x in (r(f'avg(CAST(embedding[{k + 1}] AS DOUBLE))', f'e{k}_mean', 5), r(f'stddev_samp(CAST(embedding[{k + 1}] AS DOUBLE))', f'e{k}_std', 5)))}
+    "cluster_summary": f"""SELECT label AS cluster, count(*) AS n, {', '.join(x for k in range(64) for x in (r(f'avg(CAST(embedding[{k + 1}] AS DOUBLE))', f'e{k}_mean', 5), r(f'stddev_samp(CAST(embedding[{k + 1}] AS DOUBLE))', f'e{k}_std', 5)))}
         FROM embeddings GROUP BY GROUPING SETS ((label), ())""",
     "effect_size": f"""WITH {_V}, w AS (SELECT var, avg(val) AS m, stddev_samp(val) AS s FROM v GROUP BY 1), c AS (SELECT var, cluster, avg(val) AS cm, stddev_samp(val) AS cs FROM v GROUP BY 1, 2)
         SELECT var, cluster, {r('(cm - m) / nullif(s, 0)', 'effect', 4)}, {r('cs / nullif(s, 0)', 'relative_std', 4)} FROM c JOIN w USING (var)""",
@@ -273,5 +275,15 @@ SQL = {
     "ranked_scores": """WITH s AS (SELECT p_brand, p_size, count(*) AS score FROM part GROUP BY 1, 2)
         SELECT p_brand, p_size, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_size) AS INTEGER) AS rank,
                coalesce(score > lag(score) OVER w AND score > lead(score) OVER w, false) AS peak FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)""",
+    "best_match": f"""WITH {_LAB}, c AS (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2), rs AS (SELECT list_sort(list(DISTINCT a)) AS x FROM l), cs AS (SELECT DISTINCT b FROM l),
+        p AS (SELECT p0.b AS b0, p1.b AS b1, p2.b AS b2, p3.b AS b3 FROM cs p0, cs p1, cs p2, cs p3 WHERE len(list_distinct([p0.b, p1.b, p2.b, p3.b])) = 4),
+        s AS (SELECT p.*, (SELECT sum(n) FROM c WHERE (a, b) IN ((0, b0), (1, b1), (2, b2), (3, b3))) AS hit FROM p),
+        top AS (SELECT * FROM s ORDER BY hit DESC LIMIT 1)
+        SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS a, unnest([b0, b1, b2, b3]) AS b, hit / CAST((SELECT count(*) FROM l) AS DOUBLE) AS accuracy FROM top""",
+    "anova_p": f"""WITH {_V}, g AS (SELECT var, cluster, count(*) AS n, avg(val) AS m, var_pop(val) AS s FROM v GROUP BY 1, 2), a AS (SELECT var, avg(val) AS mu FROM v GROUP BY 1),
+        f AS (SELECT var, (sum(n * (m - mu) * (m - mu)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS f, (count(*) - 1) / 2e0 AS k, (sum(n) - count(*)) / 2e0 AS w FROM g JOIN a USING (var) GROUP BY 1),
+        x AS (SELECT var, f, k, w, w / (w + k * f) AS x, lgamma(w + k) - lgamma(w) - lgamma(k) AS front FROM f),
+        y AS (SELECT var, i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c, x * i / 4000e0 AS t FROM x, range(4001) q(i))
+        SELECT var, {r('any_value(f)', 'f', 4)}, {r('sum(CASE WHEN t > 0 AND t < 1 THEN c * exp(front + (w - 1) * ln(t) + (k - 1) * ln(1 - t)) ELSE 0 END) * any_value(x) / 12000e0', 'p', 5)} FROM x JOIN y USING (var) GROUP BY 1""",
     "most_common": "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_quantity LIMIT 10",
 }

@@ -81,7 +81,7 @@ def value_ellipse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def value_density(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.density(table(spark, d, "part"), "p_size", "p_retailprice", cells=20), 9)
+    return rounded(A.density(table(spark, d, "part"), "p_size", "p_retailprice"), 9)
 
 
 def supplier_extremes(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +114,12 @@ def _gradient(y: str, window: str) -> str:
 
 
 SQL = {
+    "value_density": f"""WITH s AS (SELECT CAST(min(p_size) AS DOUBLE) AS x0, CAST(max(p_size) AS DOUBLE) AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1,
+            var_samp(p_size) * 0.09e0 AS a, var_samp(p_retailprice) * 0.09e0 AS c, covar_samp(p_size, p_retailprice) * 0.09e0 AS b, count(*) AS n FROM part),
+        k AS (SELECT *, a * c - b * b AS det FROM s),
+        mesh AS (SELECT x0 + (x1 - x0) / 99e0 * i AS gx, y0 + (y1 - y0) / 99e0 * j AS gy FROM k, range(100) p(i), range(100) q(j))
+        SELECT {r('gx', 'gx', 9)}, {r('gy', 'gy', 9)}, {r("sum(exp(-0.5e0 * (c * (gx - p_size) * (gx - p_size) - 2 * b * (gx - p_size) * (gy - p_retailprice) + a * (gy - p_retailprice) * (gy - p_retailprice)) / det)) / (2 * pi() * any_value(n) * sqrt(any_value(det)))", 'density', 9)}
+        FROM mesh, part, k GROUP BY mesh.gx, mesh.gy""",
     "mean_profile": f"""{_EG}, m AS (SELECT g_idx, any_value(altitude) AS altitude, avg(t) AS t, avg(td) AS td, avg(p_niv) AS p_niv, avg({_M[0]}) AS u, avg({_M[1]}) AS v, count(*) AS n_profiles FROM g GROUP BY 1)
         SELECT g_idx, altitude, {r('t', 't', 4)}, {r('td', 'td', 4)}, {r('p_niv', 'p_niv', 4)}, n_profiles, {r('sqrt(u * u + v * v)', 'ff', 4)}, {r(_DIR, 'dd', 4)} FROM m""",
     "level_coverage": f"{_EG} SELECT g_idx, {r('avg(CAST(t IS NOT NULL AS INT))', 'coverage')} FROM g GROUP BY 1",

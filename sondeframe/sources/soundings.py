@@ -158,6 +158,22 @@ def profile_id() -> Column:
     return F.concat_ws("#", "file", F.col("record").cast("string"))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the number of each row in the order of a column, from 0.
+
+    Rows are range-partitioned; only the partitions' sizes meet on the driver.
+    The partitions are kept, because their bounds come from a sample.
+    """
+    ranged = df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()).persist()
+    total, before = 0, []
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("_part").count().collect()):
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return ranged.withColumn("_at", place).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
+
 def read_profiles(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profiles, levels, cis_levels) of (file, line_no, line).
 
@@ -170,10 +186,9 @@ def read_profiles(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lower = F.transform_keys("cells", lambda k, v: F.lower(k))
     known = ("numer_sta", "date", "nb_niv")
     date = F.get(F.map_values(F.map_filter(lower, lambda k, v: k == "date")), 0)
-    # a row a file meets in one task
-    files = lines.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")))
+    files = numbered(lines.select("file").distinct(), "file", "_file")
     profiles = rows.filter("kind = 'values' and place = 0").join(files, "file").select(
-        profile_id().alias("profile_id"), (F.col("_file").cast("long") * F.lit(1 << 32) + F.col("record")).alias("profile_seq"), "file",
+        profile_id().alias("profile_id"), ((F.col("_file") + 1) * F.lit(1 << 32) + F.col("record")).alias("profile_seq"), "file",
         F.col("cells")["numer_sta"].alias("station"), timestamp(date).alias("date"), F.col("cells")["nb_niv"].try_cast("int").alias("nb_niv"),
         F.map_filter("cells", lambda k, v: ~F.lower(k).isin(*known)).alias("extra"),
     )
