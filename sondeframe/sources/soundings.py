@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,8 +41,22 @@ def read_archives(spark: SparkSession, path: str | list[str], station: str | Non
     Members end in MEMBER_SUFFIX, name the station, one of the days (yyyyMMdd),
     and end their second dotted part with one of the hours.  Names are tested
     before a member is unpacked.  A file that is no archive gives nothing, a
-    member that can't be unpacked or decoded is left out.
+    member that can't be unpacked or decoded is left out; ``archive_status``
+    tells which they are.
     """
+    return _members(spark, path, station, days, hours).filter("status = 'read'").select("file", "content")
+
+
+def archive_status(spark: SparkSession, path: str | list[str], station: str | None = None, days: list[str] | None = None, hours: list[int] | None = None) -> DataFrame:
+    """(archive, file, status) of each member that ``read_archives`` is asked for.
+
+    status is read, damaged or undecodable; an archive that can't be opened has
+    one row without a file, of status no archive.
+    """
+    return _members(spark, path, station, days, hours).select("archive", "file", "status")
+
+
+def _members(spark: SparkSession, path: str | list[str], station: str | None, days: list[str] | None, hours: list[int] | None) -> DataFrame:
     ends = tuple(f"{h:02d}" for h in hours or ())
 
     def wanted(name: str) -> bool:
@@ -51,23 +66,28 @@ def read_archives(spark: SparkSession, path: str | list[str], station: str | Non
             and (not ends or len(parts) > 1 and parts[1].endswith(ends))
         )
 
+    def rows(content: bytes) -> Iterator[tuple[str | None, str | None, str]]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile:
+            yield None, None, "no archive"
+            return
+        for name in filter(wanted, archive.namelist()):
+            try:
+                yield name, archive.read(name).decode("utf-8"), "read"
+            except UnicodeDecodeError:
+                yield name, None, "undecodable"
+            except (zipfile.BadZipFile, zlib.error):
+                yield name, None, "damaged"
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                names, texts = [], []
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
-                except zipfile.BadZipFile:
-                    continue
-                for name in filter(wanted, archive.namelist()):
-                    try:
-                        texts.append(archive.read(name).decode("utf-8"))
-                    except (zipfile.BadZipFile, UnicodeDecodeError):
-                        continue
-                    names.append(name)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["file", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "file string, content string")
+            for where, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                found = list(rows(content.as_py()))
+                columns = [pa.array([r[k] for r in found], pa.string()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * len(found), pa.string()), *columns], names=["archive", "file", "content", "status"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "archive string, file string, content string, status string")
 
 
 def select_files(files: DataFrame, station: str | None = None, years: list[int] | None = None, months: list[int] | None = None,

@@ -74,6 +74,12 @@ def test_archives(spark, tmp_path):
     names = lambda **o: sorted(r["file"] for r in S.read_archives(spark, f"file://{tmp_path}", **o).select("file").collect())
     assert len(names()) == 4 and names(station="89642", days=["20230615"], hours=[0]) == ["89642.2023061500.HR.csv"]
     assert S.read_profiles(S.split_lines(S.read_archives(spark, f"file://{tmp_path}", station="11111")))[0].count() == 1
+    broken = bytearray(own.getvalue())
+    at = broken.index(b"p_niv")
+    broken[at : at + 5] = b"\xff\xff\xff\xff\xff"
+    (tmp_path / "rs.202308.zip").write_bytes(bytes(broken))
+    found = S.archive_status(spark, f"file://{tmp_path}").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in found} == {"read": 7, "damaged": 1, "no archive": 1}
 
 
 def test_selection(spark):
@@ -234,3 +240,18 @@ def test_windowed_levels(spark):
     rows = [(datetime.datetime(2023, 6, 15, h), 1.0 * h, 2.0) for h in range(30) if h < 24]
     df = spark.createDataFrame(rows, "time timestamp, t double, ff double")
     assert [tuple(r)[1:] for r in recent.windowed_levels(df, "time", "12 hours").orderBy("start").collect()] == [(12, 5.5, 2.0), (12, 17.5, 2.0)]
+
+
+def test_sites_and_paths(spark, tmp_path):
+    (tmp_path / "sites.csv").write_text("name,lat,lon\nA,-66.66,140.0\nB,,10\n")
+    rows = S.read_site(spark, f"file://{tmp_path}/sites.csv").collect()
+    assert [tuple(r) for r in rows] == [("A", -66.66, 140.0), ("B", None, 10.0)]
+    levels = spark.createDataFrame([("p", 0, 0.5, -1.0), ("p", 1, None, 2.0)], "profile_id string, level_idx long, dep_lat double, dep_lon double")
+    assert [tuple(r) for r in S.trajectory(levels, 10.0, 20.0).orderBy("level_idx").collect()] == [("p", 0, 10.5, 19.0), ("p", 1, None, 22.0)]
+
+
+def test_numbers_follow_the_order_over_many_partitions(spark):
+    df = spark.range(500).selectExpr("concat('f', (id * 37) % 500) AS file").repartition(9)
+    found = sorted((r["file"], r["n"]) for r in S.numbered(df, "file", "n").collect())
+    assert [n for _, n in found] == list(range(500))
+    assert S.numbered(df.limit(0), "file", "n").count() == 0
