@@ -14,7 +14,7 @@ from sondeframe.llm.common import remove_path, scratch_path
 from sondeframe.llm.decontaminate import drop_contaminated
 from sondeframe.llm.exact_dedup import drop_exact_duplicates
 from sondeframe.llm.jaccard_join import drop_near_duplicates
-from sondeframe.llm.mixing import mix
+from sondeframe.llm.mixing import labelled_rows, mix
 from sondeframe.llm.quality import keep_quality
 
 
@@ -23,24 +23,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the resampling draws; null and empty texts weigh as texts without n-grams."""
     return keep_quality(docs, _table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null is empty) the row with the largest id; a row repeated with its id once."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest id; texts without words and rows without id stay."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no edited copy of a test item; texts without words hold none."""
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage adds rate and copies."""
-    return mix(docs, docs)
+    """Adds rate and copies, by which languages reach their shares; the classifier knows those of labelled documents alone.
+
+    The budget is the least at which no language must shrink, so that clean
+    documents are repeated rather than lost.
+    """
+    return mix(docs, labelled_rows(docs, _table(spark, sf_dir, "labels")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
