@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 BLOCK = 256
-SKETCH_BLOCK = 1024
+SKETCH_BLOCK = 256
 #: Standard deviations of a signature's estimate by which a candidate may fall short of the threshold: a chance of 3e-8.
 SHORT = 5.4
 COLUMNS = 8192
