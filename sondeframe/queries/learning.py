@@ -124,8 +124,9 @@ def adjusted_rand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_match(spark: SparkSession, d: str) -> DataFrame:
+    """How well the best one-to-one matching does; of several equally good ones any is the operator's."""
     score, pairs = evaluate.best_match(_labelings(spark, d), "a", "b")
-    return spark.createDataFrame([(int(a), str(b), float(score)) for a, b in pairs], "a int, b string, accuracy double")
+    return rounded(spark.createDataFrame([(float(score), len(pairs))], "accuracy double, pairs int"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -239,8 +240,8 @@ def _build_sql() -> str:
 
 SQL = {
     "build_matrix": _build_sql(),
-    "impute_mean": f"WITH {_GAPPY} SELECT profile_id, var, g_idx, {r('coalesce(val, avg(val) OVER (PARTITION BY var, g_idx))', 'val')} FROM m",
-    "impute_median": f"WITH {_GAPPY}, f AS (SELECT var, g_idx, median(val) AS fill FROM m GROUP BY 1, 2) SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN f USING (var, g_idx)",
+    "impute_mean": f"WITH {_GAPPY} SELECT profile_id, var, g_idx, {r('coalesce(val, avg(val) OVER (PARTITION BY var, g_idx))', 'val')} FROM m QUALIFY count(val) OVER (PARTITION BY var, g_idx) > 0",
+    "impute_median": f"WITH {_GAPPY}, f AS (SELECT var, g_idx, median(val) AS fill FROM m GROUP BY 1, 2) SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN f USING (var, g_idx) WHERE fill IS NOT NULL",
     "impute_most_frequent": f"""WITH {_GAPPY}, c AS (SELECT var, g_idx, val AS fill, row_number() OVER (PARTITION BY var, g_idx ORDER BY count(*) DESC, val) AS k FROM m WHERE val IS NOT NULL GROUP BY 1, 2, 3)
         SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN c USING (var, g_idx) WHERE k = 1""",
     "impute_drop": f"WITH {E}, s AS (SELECT profile_id, 't' AS var, CAST(level_idx AS INTEGER) AS g_idx, CASE WHEN t BETWEEN 200 AND 1000 THEN t END AS val FROM e UNION ALL SELECT profile_id, 'ff', CAST(level_idx AS INTEGER), CASE WHEN ff BETWEEN 0.2e0 AND 100 THEN ff END FROM e), ok AS (SELECT profile_id FROM s GROUP BY 1 HAVING bool_and(val IS NOT NULL)) SELECT profile_id, var, g_idx, {r('val', 'val')} FROM s JOIN ok USING (profile_id)",
@@ -275,11 +276,10 @@ SQL = {
     "ranked_scores": """WITH s AS (SELECT p_brand, p_size, count(*) AS score FROM part GROUP BY 1, 2)
         SELECT p_brand, p_size, score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_size) AS INTEGER) AS rank,
                coalesce(score > lag(score) OVER w AND score > lead(score) OVER w, false) AS peak FROM s WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)""",
-    "best_match": f"""WITH {_LAB}, c AS (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2), rs AS (SELECT list_sort(list(DISTINCT a)) AS x FROM l), cs AS (SELECT DISTINCT b FROM l),
+    "best_match": f"""WITH {_LAB}, c AS (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2), cs AS (SELECT DISTINCT b FROM l),
         p AS (SELECT p0.b AS b0, p1.b AS b1, p2.b AS b2, p3.b AS b3 FROM cs p0, cs p1, cs p2, cs p3 WHERE len(list_distinct([p0.b, p1.b, p2.b, p3.b])) = 4),
-        s AS (SELECT p.*, (SELECT sum(n) FROM c WHERE (a, b) IN ((0, b0), (1, b1), (2, b2), (3, b3))) AS hit FROM p),
-        top AS (SELECT * FROM s ORDER BY hit DESC LIMIT 1)
-        SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS a, unnest([b0, b1, b2, b3]) AS b, hit / CAST((SELECT count(*) FROM l) AS DOUBLE) AS accuracy FROM top""",
+        s AS (SELECT (SELECT sum(n) FROM c WHERE (a, b) IN ((0, b0), (1, b1), (2, b2), (3, b3))) AS hit FROM p)
+        SELECT {r('max(hit) / CAST((SELECT count(*) FROM l) AS DOUBLE)', 'accuracy')}, CAST(4 AS INTEGER) AS pairs FROM s""",
     "anova_p": f"""WITH {_V}, g AS (SELECT var, cluster, count(*) AS n, avg(val) AS m, var_pop(val) AS s FROM v GROUP BY 1, 2), a AS (SELECT var, avg(val) AS mu FROM v GROUP BY 1),
         f AS (SELECT var, (sum(n * (m - mu) * (m - mu)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS f, (count(*) - 1) / 2e0 AS k, (sum(n) - count(*)) / 2e0 AS w FROM g JOIN a USING (var) GROUP BY 1),
         x AS (SELECT var, f, k, w, w / (w + k * f) AS x, lgamma(w + k) - lgamma(w) - lgamma(k) AS front FROM f),
