@@ -26,7 +26,9 @@ CLASS_BITS = 14
 CLASSES = 1 << CLASS_BITS
 END = CLASSES  # the class of the end token
 SEGMENT = 128
-ROUNDS = 2
+#: Training stops once a round gains less log10 likelihood a token than this, or after so many rounds.
+TOLERANCE = 0.001
+MOST_ROUNDS = 20
 #: Words whose counts are broadcast; those of rarer words come by a join.
 HEAD_WORDS = 1 << 19
 PRIOR_TOKENS = 50.0
@@ -124,14 +126,15 @@ class Segments:
             alphas[t + 1, :m] = now / now.sum(axis=1, keepdims=True)
         starts, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES + 1, k))
         first = self.place == 0
+        posterior = np.zeros((len(self.tokens), k))
         b = after
         for t in range(steps - 1, -1, -1):
             m = self.active[t]
-            token = self.tokens[self.begin[:m] + t]
+            at = self.begin[:m] + t
+            token = self.tokens[at]
             gamma = alphas[t + 1, :m] * b[:m]
             gamma /= gamma.sum(axis=1, keepdims=True)
-            for s in range(k):
-                emissions[:, s] += np.bincount(token, weights=gamma[:, s], minlength=CLASSES + 1)
+            posterior[at] = gamma
             seen = self.model.emits[token] * b[:m]
             ahead = seen @ a.T
             previous = alphas[t, :m]
@@ -141,15 +144,18 @@ class Segments:
                 share = np.where(first[:m, None], 0.0, share)
             moves += ((previous * share).T @ seen) * a
             b[:m] = ahead / ahead.sum(axis=1, keepdims=True)
+        for s in range(k):
+            emissions[:, s] = np.bincount(self.tokens, weights=posterior[:, s], minlength=CLASSES + 1)
         return starts, moves, emissions
 
 
 _SUMS = ", ".join(["row int", *[f"s{k} double" for k in range(STATES)]])
+LIKELIHOOD = CLASSES + 1 + STATES + 1  # the row whose s0 is the log likelihood
 
 
-def _sums_batch(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray) -> pa.RecordBatch:
-    """Rows 0 to CLASSES: emissions; then STATES rows of moves; then the starts."""
-    table = np.concatenate([emissions, moves, starts[None]])
+def _sums_batch(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, likelihood: float = 0.0) -> pa.RecordBatch:
+    """Rows 0 to CLASSES: emissions; then STATES rows of moves; then the starts and LIKELIHOOD."""
+    table = np.concatenate([emissions, moves, starts[None], np.full((1, STATES), likelihood)])
     at = np.flatnonzero(table.sum(axis=1))
     return pa.RecordBatch.from_arrays(
         [pa.array(at, pa.int32()), *[pa.array(table[at, k]) for k in range(STATES)]], names=["row", *[f"s{k}" for k in range(STATES)]]
@@ -179,19 +185,23 @@ def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _expected(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES))]
+        likelihood = 0.0
         for batch in batches:
             for _, words in scan(batch.column("text"), lower=True):
-                for into, x in zip(total, Segments(model.value, *sequences(words)).counts(), strict=True):
+                own = Segments(model.value, *sequences(words))
+                likelihood += own.likelihood.sum()
+                for into, x in zip(total, own.counts(), strict=True):
                     into += x
-        yield _sums_batch(*total)
+        yield _sums_batch(*total, likelihood)
 
     return run
 
 
 def _model(rows, prior: np.ndarray) -> Model:
-    table = np.zeros((CLASSES + 1 + STATES + 1, STATES))
+    table = np.zeros((LIKELIHOOD, STATES))
     for r in rows:
-        table[r[0]] = r[1:]
+        if r[0] < LIKELIHOOD:
+            table[r[0]] = r[1:]
     emissions, moves, starts = table[: CLASSES + 1], table[CLASSES + 1 : -1] + 0.5 + 5 * np.eye(STATES), table[-1] + 0.5
     emissions = emissions + PRIOR_TOKENS * prior[:, None]
     return Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
@@ -245,14 +255,15 @@ def _score(shared):
     return run
 
 
-def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
+def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per input row: its probability by a count model and by the HMM.
 
     Trained on the rows whose crc32 of the id as text, modulo 7, is not 2 (a
     null id counts as empty text and is trained on).  Tokens are the words,
     A-Z lower-cased, and one end for each text; null counts as empty.  Words
     are told apart by a 64-bit hash.  Without any training row all counts are 0
-    and the model is its prior.
+    and the model is its prior.  Baum-Welch goes on until a round gains less
+    than ``tolerance`` of log10 likelihood a training token, or ``most_rounds``.
 
     Columns: the id, held_out, n_tokens, n_known, train_tokens (longs),
     base_score, score (doubles, log10).
@@ -277,8 +288,14 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return training.mapInArrow(step, _SUMS).groupBy("row").agg(*[F.sum(f"s{k}") for k in range(STATES)]).collect()
 
     model = _model(summed(_first_counts), prior)
-    for _ in range(rounds):
-        model = _model(summed(_expected(context.broadcast(model))), prior)
+    before = -math.inf
+    for _ in range(most_rounds if n_docs else 0):
+        sums = summed(_expected(context.broadcast(model)))
+        model = _model(sums, prior)
+        reached = next((r[1] for r in sums if r[0] == LIKELIHOOD), 0.0) / math.log(10) / train_tokens
+        if reached - before < tolerance:
+            break
+        before = reached
 
     # the commonest words up to a bound on their number
     sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().orderBy(F.col("n").desc()).limit(1 << 16).collect()), reverse=True)

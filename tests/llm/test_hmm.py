@@ -107,3 +107,21 @@ def test_training_helps_on_held_out_text(docs_of, rng):
 
 def test_empty_table(docs_of):
     assert H.hmm_scores(docs_of([]).limit(0)).count() == 0
+
+
+def test_training_stops_where_a_round_gains_little(docs_of, rng, monkeypatch):
+    """Rounds go on until the tolerance, and each gains likelihood on the training rows."""
+    rows = [(k, " ".join(f"{'abc'[k % 3]}{rng.randrange(60)}" for _ in range(40))) for k in range(200)]
+    docs, calls, expected = docs_of(rows).cache(), [], H._expected
+    monkeypatch.setattr(H, "_expected", lambda model: calls.append(1) or expected(model))
+
+    def trained(**options):
+        calls.clear()
+        total = H.hmm_scores(docs, **options).filter("not held_out").selectExpr("sum(score)").first()[0]
+        return total, len(calls)
+
+    by_rounds = [trained(most_rounds=k, tolerance=0.0)[0] for k in range(4)]
+    assert by_rounds[0] < by_rounds[1] <= by_rounds[2] + 1e-3 and by_rounds[2] <= by_rounds[3] + 1e-3
+    assert trained(most_rounds=3, tolerance=0.0)[1] == 3
+    wide, fine = trained(tolerance=10.0), trained(tolerance=1e-4)
+    assert wide[1] == 2 and 2 < fine[1] <= H.MOST_ROUNDS and fine[0] >= wide[0] - 1e-3
