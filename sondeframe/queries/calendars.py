@@ -43,7 +43,7 @@ def feature_season_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def carpet_positions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(C.carpet(frame(spark, d), SEASON, [1996, 1997, 1998]))
+    return rounded(C.carpet(frame(spark, d), SEASON))
 
 
 def season_years(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ SQL = {
     "month_table": f"WITH {_O} SELECT month, {', '.join(f'count(*) FILTER (cluster = {k}) AS c{k}' for k in range(1, 6))} FROM o GROUP BY 1",
     "feature_season_median": f"WITH {_O}, {_ALL} SELECT cluster, month, {r('median(value)', 'centre', 4)}, {r('quantile_cont(value, CAST(0.25 AS DOUBLE))', 'low', 4)}, {r('quantile_cont(value, CAST(0.75 AS DOUBLE))', 'high', 4)} FROM f LEFT JOIN o USING (cluster, month) GROUP BY 1, 2",
     "feature_season_mean": f"WITH {_O}, {_ALL} SELECT cluster, month, {r('avg(value)', 'centre')}, {r('avg(value) - stddev_samp(value)', 'low')}, {r('avg(value) + stddev_samp(value)', 'high')} FROM f LEFT JOIN o USING (cluster, month) GROUP BY 1, 2",
-    "carpet_positions": f"WITH {_O}, {_SEASON} SELECT profile_id, cluster, year, {r(f'{_DOS} + hour(date) / 24e0', 'day')} FROM o JOIN s USING (month) WHERE year IN (1996, 1997, 1998)",
+    "carpet_positions": f"WITH {_O}, {_SEASON} SELECT profile_id, cluster, year, {r(f'{_DOS} + hour(date) / 24e0', 'day')} FROM o JOIN s USING (month)",
     "season_years": f"WITH {_O} SELECT CAST(year - CASE WHEN month < 12 THEN 1 ELSE 0 END AS INTEGER) AS season_year, count(*) AS n FROM o WHERE month IN (12, 1, 2) GROUP BY 1",
     "dominant_bins": f"WITH {_DOMINANT} SELECT year, bin, cluster FROM dom",
     "bin_entropy": f"""WITH {_DOMINANT}, n AS (SELECT bin, cluster, count(*) AS n FROM dom GROUP BY 1, 2), p AS (SELECT bin, n, n / sum(n) OVER (PARTITION BY bin) AS p FROM n)
