@@ -200,6 +200,26 @@ def linkage_ward(spark: SparkSession, d: str) -> DataFrame:
     return cluster.merge_table(spark, cluster.linkage_tree(_reduced(spark, d)))
 
 
+def _single(spark: SparkSession, d: str) -> cluster.Tree:
+    return cluster.linkage_tree(_points(spark, d), "single")
+
+
+def linkage_single(spark: SparkSession, d: str) -> DataFrame:
+    """Heights of the merges in order."""
+    return rounded(cluster.merge_table(spark, _single(spark, d)).select("step", "height"), 5)
+
+
+def hierarchical_single(spark: SparkSession, d: str) -> DataFrame:
+    """A cluster is named by its smallest id."""
+    own = cluster.hierarchical(_single(spark, d), 6)
+    names = own.groupBy("cluster").agg(F.min("profile_id").alias("name"))
+    return own.join(F.broadcast(names), "cluster").select("profile_id", F.col("name").alias("cluster"))  # a row a cluster
+
+
+def tree_scan_single(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(cluster.scan_tree(_single(spark, d), 4), 5)
+
+
 def hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return cluster.hierarchical(cluster.linkage_tree(_reduced(spark, d), "average"), 6).select("profile_id", "cluster")
 
@@ -216,7 +236,8 @@ def two_stage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     build_matrix, impute_mean, impute_median, impute_most_frequent, impute_drop, standardise, scale_profile, scale_global, scale_block_std, scale_block_z, scale_block_max,
     cluster_summary, effect_size, anova_f, anova_p, correlations, silhouettes, cluster_inertia, confusion, adjusted_rand, best_match, co_membership, pair_bands, ranked_scores,
-    most_common, pca_scores, pca_variance, pca_loadings, k_means, k_scan, component_scan, seed_sweep, consensus, gaussian_mixture, linkage_ward, hierarchical, tree_scan, two_stage,
+    most_common, pca_scores, pca_variance, pca_loadings, k_means, k_scan, component_scan, seed_sweep, consensus, gaussian_mixture, linkage_ward, linkage_single, hierarchical, hierarchical_single,
+    tree_scan, tree_scan_single, two_stage,
 )}
 
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, label AS cluster, printf('e%02d', CAST(i - 1 AS INTEGER)) AS var, CAST(i - 1 AS INTEGER) AS g_idx, CAST(embedding[i] AS DOUBLE) AS val FROM embeddings, range(1, 65) t(i))"
@@ -238,7 +259,58 @@ def _build_sql() -> str:
     return f"WITH {E}, {G} {parts}"
 
 
+def _components_sql(n: int, squarings: int = 14) -> str:
+    """Tables a0 (covariances as rows) and v1 to vn (the components, their variance and what they leave of the covariances).
+
+    A matrix squared so often projects on its first component, which is then taken out of it.
+    """
+    parts = [f"""{_V}, c AS (SELECT x.g_idx AS i, y.g_idx AS j, covar_samp(x.val, y.val) AS c FROM v x JOIN v y USING (profile_id) GROUP BY 1, 2),
+        a0 AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS row FROM c GROUP BY 1))"""]
+    for k in range(1, n + 1):
+        parts.append(f"""p{k} AS (
+            SELECT 0 AS step, m FROM a{k - 1}
+            UNION ALL
+            SELECT step + 1, list_transform(m, lambda x: list_transform(m, lambda y: list_inner_product(x, y)))
+            FROM (SELECT step, list_transform(m, lambda x: list_transform(x, lambda y: y / size)) AS m
+                  FROM (SELECT step, m, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS size FROM p{k} WHERE step < {squarings}))),
+        r{k} AS (SELECT m[list_position(diag, list_max(diag))] AS row FROM (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diag FROM p{k} WHERE step = {squarings})),
+        u{k} AS (SELECT list_transform(row, lambda x: x / norm) AS v
+                 FROM (SELECT row, sqrt(list_inner_product(row, row)) * CASE WHEN list_max(row) >= -list_min(row) THEN 1 ELSE -1 END AS norm FROM r{k})),
+        v{k} AS (SELECT v, list_inner_product(v, list_transform(m, lambda x: list_inner_product(x, v))) AS variance, m FROM u{k}, a{k - 1}),
+        a{k} AS (SELECT list_transform(m, lambda x, i: list_transform(x, lambda y, j: y - variance * v[i] * v[j])) AS m FROM v{k})""")
+    return "WITH RECURSIVE " + ", ".join(parts)
+
+
+#: Prim's order of the vectors: of single linkage, clusters are runs of it, cut at the greatest heights.
+_PRIM = """RECURSIVE pts AS (SELECT row_number() OVER (ORDER BY x) AS node, x, ids FROM (SELECT CAST(embedding AS DOUBLE[]) AS x, list(CAST(vec_id AS VARCHAR)) AS ids FROM embeddings GROUP BY 1)),
+    prim AS (SELECT 0 AS step, node, CASE WHEN node = 1 THEN -1e0 ELSE 1e300 END AS dist FROM pts
+             UNION ALL
+             SELECT s.step + 1, s.node, least(s.dist, list_distance(p.x, q.x))
+             FROM (SELECT *, first_value(node) OVER (ORDER BY dist, node) AS taken FROM prim) s JOIN pts p ON p.node = s.taken JOIN pts q ON q.node = s.node WHERE s.node <> s.taken),
+    reached AS (SELECT step, arg_min(node, (dist, node)) AS node, min(dist) AS height FROM prim GROUP BY 1),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY height DESC) AS place FROM reached WHERE step > 0),
+    cuts AS (SELECT k, node, sum(CASE WHEN place < k THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY step) AS part
+             FROM (SELECT step, node, NULL AS place FROM reached WHERE step = 0 UNION ALL SELECT step, node, place FROM ordered), range(2, 7) t(k)),
+    members AS (SELECT k, part, unnest(ids) AS profile_id FROM cuts JOIN pts USING (node))"""
+
+
 SQL = {
+    "pca_variance": _components_sql(10) + f""", each AS ({" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS component, variance FROM v{k}" for k in range(1, 11))}),
+        t AS (SELECT list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS total FROM a0)
+        SELECT component, {r('variance / total', 'share')}, {r('sum(variance) OVER (ORDER BY component) / total', 'total')} FROM each, t""",
+    "pca_loadings": _components_sql(3) + f""", each AS ({" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS component, printf('e%02d', CAST(i - 1 AS INTEGER)) AS feature, v[i] AS loading FROM v{k}, range(1, 65) t(i)" for k in range(1, 4))}),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature) AS INTEGER) AS rank FROM each)
+        SELECT feature, component, {r('loading', 'loading')}, rank FROM ranked WHERE rank <= 8""",
+    "pca_scores": _components_sql(5) + f""", mean AS (SELECT list(m ORDER BY g_idx) AS mean FROM (SELECT g_idx, avg(val) AS m FROM v GROUP BY 1)),
+        centred AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) - mean[i]) AS x FROM embeddings, mean)
+        SELECT profile_id, {", ".join(r(f'list_inner_product(x, v{k}.v)', f'pc{k}', 6) for k in range(1, 6))} FROM centred, v1, v2, v3, v4, v5""",
+    "linkage_single": f"WITH {_PRIM} SELECT CAST(row_number() OVER (ORDER BY height) - 1 AS INTEGER) AS step, {r('height', 'height', 5)} FROM reached WHERE step > 0",
+    "hierarchical_single": f"WITH {_PRIM} SELECT profile_id, min(profile_id) OVER (PARTITION BY part) AS cluster FROM members WHERE k = 6",
+    "tree_scan_single": f"""WITH {_PRIM}, x AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        pairs AS (SELECT a.profile_id AS i, b.profile_id AS j, list_distance(a.x, b.x) AS d FROM x a JOIN x b ON a.profile_id <> b.profile_id),
+        m AS (SELECT a.k, i, a.part AS ci, b.part AS cj, avg(d) AS d FROM pairs JOIN members a ON a.profile_id = i JOIN members b ON b.profile_id = j AND b.k = a.k WHERE a.k <= 4 GROUP BY 1, 2, 3, 4),
+        s AS (SELECT k, i, max(d) FILTER (ci = cj) AS a, min(d) FILTER (ci <> cj) AS b FROM m GROUP BY 1, 2)
+        SELECT CAST(k AS INTEGER) AS k, {r('avg(CASE WHEN a IS NULL OR b IS NULL THEN 0e0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0e0), 0e0) END)', 'silhouette', 5)} FROM s GROUP BY 1""",
     "build_matrix": _build_sql(),
     "impute_mean": f"WITH {_GAPPY} SELECT profile_id, var, g_idx, {r('coalesce(val, avg(val) OVER (PARTITION BY var, g_idx))', 'val')} FROM m QUALIFY count(val) OVER (PARTITION BY var, g_idx) > 0",
     "impute_median": f"WITH {_GAPPY}, f AS (SELECT var, g_idx, median(val) AS fill FROM m GROUP BY 1, 2) SELECT profile_id, var, g_idx, {r('coalesce(val, fill)', 'val')} FROM m JOIN f USING (var, g_idx) WHERE fill IS NOT NULL",
