@@ -227,7 +227,7 @@ def parcel_profile(levels: DataFrame) -> DataFrame:
     def lift(own):
         import numpy as np
 
-        own = own.dropna(subset=["p_niv", "t"]).sort_values("p_niv", ascending=False)
+        own = own.dropna(subset=["p_niv", "t"]).sort_values(["p_niv", "level_idx"], ascending=[False, True])
         if own.empty or math.isnan(own["td"].iloc[0]):
             return own.assign(parcel_t=np.nan)[["profile_id", "level_idx", "parcel_t"]]
         p = own["p_niv"].to_numpy()

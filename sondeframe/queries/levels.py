@@ -150,7 +150,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 def parcel(spark: SparkSession, d: str) -> DataFrame:
     rows = qc.limit_dew_point(qc.apply_limits(events(spark, d)))
-    return rounded(features.parcel_energy(rows, features.parcel_profile(rows)))
+    return rounded(features.parcel_energy(rows, features.parcel_profile(rows)), 4)
 
 
 def stitch_chains(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +227,32 @@ _GRAD = f"""n0 AS (SELECT *, lag(t) OVER w AS y0, lead(t) OVER w AS y2, lag(alti
         lag(t, 2) OVER w AS ya, lead(t, 2) OVER w AS yb, lag(t, 3) OVER w AS yaa, lead(t, 3) OVER w AS ybb FROM e WINDOW w AS ({_ORDER}))"""
 
 
+def _moist_rate(t: str, p: str) -> str:
+    """Kelvin a pascal along the moist adiabat."""
+    r_ = f"(0.622e0 * 611.2e0 * exp(17.67e0 * (({t}) - 273.15e0) / (({t}) - 29.65e0)) / (({p}) - 611.2e0 * exp(17.67e0 * (({t}) - 273.15e0) / (({t}) - 29.65e0))))"
+    return f"((287.05e0 * ({t}) + 2.501e6 * {r_}) / (1004e0 + 2.501e6 * 2.501e6 * {r_} * 0.622e0 / (287.05e0 * ({t}) * ({t}))) / ({p}))"
+
+
+#: Midpoint steps of 500 Pa at most, all profiles at once.
+_PARCEL = f"""RECURSIVE {E}, {_LIMITED},
+    own AS (SELECT profile_id, p_niv AS p, t, row_number() OVER w AS k, first_value(p_niv) OVER w AS p0, first_value(t) OVER w AS t0, first_value(td) OVER w AS td0
+            FROM dew WHERE p_niv IS NOT NULL AND t IS NOT NULL WINDOW w AS (PARTITION BY profile_id ORDER BY p_niv DESC, level_idx)),
+    lcl AS (SELECT *, p0 * pow(lcl_t / t0, 1 / 0.286e0) AS lcl_p FROM (SELECT *, CASE WHEN td0 < t0 THEN 1 / (1 / (td0 - 56) + ln(t0 / td0) / 800) + 56 WHEN td0 IS NOT NULL THEN t0 END AS lcl_t FROM own)),
+    moist AS (SELECT profile_id, k, lcl_t, pa, greatest(1, CAST(ceil((pa - p) / 500e0) AS BIGINT)) AS steps, p - pa AS dp
+              FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY profile_id ORDER BY k), lcl_p) AS pa FROM lcl WHERE p < lcl_p)),
+    steps AS (SELECT profile_id, k, pa + i * dp / steps AS pa, dp / steps AS dp, i = steps - 1 AS ends, row_number() OVER (PARTITION BY profile_id ORDER BY k, i) AS n
+              FROM (SELECT *, unnest(range(steps)) AS i FROM moist)),
+    lifted AS (SELECT DISTINCT profile_id, CAST(0 AS BIGINT) AS n, lcl_t AS t FROM moist
+               UNION ALL
+               SELECT profile_id, n, t + {_moist_rate("half", "pa + dp / 2")} * dp
+               FROM (SELECT s.profile_id, s.n, l.t, s.pa, s.dp, l.t + {_moist_rate("l.t", "s.pa")} * s.dp / 2 AS half FROM lifted l JOIN steps s ON s.profile_id = l.profile_id AND s.n = l.n + 1)),
+    parcel AS (SELECT o.profile_id, o.k, o.p, CASE WHEN o.p < o.lcl_p THEN l.t WHEN o.lcl_p IS NOT NULL THEN o.t0 * pow(o.p / o.p0, 0.286e0) END - o.t AS d
+               FROM lcl o LEFT JOIN steps s ON s.profile_id = o.profile_id AND s.k = o.k AND s.ends LEFT JOIN lifted l ON l.profile_id = s.profile_id AND l.n = s.n),
+    excess AS (SELECT profile_id, 287.05e0 * (d + lead(d) OVER w) / 2 * (ln(p) - ln(lead(p) OVER w)) AS e FROM parcel WINDOW w AS (PARTITION BY profile_id ORDER BY k))"""
+
+
 SQL = {
+    "parcel": f"WITH {_PARCEL} SELECT profile_id, {r('sum(CASE WHEN e > 0 THEN e ELSE 0e0 END)', 'cape', 4)}, {r('sum(CASE WHEN e < 0 THEN e ELSE 0e0 END)', 'cin', 4)} FROM excess GROUP BY 1",
     "layer_features": feature_sql.LAYERS,
     "full_features": feature_sql.FULL,
     "diagnostics": feature_sql.DIAGNOSTICS,
