@@ -213,6 +213,13 @@ def test_parcel_is_dry_below_condensation_and_warmer_above(spark):
     assert X.parcel_energy(df, X.parcel_profile(df)).first()["cape"] >= 0
 
 
+def test_parcel_starts_at_the_first_of_levels_with_equal_pressure(spark):
+    rows = [("a", 1, 0.0, 1e5, 280.0, 270.0, 0.0, 0.0), ("a", 0, 0.0, 1e5, 290.0, 285.0, 0.0, 0.0), ("a", 2, 100.0, 99_000.0, 289.0, 284.0, 0.0, 0.0), ("b", 0, 0.0, 1e5, 290.0, None, 0.0, 0.0)]
+    out = {(r["profile_id"], r["level_idx"]): r["parcel_t"] for r in X.parcel_profile(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert out[("a", 0)] == out[("a", 1)] == 290 and out[("a", 2)] == pytest.approx(290 * 0.99**0.286)
+    assert out[("b", 0)] is None or np.isnan(out[("b", 0)])
+
+
 def test_islands(spark):
     df = spark.createDataFrame([("a", i) for i in (1, 2, 3, 7, 9, 10)], "k string, at long")
     assert sorted(tuple(r) for r in L.islands(df, ["k"], "at", "at").select("first", "last", "length").collect()) == [(1, 3, 3), (7, 7, 1), (9, 10, 2)]
