@@ -62,25 +62,37 @@ def _rice(span: int, n: int) -> int:
 def _send(owners: int):
     span = -(-(1 << FINGERPRINT_BITS) // owners)
 
+    def lists(chunk: int, pieces: list[np.ndarray]) -> pa.RecordBatch:
+        own, counts = np.unique(np.concatenate(pieces), return_counts=True)
+        cuts = np.searchsorted(own, np.arange(owners + 1, dtype=np.int64) * span)
+        rows = []
+        for owner in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[owner], cuts[owner + 1])
+            values = own[part] - owner * span
+            rice = _rice(span, len(values))
+            rows.append((
+                int(owner), int(chunk), len(values), rice, golomb_encode(values, rice),
+                np.packbits(counts[part] > 1).tobytes(),
+            ))
+        return pa.RecordBatch.from_pylist(
+            [dict(zip(_SENT.names, r, strict=True)) for r in rows], schema=_SENT
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk may span batches: its rows follow each other, and it is sent when the next one begins."""
+        now, pieces = None, []
         for batch in batches:
             chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
             prints = batch.column("fp").to_numpy(zero_copy_only=False)
-            rows = []
-            for chunk in np.unique(chunks):
-                own, counts = np.unique(prints[chunks == chunk], return_counts=True)
-                cuts = np.searchsorted(own, np.arange(owners + 1, dtype=np.int64) * span)
-                for owner in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[owner], cuts[owner + 1])
-                    values = own[part] - owner * span
-                    rice = _rice(span, len(values))
-                    rows.append((
-                        int(owner), int(chunk), len(values), rice, golomb_encode(values, rice),
-                        np.packbits(counts[part] > 1).tobytes(),
-                    ))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(_SENT.names, r, strict=True)) for r in rows], schema=_SENT
-            )
+            starts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] - 1)) if len(chunks) else []
+            for begin, end in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                if pieces and chunks[begin] != now:
+                    yield lists(now, pieces)
+                    pieces = []
+                now = chunks[begin]
+                pieces.append(prints[begin:end])
+        if pieces:
+            yield lists(now, pieces)
 
     return run
 
@@ -102,7 +114,7 @@ def _answer(lists: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum([len(d) for d in decoded])
     bitmaps = [np.packbits(m).tobytes() for m in np.split(marked, ends[:-1])]
     keep = [any(b) for b in bitmaps]
-    out = pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "bitmap": bitmaps})
+    out = pd.DataFrame({"chunk": lists["chunk"], "owner": lists["owner"], "n": lists["n"], "bitmap": bitmaps})
     return out[keep]
 
 
@@ -116,8 +128,12 @@ def _mark(owners: int):
             own, where = np.unique(rows["fp"].to_numpy(), return_inverse=True)
             cuts = np.searchsorted(own, np.arange(owners + 1, dtype=np.int64) * span)
             marked = np.zeros(len(own), dtype=bool)
-            for owner, bitmap in zip(answers["owner"], answers["bitmap"], strict=True):
+            if answers["owner"].duplicated().any():
+                raise ValueError("a chunk was sent to an owner in more than one list")
+            for owner, sent, bitmap in zip(answers["owner"], answers["n"], answers["bitmap"], strict=True):
                 n = cuts[owner + 1] - cuts[owner]
+                if n != sent:
+                    raise ValueError(f"a list of {sent} fingerprints was answered to a chunk with {n} of that owner")
                 marked[cuts[owner] : cuts[owner + 1]] = np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n]
             suspect = marked[where]
         return rows.assign(suspect=suspect)
@@ -151,7 +167,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owners = owners or max(shuffle_partitions(spark), -(-rows.count() // OWNER_ROWS))
 
     sent = rows.select("chunk", "fp").mapInArrow(_send(owners), _SENT_DDL)
-    answers = sent.groupBy("owner").applyInPandas(_answer, "chunk long, owner int, bitmap binary")
+    answers = sent.groupBy("owner").applyInPandas(_answer, "chunk long, owner int, n int, bitmap binary")
     schema = "doc_id long, sha string, x long, row_uid long, chunk long, fp long, suspect boolean"
     marked = materialise(
         rows.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("chunk")

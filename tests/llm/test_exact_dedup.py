@@ -54,3 +54,16 @@ def test_one_large_group(docs_of, owners):
     found = D.exact_duplicates(docs_of([(k, "copy" if k % 3 else f"own {k}") for k in range(300)]), owners=owners)
     assert {r["group_size"] for r in found.filter("doc_id % 3 != 0").collect()} == {200}
     assert found.filter("kept").count() == 101
+
+
+@pytest.mark.parametrize(("n", "batch", "owners"), [(4_000, 7, 7), (40_000, 10_000, 1), (40_000, 10_000, 7), (12_000, 10_000, 16_384)])
+def test_chunks_span_arrow_batches(spark, n, batch, owners):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        docs = spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "concat('text ', CASE WHEN id % 10 = 0 THEN id DIV 20 * 20 ELSE id END) AS text")
+        found = D.exact_duplicates(docs, owners=owners)
+        kept, groups = found.selectExpr("count_if(kept)", "count_if(group_size = 2 AND keep_id % 20 = 10)").first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert (kept, groups) == (n - n // 20, n // 10)
