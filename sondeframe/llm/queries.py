@@ -14,6 +14,7 @@ from sondeframe.llm.exact_dedup import exact_duplicates
 from sondeframe.llm.hmm import hmm_scores
 from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
+from sondeframe.llm.line_rules import BOILERPLATE_PATTERN, BOILERPLATE_WORDS, EXCITED, MOST_LOST, SENTENCE_END, SENTENCE_WORDS, SEPARATOR, STOPS, SYMBOL, line_quality
 from sondeframe.llm.mixing import QUERY_SHARE, QUERY_TARGETS, labelled_rows, mixing_rates
 from sondeframe.llm.quality import quality_scores
 from sondeframe.llm.substring_dedup import remove_repeats
@@ -77,6 +78,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -88,11 +93,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_hmm": op9_hmm,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_line_rules": op12_line_rules,
     "pipeline": corpus_pipeline.run,
     "base_scores": base_scores,
 }
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLE_SQL = {
+    "op12_line_rules": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i : i + 4], ' ')))) AS h,
+                          unnest(range(1, len(words) - 3)) AS pos FROM t WHERE len(words) >= 5),
+        win AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, h) AS n FROM starts),
+        again AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(pos, pos + 5)) AS p FROM win WHERE n > 1) GROUP BY 1),
+        cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM t),
+        lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut),
+        own AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words,
+                       len(regexp_extract_all(line, {_quoted(SEPARATOR + r"(?:[\x20\x09-\x0D]|$)")})) AS parting, regexp_matches(line, {_quoted(STOPS)}) AS stops,
+                       len(regexp_extract_all(line, {_quoted(SENTENCE_END)})) AS ends, len(regexp_extract_all(line, {_quoted(SYMBOL)})) AS symbols,
+                       len(regexp_extract_all(line, {_quoted(EXCITED)})) AS excited,
+                       regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quoted(BOILERPLATE_PATTERN)}) AS notice FROM lines),
+        judged AS (SELECT *, len(words) AS n, parting >= 2 AND 4 * parting >= len(words) AS nav, len(words) <= {BOILERPLATE_WORDS} AND notice AS plate,
+                          (NOT stops AND {SENTENCE_WORDS} * ends < len(words)) OR 5 * symbols > len(words) OR 5 * excited > len(words) AS punct FROM own),
+        total AS (SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (n > 0 AND nth > 1) AS n_dup_lines, count(*) FILTER (n > 0 AND nav) AS n_navigation,
+                         count(*) FILTER (n > 0 AND NOT nav AND plate) AS n_boilerplate, count(*) FILTER (n > 0 AND NOT nav AND NOT plate AND punct) AS n_punctuation,
+                         CAST(coalesce(sum(length(array_to_string(words, ''))) FILTER (n > 0 AND (nav OR plate OR punct)), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY 1),
+        base AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                        n_lines, n_punctuation, n_navigation, n_boilerplate, lost_chars FROM t LEFT JOIN again USING (doc_id) JOIN total USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_chars <= {MOST_LOST} * word_chars AS kept FROM base
+    """,
     "op10_jaccard_join": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
