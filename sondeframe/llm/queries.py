@@ -11,6 +11,7 @@ import corpus_pipeline
 from sondeframe.llm.common import scratch_path
 from sondeframe.llm.decontaminate import contaminated
 from sondeframe.llm.exact_dedup import exact_duplicates
+from sondeframe.llm.hard_negatives import embedding_points, hard_negatives
 from sondeframe.llm.hmm import hmm_scores
 from sondeframe.llm.html_extract import extract_pages
 from sondeframe.llm.jaccard_join import jaccard_classes
@@ -18,6 +19,7 @@ from sondeframe.llm.line_rules import BOILERPLATE_PATTERN, BOILERPLATE_WORDS, EX
 from sondeframe.llm.mixing import QUERY_SHARE, QUERY_TARGETS, labelled_rows, mixing_rates
 from sondeframe.llm.quality import quality_scores
 from sondeframe.llm.substring_dedup import remove_repeats
+from sondeframe.llm.tiered_search import ranked_search
 from sondeframe.llm.url_filter import judge_urls
 from sondeframe.llm.warc import read_warc, write_warc
 
@@ -78,10 +80,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
 def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id 100 divides; the label of every seventh row is another one."""
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(embedding_points(rows), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_mixing": op2_mixing,
@@ -93,7 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_hmm": op9_hmm,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_tiered_search": op11_tiered_search,
     "op12_line_rules": op12_line_rules,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
     "base_scores": base_scores,
 }
@@ -103,6 +117,29 @@ def _quoted(pattern: str) -> str:
 
 
 ORACLE_SQL = {
+    "op11_tiered_search": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS uid,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        s AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms)) AS n_terms FROM t),
+        q AS (SELECT DISTINCT item_id, text FROM benchmark),
+        qt AS (SELECT DISTINCT item_id, text,
+                      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM q),
+        words AS (SELECT uid, doc_id, len(terms) AS n, unnest(terms) AS term FROM t),
+        p AS (SELECT uid, doc_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2e0 * any_value(n_docs) + 2) / (2e0 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY 1),
+        impact AS (SELECT uid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n * n_docs) // n_terms AS BIGINT)))) AS x FROM p JOIN w USING (term), s),
+        scores AS (SELECT item_id, text, uid, doc_id, CAST(sum(x) AS BIGINT) AS score FROM qt JOIN impact USING (term) GROUP BY ALL HAVING sum(x) > 0)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores QUALIFY rank <= 10
+    """,
+    "op13_hard_negatives": """
+        WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id AS other, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+        pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+    """,
     "op12_line_rules": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         starts AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(words[i : i + 4], ' ')))) AS h,
