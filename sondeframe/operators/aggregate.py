@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sondeframe.functions import physics as P
 from sondeframe.functions.levels import first_argmax, gradient
+from sondeframe.operators.quantiles import with_quantiles
 
 LEAST_INVERSION = 2.0
 
@@ -86,12 +87,10 @@ def with_derived(resampled: DataFrame) -> DataFrame:
 
 
 def level_quantiles(resampled: DataFrame, variables: list[str], quantiles: tuple[float, ...] = (0.1, 0.9), by: list[str] | None = None) -> DataFrame:
-    """Mean and exact quantiles (linear between ranks) of variables by level, in one aggregate."""
-    columns = []
-    for v in variables:
-        columns.append(F.avg(v).alias(f"{v}_mean"))
-        columns += [F.percentile(v, F.lit(q)).alias(f"{v}_q{round(q * 100):02d}") for q in quantiles]
-    return resampled.groupBy(*(by or []), "g_idx").agg(*columns)
+    """Mean and exact quantiles (linear between ranks) of variables by level."""
+    keys = [*(by or []), "g_idx"]
+    facts = resampled.groupBy(*keys).agg(*[F.avg(v).alias(f"{v}_mean") for v in variables])
+    return with_quantiles(facts, resampled, keys, {v: {f"{v}_q{round(q * 100):02d}": q for q in quantiles} for v in variables})
 
 
 def circular_mean(direction: Column) -> Column:
@@ -108,9 +107,10 @@ def profile_statistics(resampled: DataFrame) -> DataFrame:
     """By level: mean, 5 and 95 % quantiles and deviation of t; mean speed, speed and direction of the mean wind."""
     u, v = P.components("ff", "dd", -1)
     facts = resampled.groupBy("g_idx").agg(
-        F.avg("t").alias("t_mean"), F.percentile("t", F.lit(0.05)).alias("t_q05"), F.percentile("t", F.lit(0.95)).alias("t_q95"), F.stddev_pop("t").alias("t_std"),
+        F.avg("t").alias("t_mean"), F.stddev_pop("t").alias("t_std"),
         F.avg("ff").alias("speed_mean"), F.avg(u).alias("_u"), F.avg(v).alias("_v"),
     )
+    facts = with_quantiles(facts, resampled, ["g_idx"], {"t": {"t_q05": 0.05, "t_q95": 0.95}})
     return facts.withColumn("vector_speed", P.speed("_u", "_v")).withColumn("vector_direction", P.direction("_u", "_v", -1)).drop("_u", "_v")
 
 
@@ -122,8 +122,9 @@ def gated_statistics(resampled: DataFrame, variables: list[str], quantiles: tupl
     total = resampled.select("profile_id").distinct().agg(F.count("*").alias("_all"))
     columns = []
     for v in variables:
-        columns += [F.count(v).alias(f"_n_{v}"), F.avg(v).alias(f"{v}_mean"), *[F.percentile(v, F.lit(q)).alias(f"{v}_{n}") for n, q in zip(("low", "high"), quantiles, strict=True)]]
+        columns += [F.count(v).alias(f"_n_{v}"), F.avg(v).alias(f"{v}_mean")]
     facts = resampled.groupBy("g_idx").agg(*columns).crossJoin(F.broadcast(total))  # one row
+    facts = with_quantiles(facts, resampled, ["g_idx"], {v: {f"{v}_low": quantiles[0], f"{v}_high": quantiles[1]} for v in variables})
     least = F.floor(F.col("_all") * min_share)
     return facts.select("g_idx", *[F.when(F.col(f"_n_{v}") >= least, F.col(f"{v}_{s}")).alias(f"{v}_{s}") for v in variables for s in ("mean", "low", "high")])
 
@@ -169,10 +170,8 @@ def hour_counts(profiles: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """n, mean, sample deviation, least, exact quartiles and largest value of a column, as one row."""
-    return df.agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"),
-        *[F.percentile(column, F.lit(q)).alias(n) for n, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))], F.max(column).alias("largest"),
-    )
+    facts = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("largest"))
+    return with_quantiles(facts, df, [], {column: {"q25": 0.25, "median": 0.5, "q75": 0.75}}).select("n", "mean", "std", "least", "q25", "median", "q75", "largest")
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeframe.operators.evaluate import adjusted_rand
+from sondeframe.operators.quantiles import with_quantiles
 
 
 def calendar(profiles: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def month_shares(frame: DataFrame, months: list[int] | None = None) -> DataFrame
 def feature_seasonal(frame: DataFrame, feature: str, stat: str = "median", months: list[int] | None = None) -> DataFrame:
     """(cluster, month, centre, low, high): median and quartiles, or mean and one sample deviation about it."""
     if stat == "median":
-        cells = frame.groupBy("cluster", "month").agg(*[F.percentile(feature, F.lit(q)).alias(n) for n, q in (("centre", 0.5), ("low", 0.25), ("high", 0.75))])
+        cells = with_quantiles(frame.select("cluster", "month").distinct(), frame, ["cluster", "month"], {feature: {"centre": 0.5, "low": 0.25, "high": 0.75}})
     elif stat == "mean":
         m, s = F.avg(feature), F.stddev_samp(feature)
         cells = frame.groupBy("cluster", "month").agg(m.alias("centre"), (m - s).alias("low"), (m + s).alias("high"))

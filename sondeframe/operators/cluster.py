@@ -1,23 +1,28 @@
 """Reduction and clustering of profiles: PCA, k-means, mixtures, hierarchies, two stages.
 
-Fits run on Spark ML over distributed rows.  What comes to the driver is bounded
+All fits of a search advance together (``kmeans``, ``mixtures``); components run
+on Spark ML.  What comes to the driver is bounded
 by the number of columns, clusters or leaves, never by the number of profiles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondeframe.operators.evaluate import silhouette
+from sondeframe.operators import kmeans, mixtures
+from sondeframe.operators.evaluate import mean_silhouettes, silhouette
+from sondeframe.operators.kmeans import Fitted, Run
 from sondeframe.operators.matrix import blocks, vectors
 
 MAX_LEAVES = 2000
@@ -79,17 +84,10 @@ class Fit:
 
 
 def k_means(points: DataFrame, k: int, seed: int = 0, n_init: int = 20) -> Fit:
-    """The best by inertia of n_init fits, from seed, seed + 1, ..."""
-    held = points.persist()
-    best = None
-    for s in range(seed, seed + n_init):
-        model = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(held)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    out = best[1].transform(points).select("profile_id", "features", "cluster")
-    held.unpersist()
-    return Fit(out, np.array(best[1].clusterCenters()), float(best[0]))
+    """The best by inertia of n_init starts, which are fitted together."""
+    best = kmeans.best_of(kmeans.fit(points, [Run(k, seed, s) for s in range(n_init)]))[0]
+    rows = kmeans.labelled(points, [best])
+    return Fit(rows.select("profile_id", array_to_vector("x").alias("features"), F.col("labels")[0].alias("cluster")), best.centres, best.inertia)
 
 
 def mean_silhouette(assigned: DataFrame) -> float:
@@ -98,62 +96,44 @@ def mean_silhouette(assigned: DataFrame) -> float:
     return float(silhouette(rows).agg(F.avg("silhouette")).first()[0] or 0.0)
 
 
+def _silhouettes(points: DataFrame, fitted: list[Fitted]) -> list[float]:
+    return mean_silhouettes(kmeans.labelled(points, fitted), [max(1, len(f.centres)) for f in fitted], [f.run.width for f in fitted])
+
+
 def scan_k(points: DataFrame, max_k: int = 10, seed: int = 0, n_init: int = 20) -> DataFrame:
-    """(k, inertia, silhouette) for k from 2."""
-    rows = []
-    for k in range(2, max_k + 1):
-        fit = k_means(points, k, seed, n_init)
-        rows.append((k, fit.inertia, mean_silhouette(fit.assignments)))
+    """(k, inertia, silhouette) for k from 2: all numbers and starts in one search."""
+    best = kmeans.best_of(kmeans.fit(points, [Run(k, seed, s) for k in range(2, max_k + 1) for s in range(n_init)]))
+    rows = [(f.run.k, f.inertia, s) for f, s in zip(best, _silhouettes(points, best), strict=True)]
     return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 def scan_components(points: DataFrame, k: int, max_n: int = 8, seed: int = 0, n_init: int = 5) -> DataFrame:
-    """(n, silhouette) of clusterings in 1 to max_n components."""
+    """(n, silhouette) of clusterings in 1 to max_n components, all in one search."""
     whole = reduce(points, max_n)
-    rows = []
-    for n in range(1, len(whole.explained) + 1):
-        cut = whole.scores.select("profile_id", array_to_vector(F.slice(vector_to_array("features"), 1, n)).alias("features"))
-        rows.append((n, mean_silhouette(k_means(cut, k, seed, n_init).assignments)))
+    best = kmeans.best_of(kmeans.fit(whole.scores, [Run(k, seed, s, n) for n in range(1, len(whole.explained) + 1) for s in range(n_init)]))
+    rows = [(f.run.width, s) for f, s in zip(best, _silhouettes(whole.scores, best), strict=True)]
     return points.sparkSession.createDataFrame(rows, "n int, silhouette double")
 
 
 def seed_sweep(points: DataFrame, ks: list[int], seeds: list[int]) -> DataFrame:
-    """(k, seed, inertia, silhouette) of single fits."""
-    rows = []
-    for k in ks:
-        for seed in seeds:
-            fit = k_means(points, k, seed, 1)
-            rows.append((k, seed, fit.inertia, mean_silhouette(fit.assignments)))
+    """(k, seed, inertia, silhouette) of single starts, all in one search."""
+    fitted = kmeans.fit(points, [Run(k, seed) for k in ks for seed in seeds])
+    rows = [(f.run.k, f.run.seed, f.inertia, s) for f, s in zip(fitted, _silhouettes(points, fitted), strict=True)]
     return points.sparkSession.createDataFrame(rows, "k int, seed int, inertia double, silhouette double")
 
 
 def runs(points: DataFrame, k: int, seeds: list[int], n_init: int = 1) -> DataFrame:
-    """(run, profile_id, cluster) of a fit for each seed: the input of ``co_membership``."""
-    out = None
-    for seed in seeds:
-        own = k_means(points, k, seed, n_init).assignments.select(F.lit(seed).alias("run"), "profile_id", "cluster")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """(run, profile_id, cluster) of a fit for each seed, all in one search: the input of a consensus."""
+    best = kmeans.best_of(kmeans.fit(points, [Run(k, seed, s) for seed in seeds for s in range(n_init)]))
+    return kmeans.assign(points, best)
 
 
 def mixture(points: DataFrame, ks: list[int], seeds: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(assignments of the fit of least BIC, (k, seed, log_likelihood, bic) of all)."""
-    held = points.persist()
-    n = held.count()
-    d = len(held.first()["features"])
-    rows, best = [], None
-    for k in ks:
-        for seed in seeds:
-            model = GaussianMixture(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(held)
-            likelihood = float(model.summary.logLikelihood)
-            free = k * d * (d + 1) / 2 + k * d + k - 1
-            bic = -2 * likelihood + free * math.log(n)
-            rows.append((k, seed, likelihood, bic))
-            if best is None or bic < best[0]:
-                best = (bic, model)
-    out = best[1].transform(points).select("profile_id", "features", "cluster", "probability")
-    held.unpersist()
-    return out, points.sparkSession.createDataFrame(rows, "k int, seed int, log_likelihood double, bic double")
+    """(assignments of the fit of least BIC, (k, seed, log_likelihood, bic) of all), fitted together."""
+    fitted, n = mixtures.fit(points, [Run(k, seed) for k in ks for seed in seeds])
+    best = min(fitted, key=lambda f: f.bic(n))
+    rows = [(f.run.k, f.run.seed, f.log_likelihood, f.bic(n)) for f in fitted]
+    return mixtures.assign(points, best), points.sparkSession.createDataFrame(rows, "k int, seed int, log_likelihood double, bic double")
 
 
 @dataclass(frozen=True)
@@ -205,12 +185,13 @@ def linkage_tree(points: DataFrame, method: str = "ward", max_leaves: int = MAX_
         named = points.sparkSession.createDataFrame([(list(map(float, r["_x"])), k) for k, r in enumerate(rows)], "_x array<double>, leaf int")
         members = keyed.join(F.broadcast(named), "_x").select("profile_id", "features", "leaf")  # max_leaves rows
     else:
-        fit = k_means(points, max_leaves, seed, 1)
-        sizes = {r["cluster"]: r["count"] for r in fit.assignments.groupBy("cluster").count().collect()}
+        model = KMeans(k=max_leaves, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
+        assigned = model.transform(points)
+        sizes = {r["cluster"]: r["count"] for r in assigned.groupBy("cluster").count().collect()}
         used = sorted(sizes)
-        leaves, weights = fit.centres[used], np.array([sizes[c] for c in used])
+        leaves, weights = np.array(model.clusterCenters())[used], np.array([sizes[c] for c in used])
         place = F.create_map(*[F.lit(x) for k, c in enumerate(used) for x in (c, k)])
-        members = fit.assignments.select("profile_id", "features", place[F.col("cluster")].alias("leaf"))
+        members = assigned.select("profile_id", "features", place[F.col("cluster")].alias("leaf"))
     return Tree(_agglomerate(leaves, weights, method), leaves, weights, members)
 
 
@@ -292,41 +273,86 @@ def two_stage(matrix: DataFrame, k_wind: int, wind: list[str] | None = None, the
     points = vectors(blocks(matrix, wind), wind)
     n = points.count()
     first = k_means(reduce(points, max(1, min(n_wind, n - 1))).scores, k_wind, seed, n_init).assignments.select("profile_id", F.col("cluster").alias("cluster_wind")).persist()
-    heat = vectors(blocks(matrix, thermal), thermal).join(first, "profile_id").persist()
-    sizes = {r["cluster_wind"]: r["count"] for r in first.groupBy("cluster_wind").count().collect()}
-    parts, pairs = [], []
-    for w in range(k_wind):
-        own, size = heat.filter(F.col("cluster_wind") == w).select("profile_id", "features"), sizes.get(w, 0)
-        labels = None
-        if size > 1 and k_therm is None:
-            labels = _types(own, size, max_k, share, min_silhouette, min_size, n_init, seed)
-        elif size > 1 and 2 <= k_therm <= size:
-            labels = k_means(reduce(own, min(n_therm, size - 1)).scores, k_therm, seed, n_init).assignments
-        k = 1 if labels is None else (labels.agg(F.max("cluster")).first()[0] or 0) + 1
-        pairs += [(w, t) for t in range(k)]
-        named = own.select("profile_id", F.lit(0).alias("cluster_therm")) if labels is None else labels.select("profile_id", F.col("cluster").alias("cluster_therm"))
-        parts.append(named.withColumn("cluster_wind", F.lit(w)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    heat = vectors(blocks(matrix, thermal), thermal).join(first, "profile_id").withColumnRenamed("cluster_wind", "group").persist()
+    sizes = {r["group"]: r["count"] for r in heat.groupBy("group").count().collect()}
+    if k_therm is None:
+        wanted = {w: range(2, min(max_k + 1, m)) for w, m in sizes.items() if m > 1}
+    else:
+        wanted = {w: [k_therm] for w, m in sizes.items() if 2 <= k_therm <= m}
+    widths, scores = _reduced_groups(heat, {w: max(1, sizes[w] - 1) if k_therm is None else min(n_therm, sizes[w] - 1) for w in wanted}, share if k_therm is None else None)
+    fitted = kmeans.best_of(kmeans.fit(scores, [Run(k, seed, s, widths[w], w) for w, ks in wanted.items() for k in ks for s in range(n_init)])) if widths else []
+    labels = kmeans.labelled(scores, fitted).persist()
+    chosen = {f.run.group: j for j, f in enumerate(fitted)}
+    if k_therm is None and fitted:
+        counts: dict[int, dict[int, int]] = {}
+        for r in labels.select(F.posexplode("labels").alias("run", "c")).filter("c >= 0").groupBy("run", "c").count().collect():
+            counts.setdefault(r["run"], {})[r["c"]] = r["count"]
+        found = mean_silhouettes(labels, [max(1, len(f.centres)) for f in fitted], [f.run.width for f in fitted])
+        good = [j for j in range(len(fitted)) if len(counts[j]) > 1 and min(counts[j].values()) >= min_size and found[j] >= min_silhouette]
+        chosen = {}
+        for j in sorted(good, key=lambda j: (found[j], -fitted[j].run.k)):  # the last is the best, of equal ones that of fewer types
+            chosen[fitted[j].run.group] = j
+    types = {w: len(fitted[chosen[w]].centres) if w in chosen else 1 for w in range(k_wind)}
+    pairs = [(w, t) for w in range(k_wind) for t in range(types[w])]
+    at = F.create_map(*[F.lit(x) for w, j in chosen.items() for x in (w, j)])[F.col("g")] if chosen else F.lit(None).cast("int")
+    heat_type = labels.select("profile_id", F.coalesce(F.get("labels", at), F.lit(0)).alias("cluster_therm")) if fitted else first.select("profile_id", F.lit(0).alias("cluster_therm"))
+    # a regime with too few profiles for components has no scores and one type
+    out = first.join(heat_type, "profile_id", "left").withColumn("cluster_therm", F.coalesce("cluster_therm", F.lit(0)))
     place = F.create_map(*[F.lit(x) for k, (w, t) in enumerate(pairs) for x in (f"{w}:{t}", k)])
     out = out.withColumn("cluster", place[F.concat_ws(":", F.col("cluster_wind").cast("string"), F.col("cluster_therm").cast("string"))])
     return Stages(out.select("profile_id", "cluster_wind", "cluster_therm", "cluster"), dict(enumerate(pairs)))
 
 
-def _types(own: DataFrame, size: int, max_k: int, share: float, min_silhouette: float, min_size: int, n_init: int, seed: int) -> DataFrame | None:
-    width = len(own.first()["features"])
-    whole = reduce(own, max(1, min(width, size - 1)))
-    n = max(1, min(components_for(whole.explained, share), size - 1))
-    cut = whole.scores.select("profile_id", array_to_vector(F.slice(vector_to_array("features"), 1, n)).alias("features"))
-    found = []
-    for k in range(2, min(max_k + 1, size)):
-        labels = k_means(cut, k, seed, n_init).assignments
-        counts = [r["count"] for r in labels.groupBy("cluster").count().collect()]
-        if len(counts) >= 2:
-            found.append((mean_silhouette(labels), -k, min(counts), labels))
-    for score, _, least, labels in sorted(found, key=lambda x: x[:2], reverse=True):
-        if score >= min_silhouette and least >= min_size:
-            return labels
-    return None
+def _moments(shift: dict[int, np.ndarray] | None):
+    """Of each partition and group: rows, and the sum of vectors, or of products of vectors less their group's mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            own = batch.column("g").to_numpy()
+            for g in np.unique(own):
+                x = np.array(batch.column("x").take(pa.array(np.flatnonzero(own == g))).to_pylist())
+                part = x.sum(axis=0) if shift is None else ((x - shift[int(g)]).T @ (x - shift[int(g)])).ravel()
+                if int(g) in total:
+                    total[int(g)][0] += len(x)
+                    total[int(g)][1] += part
+                else:
+                    total[int(g)] = [len(x), part]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([float(t[0]) for t in total.values()], pa.float64()), pa.array([t[1].tolist() for t in total.values()], pa.list_(pa.float64()))], names=["g", "n", "x"])
 
+    return run
+
+
+def _reduced_groups(points: DataFrame, most: dict[int, int], share: float | None) -> tuple[dict[int, int], DataFrame]:
+    """Principal components inside each group, all groups at once: (how many count by group, (profile_id, group, features)).
+
+    Of a group its ``most`` first components, or as many of them as reach
+    ``share`` of its variance.  A matrix of columns by columns a group comes to the driver.
+    """
+    rows = kmeans.prepared(points).filter(F.col("g").isin(*most)) if most else kmeans.prepared(points).limit(0)
+    summed = lambda shift: rows.select("g", "x").mapInArrow(_moments(shift), "g int, n double, x array<double>").withColumn("x", array_to_vector("x")).groupBy("g").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("x")).alias("x")).collect()
+    means = {r["g"]: r["x"].toArray() / r["n"] for r in summed(None)}
+    bases, widths = {}, {}
+    for r in summed(means):
+        d = len(means[r["g"]])
+        values, vectors_ = np.linalg.eigh(r["x"].toArray().reshape(d, d) / max(1.0, r["n"] - 1))
+        values, vectors_ = np.maximum(values[::-1], 0), vectors_[:, ::-1]
+        vectors_ = vectors_ * np.where(vectors_[np.abs(vectors_).argmax(axis=0), np.arange(d)] < 0, -1, 1)
+        explained = values / values.sum() if values.sum() else np.ones(d)
+        n = min(most[r["g"]], d)
+        widths[r["g"]] = n if share is None else max(1, min(components_for(explained[:n], share), n))
+        bases[r["g"]] = vectors_
+    wide = max(widths.values(), default=1)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, out = batch.column("g").to_numpy(), np.zeros((batch.num_rows, wide))
+            for g in np.unique(own):
+                at = np.flatnonzero(own == g)
+                x = np.array(batch.column("x").take(pa.array(at)).to_pylist()) - means[int(g)]
+                part = x @ bases[int(g)][:, :wide]
+                out[at, : part.shape[1]] = part
+            yield pa.RecordBatch.from_arrays([batch.column("profile_id"), batch.column("g"), pa.array(out.tolist(), pa.list_(pa.float64()))], names=["profile_id", "group", "features"])
+
+    kind = points.schema["profile_id"].dataType.simpleString()
+    return widths, rows.select("profile_id", "g", "x").mapInArrow(project, f"profile_id {kind}, group int, features array<double>")

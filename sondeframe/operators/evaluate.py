@@ -7,6 +7,9 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,88 @@ def _distance_sums(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def mean_silhouettes(rows: DataFrame, clusters: list[int], widths: list[int | None] | None = None, block: int = 1024) -> list[float]:
+    """The mean silhouette of each of several labelings of the same profiles, exact; 0 with fewer than two clusters.
+
+    ``rows`` is (profile_id, x, g, labels): labels has a cluster for each
+    labeling, -1 where the profile has no part in it; profiles of different g
+    never share one.  ``clusters`` are the numbers of clusters and ``widths``
+    the numbers of leading columns that count.  A distance is computed once for
+    all labelings; what is shuffled on is one array of sums a profile and block.
+    """
+    widths = widths or [None] * len(clusters)
+    begin = np.cumsum([0, *clusters])
+    sizes = np.zeros(begin[-1])
+    for r in rows.select(F.posexplode("labels").alias("run", "c")).filter("c >= 0").groupBy("run", "c").count().collect():
+        sizes[begin[r["run"]] + r["c"]] = r["count"]
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    placed = rows.withColumn("at", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = placed.select("g", F.col("at").alias("i"), F.col("to").alias("j"), F.lit(0).alias("side"), "profile_id", "x", "labels")
+    other = placed.select("g", F.col("to").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "profile_id", "x", "labels")
+    kind = dict(rows.dtypes)["profile_id"]
+    sums = own.unionByName(other).groupBy("g", "i", "j").applyInPandas(_label_sums(begin, widths), f"profile_id {kind}, labels array<int>, sums array<double>")
+    whole = (
+        sums.withColumn("sums", array_to_vector("sums")).groupBy("profile_id", "labels").agg(Summarizer.sum(F.col("sums")).alias("sums"))
+        .select("labels", vector_to_array("sums").alias("sums"))
+    )
+    found = whole.mapInArrow(_scores(begin, sizes), "run int, total double, n long").groupBy("run").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    out = [0.0] * len(clusters)
+    for r in found:
+        out[r["run"]] = float(r["mean"])
+    return out
+
+
+def _label_sums(begin: np.ndarray, widths: list[int | None]):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of two blocks: for each profile of the first the distances to the second, summed by labeling and cluster."""
+        own, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if own.empty or other.empty:
+            return pd.DataFrame({"profile_id": [], "labels": [], "sums": []})
+        x, y = np.stack(own["x"]), np.stack(other["x"])
+        labels = np.stack(other["labels"])
+        member = np.zeros((len(y), begin[-1]))
+        row, run_at = np.nonzero(labels >= 0)
+        member[row, begin[run_at] + labels[row, run_at]] = 1
+        sums = np.zeros((len(x), begin[-1]))
+        for width in set(widths):
+            columns = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in range(len(widths)) if widths[k] == width])
+            a, b = x[:, :width], y[:, :width]
+            for k in range(0, len(x), 16):
+                sums[k : k + 16, columns] = np.sqrt(((a[k : k + 16, None] - b[None]) ** 2).sum(axis=2)) @ member[:, columns]
+        return pd.DataFrame({"profile_id": own["profile_id"].to_numpy(), "labels": own["labels"].to_numpy(), "sums": list(sums)})
+
+    return run
+
+
+def _scores(begin: np.ndarray, sizes: np.ndarray):
+    def run(batches):
+        """Silhouettes of the profiles of a partition, added up by labeling."""
+        total, n = np.zeros(len(begin) - 1), np.zeros(len(begin) - 1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = batch.column("labels").flatten().to_numpy().reshape(batch.num_rows, -1)
+            sums = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k in range(len(total)):
+                rows = np.flatnonzero(labels[:, k] >= 0)
+                size, own = sizes[begin[k] : begin[k + 1]], labels[rows, k]
+                n[k] += len(rows)
+                if (size > 0).sum() < 2 or not len(rows):
+                    continue
+                part = sums[rows, begin[k] : begin[k + 1]]
+                each = np.arange(len(rows))
+                a = np.divide(part[each, own], size[own] - 1, out=np.full(len(rows), np.nan), where=size[own] > 1)
+                mean = np.divide(part, size, out=np.full(part.shape, np.inf), where=size > 0)
+                mean[each, own] = np.inf
+                b = mean.min(axis=1)
+                most = np.maximum(a, b)
+                total[k] += np.divide(b - a, most, out=np.zeros(len(rows)), where=most > 0).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(n)], names=["run", "total", "n"])
+
+    return run
+
+
 def inertia(points: DataFrame, features: str = "features", cluster: str = "cluster") -> DataFrame:
     """(inertia): squared distances to the means of given clusters, in one pass of sums."""
     long = points.select(F.col(cluster).alias("c"), F.posexplode(features).alias("k", "x"))
@@ -132,22 +217,66 @@ def _assign(cost: list[list[float]]) -> list[int]:
 def co_membership(runs: DataFrame) -> DataFrame:
     """(a, b, share), a < b: in which share of the runs two profiles have one label.
 
-    ``runs`` is (run, profile_id, cluster).  Quadratic by nature, for the few
-    hundred profiles of a consensus study.
+    ``runs`` is (run, profile_id, cluster).  A row for each pair that ever shares
+    a label: ``consensus_classes`` gives the same without pairs.
     """
     n = runs.select("run").distinct().count()
     left, right = runs.select("run", "cluster", F.col("profile_id").alias("a")), runs.select("run", "cluster", F.col("profile_id").alias("b"))
     return left.join(right, ["run", "cluster"]).filter("a < b").groupBy("a", "b").agg((F.count("*") / n).alias("share"))
 
 
-def pair_bands(pairs: DataFrame, profiles: int) -> DataFrame:
-    """Counts of stable (> 0.8), separate (< 0.2) and ambiguous (0.3 to 0.7) pairs; absent pairs have share 0."""
-    total = profiles * (profiles - 1) // 2
-    return pairs.agg(
-        F.count_if(F.col("share") > 0.8).alias("stable"),
-        (F.count_if(F.col("share") < 0.2) + total - F.count("*")).alias("separate"),
-        F.count_if(F.col("share").between(0.3, 0.7)).alias("ambiguous"),
-    )
+#: Bounds of the bands; fixed values.
+STABLE, SEPARATE, AMBIGUOUS = 0.8, 0.2, (0.3, 0.7)
+
+
+def consensus_classes(runs: DataFrame, block: int = 2048) -> DataFrame:
+    """(profile_id, class_id, size, stable, separate, ambiguous): a consensus of runs without a row for a pair.
+
+    ``runs`` is (run, profile_id, cluster).  Profiles that have the same label in
+    every run are one class, named by its smallest id, of ``size`` profiles.
+    The other columns count, for each profile, the others with which it shares a
+    label in over STABLE, under SEPARATE, or from AMBIGUOUS[0] to AMBIGUOUS[1]
+    of the runs.  Classes are compared in pairs of blocks inside tasks, weighted
+    by their sizes; a run in which a profile has no label agrees with none.
+    """
+    numbers = runs.select("run").distinct().withColumn("at", F.row_number().over(Window.orderBy("run")) - 1)  # a row a run
+    n = numbers.count()
+    coded = runs.join(F.broadcast(numbers), "run").select("profile_id", "at", F.xxhash64("cluster").bitwiseAND((1 << 62) - 1).alias("c"))
+    cells = F.map_from_entries(F.collect_list(F.struct("at", "c")))
+    own = coded.groupBy("profile_id").agg(cells.alias("m")).select("profile_id", F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)), lambda k: F.try_element_at("m", k)).alias("l")).persist()
+    classes = own.groupBy("l").agg(F.min("profile_id").alias("class_id"), F.count("*").alias("size")).persist()
+    blocks = max(1, -(-classes.count() // block))
+    placed = classes.withColumn("at", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = placed.select(F.col("at").alias("i"), F.col("to").alias("j"), F.lit(0).alias("side"), "class_id", "size", "l")
+    right = placed.select(F.col("to").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"), "class_id", "size", "l")
+    kind = dict(runs.dtypes)["profile_id"]
+    counts = left.unionByName(right).groupBy("i", "j").applyInPandas(_class_links(n), f"class_id {kind}, stable long, separate long, ambiguous long")
+    links = counts.groupBy("class_id").agg(*[F.sum(c).alias(c) for c in ("stable", "separate", "ambiguous")])
+    named = classes.join(links, "class_id").select("l", "class_id", "size", "stable", "separate", "ambiguous")
+    return own.join(named, "l").select("profile_id", "class_id", "size", "stable", "separate", "ambiguous")
+
+
+def _class_links(n: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of two blocks of classes: for each of the first, the profiles of the second by band."""
+        own, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if own.empty or other.empty:
+            return pd.DataFrame({"class_id": [], "stable": [], "separate": [], "ambiguous": []})
+        a, b = (np.array([[-1 if x is None or x != x else int(x) for x in l] for l in side["l"]], dtype=np.int64) for side in (own, other))
+        same = np.zeros((len(a), len(b)), dtype=np.int32)
+        for k in range(n):
+            same += (a[:, k, None] == b[None, :, k]) & (a[:, k, None] >= 0)
+        share = same / n
+        size = other["size"].to_numpy() - (own["class_id"].to_numpy()[:, None] == other["class_id"].to_numpy()[None])  # a profile is no partner of itself
+        bands = {"stable": share > STABLE, "separate": share < SEPARATE, "ambiguous": (share >= AMBIGUOUS[0]) & (share <= AMBIGUOUS[1])}
+        return pd.DataFrame({"class_id": own["class_id"].to_numpy()} | {name: (band * size).sum(axis=1) for name, band in bands.items()})
+
+    return run
+
+
+def pair_bands(classes: DataFrame) -> DataFrame:
+    """Counts of stable, separate and ambiguous pairs, from ``consensus_classes``."""
+    return classes.agg(*[F.coalesce(F.expr(f"sum({c}) DIV 2"), F.lit(0)).alias(c) for c in ("stable", "separate", "ambiguous")])
 
 
 def anova(matrix: DataFrame, assignments: DataFrame) -> DataFrame:

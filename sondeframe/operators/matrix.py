@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeframe.functions import physics as P
+from sondeframe.operators.quantiles import quantiles
 
 COLUMN = ("var", "g_idx")
 LEAST_RANGE = 1e-6
@@ -49,11 +50,14 @@ def column_names(matrix: DataFrame, grid: DataFrame) -> DataFrame:
     return matrix.select(*COLUMN).distinct().join(F.broadcast(grid), "g_idx").select("var", "g_idx", F.format_string("%s_z%s", "var", F.col("z").cast("long")).alias("name"))
 
 
-def _statistic(strategy: str) -> Column:
+def _fills(matrix: DataFrame, strategy: str) -> DataFrame:
+    """(var, g_idx, fill) of the columns that have a value."""
     if strategy == "mean":
-        return F.avg("val")
+        return matrix.groupBy(*COLUMN).agg(F.avg("val").alias("fill"))
     if strategy == "median":
-        return F.percentile("val", F.lit(0.5))
+        return quantiles(matrix, list(COLUMN), "val", [0.5]).select(*COLUMN, F.col("q")[0].alias("fill"))
+    if strategy == "most_frequent":
+        return _most_frequent(matrix)
     raise ValueError(f"unknown strategy: {strategy}")
 
 
@@ -71,8 +75,7 @@ def impute(matrix: DataFrame, strategy: str) -> DataFrame:
     if strategy == "drop":
         whole = matrix.groupBy("profile_id").agg(F.bool_and(F.col("val").isNotNull()).alias("ok")).filter("ok").select("profile_id")
         return matrix.join(whole, "profile_id", "left_semi")
-    fills = _most_frequent(matrix) if strategy == "most_frequent" else matrix.groupBy(*COLUMN).agg(_statistic(strategy).alias("fill"))
-    filled = matrix.join(fills.filter("fill is not null"), list(COLUMN))
+    filled = matrix.join(_fills(matrix, strategy).filter("fill is not null"), list(COLUMN))
     return filled.select("profile_id", *COLUMN, F.coalesce("val", "fill").alias("val"))
 
 

@@ -141,8 +141,7 @@ def co_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_bands(spark: SparkSession, d: str) -> DataFrame:
-    runs = _runs(spark, d)
-    return evaluate.pair_bands(evaluate.co_membership(runs), runs.select("profile_id").distinct().count())
+    return evaluate.pair_bands(evaluate.consensus_classes(_runs(spark, d)))
 
 
 def ranked_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -173,27 +172,28 @@ def _reduced(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
 
 
 def k_means(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.k_means(_reduced(spark, d), 6, 0, 3).assignments.select("profile_id", "cluster")
+    return cluster.k_means(_points(spark, d), 6).assignments.select("profile_id", "cluster")
 
 
 def k_scan(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.scan_k(_reduced(spark, d), 4, 0, 2)
+    return rounded(cluster.scan_k(_points(spark, d)), 4)
 
 
 def component_scan(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.scan_components(_points(spark, d), 4, 3, 0, 2)
+    return rounded(cluster.scan_components(_points(spark, d), 4), 4)
 
 
 def seed_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.seed_sweep(_reduced(spark, d), [3, 4], [0, 1])
+    return rounded(cluster.seed_sweep(_points(spark, d), list(range(2, 7)), list(range(20))), 4)
 
 
 def consensus(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.co_membership(cluster.runs(_reduced(spark, d), 6, [0, 1, 2]))
+    """200 runs: which profiles always share a cluster, and with how many others each such class does so mostly, hardly or now and then."""
+    return evaluate.consensus_classes(cluster.runs(_points(spark, d), 6, list(range(200))))
 
 
 def gaussian_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.mixture(_reduced(spark, d, 3), [3, 4], [0])[1]
+    return rounded(cluster.mixture(_reduced(spark, d, 2), [3, 4, 5], list(range(30)))[1], 2)
 
 
 def linkage_ward(spark: SparkSession, d: str) -> DataFrame:
@@ -281,6 +281,43 @@ def _components_sql(n: int, squarings: int = 14) -> str:
     return "WITH RECURSIVE " + ", ".join(parts)
 
 
+def _fits_sql(runs: str, points: str = "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings", widths: str = "(64)", most: int = 64) -> str:
+    """Tables runs (run, k, seed, start, width), pts, fits (run, centres), labels (run, id, x, cluster, far): the races of the draws and the rounds replayed."""
+    number = "((CAST(seed AS BIGINT) * 1000 + start) * 1000 + {})"
+    time = "-ln((((1 + ({0} * 1103515245 + 12345) % 2147483646) * h + ({0} * 22695477 + 1) % 2147483647) % 2147483647 + 1) / 2147483648e0)"
+    first, later = time.format(number.format("0")), time.format(number.format("draw + 1"))
+    return f"""raw AS ({points}), pts AS (SELECT w AS width, id, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 2147483647 AS h, x[1:w] AS x FROM raw, (VALUES {widths}) t(w)),
+        runs AS ({runs}),
+        draws AS (
+            SELECT 0 AS draw, run, [arg_min(x, ({first}, id))] AS centres FROM runs JOIN pts USING (width) GROUP BY run
+            UNION ALL
+            SELECT draw + 1, run, list_append(any_value(centres), arg_min(x, ({later} / (far * far), id)))
+            FROM (SELECT s.draw, r.*, s.centres, p.id, p.h, p.x, list_min(list_transform(s.centres, lambda c: list_distance(c, p.x))) AS far
+                  FROM draws s JOIN runs r USING (run) JOIN pts p USING (width) WHERE s.draw + 1 < r.k) WHERE far > 1e-12 GROUP BY draw, run),
+        lloyd AS (
+            SELECT 0 AS step, run, centres, true AS moving FROM draws JOIN runs USING (run) WHERE draw + 1 = k
+            UNION ALL
+            SELECT step + 1, run, new, list_max(list_transform(new, lambda c, i: list_distance(c, centres[i]))) > 1e-9
+            FROM (SELECT step, run, centres, list_transform(centres, lambda c, i: coalesce(means[i], c)) AS new
+                  FROM (SELECT step, run, any_value(centres) AS centres, map_from_entries(list({{'k': near, 'v': mean}})) AS means
+                        FROM (SELECT step, run, near, any_value(centres) AS centres, [{", ".join(f"avg(x[{i}])" for i in range(1, most + 1))}][1:any_value(width)] AS mean
+                              FROM (SELECT step, run, centres, width, x, list_position(d, list_min(d)) AS near
+                                    FROM (SELECT l.step, l.run, l.centres, p.width, p.x, list_transform(l.centres, lambda c: list_distance(c, p.x)) AS d
+                                          FROM lloyd l JOIN runs USING (run) JOIN pts p USING (width) WHERE l.moving AND l.step < 100))
+                              GROUP BY step, run, near)
+                        GROUP BY step, run))),
+        fits AS (SELECT run, arg_max(centres, step) AS centres FROM lloyd GROUP BY 1),
+        labels AS (SELECT run, k, seed, start, width, id, x, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster, list_min(d) * list_min(d) AS far
+                   FROM (SELECT r.*, p.id, p.x, list_transform(f.centres, lambda c: list_distance(c, p.x)) AS d FROM fits f JOIN runs r USING (run) JOIN pts p USING (width))),
+        costs AS (SELECT run, k, seed, start, width, sum(far) AS inertia FROM labels GROUP BY ALL)"""
+
+
+#: Mean silhouettes of the labelings in ``chosen`` (run).
+_SCORES = """far AS (SELECT a.width, a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM pts a JOIN pts b ON a.width = b.width AND a.id <> b.id),
+    sums AS (SELECT x.run, i, x.cluster AS ci, y.cluster AS cj, avg(d) AS d FROM labels x JOIN chosen USING (run) JOIN far ON far.width = x.width AND far.i = x.id JOIN labels y ON y.run = x.run AND y.id = far.j GROUP BY 1, 2, 3, 4),
+    own AS (SELECT run, i, max(d) FILTER (ci = cj) AS a, min(d) FILTER (ci <> cj) AS b FROM sums GROUP BY 1, 2),
+    scores AS (SELECT run, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0e0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0e0), 0e0) END) AS silhouette FROM own GROUP BY 1)"""
+
 #: Prim's order of the vectors: of single linkage, clusters are runs of it, cut at the greatest heights.
 _PRIM = """RECURSIVE pts AS (SELECT row_number() OVER (ORDER BY x) AS node, x, ids FROM (SELECT CAST(embedding AS DOUBLE[]) AS x, list(CAST(vec_id AS VARCHAR)) AS ids FROM embeddings GROUP BY 1)),
     prim AS (SELECT 0 AS step, node, CASE WHEN node = 1 THEN -1e0 ELSE 1e300 END AS dist FROM pts
@@ -304,6 +341,48 @@ SQL = {
     "pca_scores": _components_sql(5) + f""", mean AS (SELECT list(m ORDER BY g_idx) AS mean FROM (SELECT g_idx, avg(val) AS m FROM v GROUP BY 1)),
         centred AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) - mean[i]) AS x FROM embeddings, mean)
         SELECT profile_id, {", ".join(r(f'list_inner_product(x, v{k}.v)', f'pc{k}', 6) for k in range(1, 6))} FROM centred, v1, v2, v3, v4, v5""",
+    "k_means": "WITH RECURSIVE " + _fits_sql("SELECT CAST(s AS INTEGER) AS run, 6 AS k, 0 AS seed, s AS start, 64 AS width FROM range(20) t(s)") + """
+        SELECT id AS profile_id, cluster FROM labels WHERE run = (SELECT arg_min(run, (inertia, start)) FROM costs)""",
+    "k_scan": "WITH RECURSIVE " + _fits_sql("SELECT CAST(k * 100 + s AS INTEGER) AS run, CAST(k AS INTEGER) AS k, 0 AS seed, s AS start, 64 AS width FROM range(2, 11) a(k), range(20) t(s)") + f""",
+        chosen AS (SELECT k, arg_min(run, (inertia, start)) AS run, min(inertia) AS inertia FROM costs GROUP BY 1), {_SCORES}
+        SELECT k, {r('inertia', 'inertia', 4)}, {r('silhouette', 'silhouette', 4)} FROM chosen JOIN scores USING (run)""",
+    "seed_sweep": "WITH RECURSIVE " + _fits_sql("SELECT CAST(k * 100 + s AS INTEGER) AS run, CAST(k AS INTEGER) AS k, CAST(s AS INTEGER) AS seed, 0 AS start, 64 AS width FROM range(2, 7) a(k), range(20) t(s)") + f""",
+        chosen AS (SELECT run FROM runs), {_SCORES}
+        SELECT k, seed, {r('inertia', 'inertia', 4)}, {r('silhouette', 'silhouette', 4)} FROM costs JOIN scores USING (run)""",
+    "component_scan": _components_sql(8, 20) + f""", mean AS (SELECT list(m ORDER BY g_idx) AS mean FROM (SELECT g_idx, avg(val) AS m FROM v GROUP BY 1)),
+        centred AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) - mean[i]) AS x FROM embeddings, mean),
+        {_fits_sql("SELECT CAST(w * 100 + s AS INTEGER) AS run, 4 AS k, 0 AS seed, s AS start, w AS width FROM range(1, 9) a(w), range(5) t(s)",
+                   "SELECT id, [" + ", ".join(f"list_inner_product(x, v{k}.v)" for k in range(1, 9)) + "] AS x FROM centred, " + ", ".join(f"v{k}" for k in range(1, 9)), ", ".join(f"({w})" for w in range(1, 9)), 8)},
+        chosen AS (SELECT width, arg_min(run, (inertia, start)) AS run FROM costs GROUP BY 1), {_SCORES}
+        SELECT CAST(width AS INTEGER) AS n, {r('silhouette', 'silhouette', 4)} FROM chosen JOIN scores USING (run)""",
+    "consensus": "WITH RECURSIVE " + _fits_sql("SELECT CAST(s AS INTEGER) AS run, 6 AS k, s AS seed, 0 AS start, 64 AS width FROM range(200) t(s)") + """,
+        own AS (SELECT id, list(cluster ORDER BY run) AS l FROM labels GROUP BY 1),
+        classes AS (SELECT l, min(id) AS class_id, count(*) AS size, list(id) AS ids FROM own GROUP BY 1),
+        shares AS (SELECT a.class_id, b.size - CAST(a.class_id = b.class_id AS INTEGER) AS n, list_sum(list_transform(a.l, lambda x, i: CAST(x = b.l[i] AS INTEGER))) / 200e0 AS share FROM classes a, classes b),
+        links AS (SELECT class_id, CAST(coalesce(sum(n) FILTER (share > 0.8e0), 0) AS BIGINT) AS stable, CAST(coalesce(sum(n) FILTER (share < 0.2e0), 0) AS BIGINT) AS separate,
+                         CAST(coalesce(sum(n) FILTER (share BETWEEN 0.3e0 AND 0.7e0), 0) AS BIGINT) AS ambiguous FROM shares GROUP BY 1)
+        SELECT unnest(ids) AS profile_id, class_id, size, stable, separate, ambiguous FROM classes JOIN links USING (class_id)""",
+    "gaussian_mixture": _components_sql(2, 20) + f""", mean AS (SELECT list(m ORDER BY g_idx) AS mean FROM (SELECT g_idx, avg(val) AS m FROM v GROUP BY 1)),
+        centred AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) - mean[i]) AS x FROM embeddings, mean),
+        {_fits_sql("SELECT CAST(k * 100 + s AS INTEGER) AS run, CAST(k AS INTEGER) AS k, CAST(s AS INTEGER) AS seed, 0 AS start, 2 AS width FROM range(3, 6) a(k), range(30) t(s)",
+                   "SELECT id, [list_inner_product(x, v1.v), list_inner_product(x, v2.v)] AS x FROM centred, v1, v2", "(2)", 2)},
+        em AS (
+            SELECT 0 AS step, run, cluster AS c, CAST(count(*) AS DOUBLE) AS n, avg(x[1]) AS a, avg(x[2]) AS b, avg(x[1] * x[1]) - avg(x[1]) * avg(x[1]) + 1e-6 AS s, avg(x[2] * x[2]) - avg(x[2]) * avg(x[2]) + 1e-6 AS t,
+                   avg(x[1] * x[2]) - avg(x[1]) * avg(x[2]) AS u, -1e300 AS last, -1e300 AS before FROM labels GROUP BY run, cluster
+            UNION ALL
+            SELECT step + 1, run, c, sum(p) AS n, sum(p * x[1]) / sum(p), sum(p * x[2]) / sum(p), sum(p * x[1] * x[1]) / sum(p) - (sum(p * x[1]) / sum(p)) * (sum(p * x[1]) / sum(p)) + 1e-6,
+                   sum(p * x[2] * x[2]) / sum(p) - (sum(p * x[2]) / sum(p)) * (sum(p * x[2]) / sum(p)) + 1e-6, sum(p * x[1] * x[2]) / sum(p) - (sum(p * x[1]) / sum(p)) * (sum(p * x[2]) / sum(p)),
+                   any_value(total), any_value(last)
+            FROM (SELECT *, sum(own) OVER (PARTITION BY run) AS total
+                  FROM (SELECT step, run, c, x, last, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY run, id) AS p,
+                               CASE WHEN c = min(c) OVER (PARTITION BY run, id) THEN m + ln(sum(exp(l - m)) OVER (PARTITION BY run, id)) ELSE 0e0 END AS own
+                        FROM (SELECT *, max(l) OVER (PARTITION BY run, id) AS m
+                              FROM (SELECT e.step, e.run, e.c, e.last, p.id, p.x, ln(e.n / (SELECT count(*) FROM embeddings)) - 0.5e0 * ln(e.s * e.t - e.u * e.u) - ln(2 * pi())
+                                           - 0.5e0 * (e.t * (p.x[1] - e.a) * (p.x[1] - e.a) - 2 * e.u * (p.x[1] - e.a) * (p.x[2] - e.b) + e.s * (p.x[2] - e.b) * (p.x[2] - e.b)) / (e.s * e.t - e.u * e.u) AS l
+                                    FROM em e, pts p WHERE e.step < 101 AND (e.step < 2 OR (e.last - e.before) / (SELECT count(*) FROM embeddings) >= 1e-3)))))
+            GROUP BY step, run, c),
+        ends AS (SELECT run, arg_max(last, step) AS log_likelihood FROM em GROUP BY 1)
+        SELECT k, seed, {r('log_likelihood', 'log_likelihood', 2)}, {r('-2 * log_likelihood + (6 * k - 1) * ln((SELECT count(*) FROM embeddings))', 'bic', 2)} FROM ends JOIN runs USING (run)""",
     "linkage_single": f"WITH {_PRIM} SELECT CAST(row_number() OVER (ORDER BY height) - 1 AS INTEGER) AS step, {r('height', 'height', 5)} FROM reached WHERE step > 0",
     "hierarchical_single": f"WITH {_PRIM} SELECT profile_id, min(profile_id) OVER (PARTITION BY part) AS cluster FROM members WHERE k = 6",
     "tree_scan_single": f"""WITH {_PRIM}, x AS (SELECT CAST(vec_id AS VARCHAR) AS profile_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
