@@ -8,19 +8,14 @@ that a file of any length needs no Python loop.
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondeframe.schema import height_alias, number
+from sondeframe.sources import archives
+from sondeframe.sources.storage import checkpointed
 
 HEADER, SECOND = "numer_sta", "p_cis"
-MEMBER_SUFFIX = ".HR.csv"
 NUMBERS = ("altitude", "geop", "0", "p_niv", "t", "td", "dd", "ff", "dep_lat", "dep_lon")
 
 
@@ -38,56 +33,31 @@ def split_lines(files: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str | list[str], station: str | None = None, days: list[str] | None = None, hours: list[int] | None = None) -> DataFrame:
     """(file, content) of the members of zip archives.
 
-    Members end in MEMBER_SUFFIX, name the station, one of the days (yyyyMMdd),
-    and end their second dotted part with one of the hours.  Names are tested
-    before a member is unpacked.  A file that is no archive gives nothing, a
-    member that can't be unpacked or decoded is left out; ``archive_status``
-    tells which they are.
+    Members are named station.yyyyMMddHH.* and end in ``archives.SUFFIX``; those
+    of a station, of days (yyyyMMdd) and of hours are chosen in the archive's
+    directory, before any is unpacked.  A file that is no archive gives
+    nothing, a member that can't be unpacked or decoded is left out;
+    ``archive_status`` tells which they are.
     """
-    return _members(spark, path, station, days, hours).filter("status = 'read'").select("file", "content")
+    return archive_members(spark, path, station, days, hours).filter("status = 'read'").select("file", "content")
 
 
 def archive_status(spark: SparkSession, path: str | list[str], station: str | None = None, days: list[str] | None = None, hours: list[int] | None = None) -> DataFrame:
     """(archive, file, status) of each member that ``read_archives`` is asked for.
 
     status is read, damaged or undecodable; an archive that can't be opened has
-    one row without a file, of status no archive.
+    one row without a file, of status no archive, where all members are asked for.
     """
-    return _members(spark, path, station, days, hours).select("archive", "file", "status")
-
-
-def _members(spark: SparkSession, path: str | list[str], station: str | None, days: list[str] | None, hours: list[int] | None) -> DataFrame:
-    ends = tuple(f"{h:02d}" for h in hours or ())
-
-    def wanted(name: str) -> bool:
-        parts = name.split(".")
-        return (
-            name.endswith(MEMBER_SUFFIX) and (station is None or station in name) and (not days or any(d in name for d in days))
-            and (not ends or len(parts) > 1 and parts[1].endswith(ends))
-        )
-
-    def rows(content: bytes) -> Iterator[tuple[str | None, str | None, str]]:
-        try:
-            archive = zipfile.ZipFile(io.BytesIO(content))
-        except zipfile.BadZipFile:
-            yield None, None, "no archive"
-            return
-        for name in filter(wanted, archive.namelist()):
-            try:
-                yield name, archive.read(name).decode("utf-8"), "read"
-            except UnicodeDecodeError:
-                yield name, None, "undecodable"
-            except (zipfile.BadZipFile, zlib.error):
-                yield name, None, "damaged"
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                found = list(rows(content.as_py()))
-                columns = [pa.array([r[k] for r in found], pa.string()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * len(found), pa.string()), *columns], names=["archive", "file", "content", "status"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "archive string, file string, content string, status string")
+    return archive_members(spark, path, station, days, hours).select("archive", "file", "status")
+
+
+def archive_members(spark: SparkSession, path: str | list[str], station: str | None = None, days: list[str] | None = None, hours: list[int] | None = None) -> DataFrame:
+    """The table of ``archives.SCHEMA``, with filters that its source takes over."""
+    archives.register(spark)
+    rows = spark.read.format(archives.FORMAT).load("\n".join([path] if isinstance(path, str) else path))
+    rows = rows if station is None else rows.filter(F.col("station") == station)
+    rows = rows.filter(F.col("day").isin(list(days))) if days else rows
+    return rows.filter(F.col("hour").isin([int(h) for h in hours])) if hours else rows
 
 
 def select_files(files: DataFrame, station: str | None = None, years: list[int] | None = None, months: list[int] | None = None,
@@ -182,9 +152,9 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the number of each row in the order of a column, from 0.
 
     Rows are range-partitioned; only the partitions' sizes meet on the driver.
-    The partitions are kept, because their bounds come from a sample.
+    They are written, because their bounds come from a sample.
     """
-    ranged = df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = checkpointed(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id()))
     total, before = 0, []
     for part, n in sorted(tuple(r) for r in ranged.groupBy("_part").count().collect()):
         before.append((part, total))

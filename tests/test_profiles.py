@@ -7,6 +7,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql.datasource import EqualTo, In
 from pyspark.sql import functions as F
 
 from sondeframe.operators import aggregate as A
@@ -14,6 +15,7 @@ from sondeframe.operators import calendar as C
 from sondeframe.operators import features, qc, stitch
 from sondeframe.plans import analysis, figures
 from sondeframe.schema import height_alias, without_nan
+from sondeframe.sources import archives as Z
 from sondeframe.sources import soundings as S
 from sondeframe.streaming import recent
 from tests.test_numerics import COLUMNS, random_levels
@@ -82,6 +84,35 @@ def test_archives(spark, tmp_path):
     assert {r["status"]: r["count"] for r in found} == {"read": 7, "damaged": 1, "no archive": 1}
 
 
+def test_filters_open_only_their_members(spark, tmp_path, monkeypatch):
+    for month in (6, 7):
+        with zipfile.ZipFile(tmp_path / f"rs.2023{month:02d}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for day in range(1, 29):
+                for hour in (0, 12):
+                    z.writestr(f"89642.2023{month:02d}{day:02d}{hour:02d}.HR.csv", f"record of {month} {day} {hour}\n" * 2000)
+    reader = Z.ArchiveReader({"path": f"{tmp_path}/*.zip"})
+    kept = list(reader.pushFilters([EqualTo(("day",), "20230615"), In(("hour",), (12, 13)), EqualTo(("status",), "read")]))
+    assert kept == [EqualTo(("status",), "read")]
+    assert [(p.path, [m.name for m in p.members]) for p in reader.partitions()] == [(f"{tmp_path}/rs.202306.zip", ["89642.2023061512.HR.csv"])]
+    opened = []
+    read = zipfile.ZipFile.read
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda self, name, *a: opened.append(name) or read(self, name, *a))
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert opened == ["89642.2023061512.HR.csv"] and [r[1:5] for r in rows] == [("89642.2023061512.HR.csv", "89642", "20230615", 12)]
+    found = S.read_archives(spark, [f"file://{tmp_path}/rs.202306.zip", f"{tmp_path}/rs.202307.zip"], days=["20230615", "20230701"])
+    assert sorted(r["file"] for r in found.collect()) == ["89642.2023061500.HR.csv", "89642.2023061512.HR.csv", "89642.2023070100.HR.csv", "89642.2023070112.HR.csv"]
+    assert S.archive_members(spark, str(tmp_path)).filter("hour = 12 AND day > '20230620'").count() == 8 + 28
+
+
+def test_partitions_hold_bounded_members(tmp_path, monkeypatch):
+    monkeypatch.setattr(Z, "PARTITION_BYTES", 1000)
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for k in range(50):
+            z.writestr(f"1.20230601{k % 24:02d}.{k}.HR.csv", "x" * (90 if k else 5000))
+    parts = Z.ArchiveReader({"path": str(tmp_path)}).partitions()
+    assert [len(p.members) for p in parts] == [1, 11, 11, 11, 11, 5]
+
+
 def test_selection(spark):
     files = spark.createDataFrame([(f"x/89642.2023{m:02d}01{h:02d}.HR.csv",) for m in (1, 2) for h in (0, 6, 12)], "file string")
     assert S.select_files(files, years=[2023], months=[1]).count() == 2
