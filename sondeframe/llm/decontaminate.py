@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-Seeds are the word 3-grams of the test items that the corpus' word counts make
-unlikely to occur by chance.  They join documents to items: inside the scan
+Seeds are word 3-grams of the test items: those that the corpus' word counts
+make rare, and the rarest of every few in a row.  They join documents to items: inside the scan
 where the items are few enough to be broadcast, else by a shuffle on the seeds'
 hashes, in three passes over the documents however many items there are.  The
 stretch of text around a seed is aligned with the item, and the score, as a
@@ -14,15 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeframe.llm.common import fresh, in_bitmap, key_bitmap, materialise, text_or_empty
 from sondeframe.llm.wordscan import PUNCTUATION, Words, scan
 
 SEED_WORDS = 3
-EXPECTED = 1.0
-LEAST_SEEDS = 8
+#: Chance hits of all seeds together that one word of text may cost; a seed's share of it does not follow the corpus' size.
+HITS_A_WORD = 2e-3
+#: Of so many n-grams in a row one is a seed, however common.
+STRETCH = 4
+#: Items of one row that are aligned with a document.
+ITEMS_A_ROW = 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Text of test items up to which they are broadcast.
@@ -85,14 +89,25 @@ def _count(vocabulary):
     return run
 
 
-def seed_places(item: np.ndarray, logs: np.ndarray, log_total: float) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, places, hashes) of the item's seeds; logs are of its words' shares in the corpus."""
+def seed_rate(item_words: int) -> float:
+    """The share of a corpus' n-grams that a seed may be, where the items have so many words in all."""
+    return HITS_A_WORD / max(1, item_words)
+
+
+def seed_places(item: np.ndarray, logs: np.ndarray, log_rate: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, places, hashes) of the item's seeds; logs are of its words' shares in the corpus.
+
+    Seeds are the n-grams that words drawn at those shares would make up less
+    often than the rate, and in each stretch of places the least likely one, so
+    that seeds lie all over the item and are the same in a corpus of any size.
+    """
     n = min(SEED_WORDS, len(item))
     if not n:
         return 0, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    expected = log_total + sum(logs[j : len(item) - n + 1 + j] for j in range(n))
-    rare = sorted(set(np.flatnonzero(expected <= np.log(EXPECTED))) | set(np.argsort(expected, kind="stable")[:LEAST_SEEDS]))
-    places = np.array(rare, dtype=np.int64)
+    expected = sum(logs[j : len(item) - n + 1 + j] for j in range(n))
+    rare = set(np.flatnonzero(expected <= log_rate))
+    rare |= {k + int(expected[k : k + STRETCH].argmin()) for k in range(0, len(expected), STRETCH)}
+    places = np.array(sorted(rare), dtype=np.int64)
     return n, places, _grams(item, n)[places]
 
 
@@ -184,9 +199,9 @@ def _by_broadcast(source: DataFrame, items: DataFrame) -> DataFrame:
     counted = source.select("text").mapInArrow(_count(context.broadcast(known)), "word int, n long")
     for word, n in counted.groupBy("word").agg(F.sum("n")).collect():  # a row for each word of the items
         counts[word] = n
-    log_total = float(np.log(max(1.0, counts[-1])))
-    logs = np.log(np.maximum(counts[:-1], 1.0)) - log_total
-    seeds = [seed_places(item, logs[np.searchsorted(known, item)], log_total) for item in hashes]
+    logs = np.log(np.maximum(counts[:-1], 1.0)) - np.log(max(1.0, counts[-1]))
+    log_rate = float(np.log(seed_rate(sum(map(len, hashes)))))
+    seeds = [seed_places(item, logs[np.searchsorted(known, item)], log_rate) for item in hashes]
     return source.mapInArrow(_search(context.broadcast(_Seeds([r["item_id"] for r in part], hashes, seeds))), _FOUND)
 
 
@@ -204,15 +219,15 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array(lists, pa.list_(pa.int64()))], names=["item", "item_id", "words"])
 
 
-def _item_seeds(total: int):
-    log_total = float(np.log(max(1.0, total)))
+def _item_seeds(total: int, item_words: int):
+    log_total, log_rate = float(np.log(max(1.0, total))), float(np.log(seed_rate(item_words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
                 logs = np.log(np.maximum(np.array(counts.as_py(), dtype=float), 1.0)) - log_total
-                n, places, hashes = seed_places(np.array(words.as_py(), dtype=np.int64).view(np.uint64), logs, log_total)
+                n, places, hashes = seed_places(np.array(words.as_py(), dtype=np.int64).view(np.uint64), logs, log_rate)
                 rows.append((n, places.tolist(), hashes.view(np.int64).tolist()))
             arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), batch.column("words"), *arrays], names=["item", "item_id", "words", "n", "places", "hashes"])
@@ -260,12 +275,17 @@ def _by_join(source: DataFrame, items: DataFrame) -> DataFrame:
         each.join(counts, "word", "left").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("count", F.lit(0)).alias("count")))).alias("x"))
         .select("item", F.col("x.count").alias("counts"))
     )
-    seeded = materialise(listed.join(of_items, "item").mapInArrow(_item_seeds(total["count"] if total else 0), "item long, item_id long, words array<long>, n int, places array<long>, hashes array<long>"))
+    item_words = listed.agg(F.sum(F.size("words"))).first()[0] or 0
+    seeded = materialise(listed.join(of_items, "item").mapInArrow(_item_seeds(total["count"] if total else 0, item_words), "item long, item_id long, words array<long>, n int, places array<long>, hashes array<long>"))
     seeds = seeded.select("item", "n", F.explode("hashes").alias("gram"))
     keyed = source.withColumn("key", F.xxhash64("text"))
     grams = in_bitmap(keyed.mapInArrow(_grams_of, "doc_id long, key long, n int, gram long"), key_bitmap(seeds, "n", "gram"), "n", "gram")
     pairs = materialise(grams.join(seeds, ["n", "gram"]).select("doc_id", "key", "item").distinct())
-    wanted = pairs.join(seeded, "item").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item_id", "words", "n", "places", "hashes")).alias("items"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("item"))
+    wanted = (
+        pairs.withColumn("row", F.floor((nth - 1) / ITEMS_A_ROW)).join(seeded, "item")
+        .groupBy("doc_id", "key", "row").agg(F.collect_list(F.struct("item_id", "words", "n", "places", "hashes")).alias("items"))
+    )
     texts = in_bitmap(keyed, key_bitmap(pairs, "key"), "key")
     rows = texts.join(wanted.withColumnsRenamed({"doc_id": "w_id", "key": "w_key"}), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")))
     return rows.select("doc_id", "text", "items").mapInArrow(_align_rows, _FOUND)
@@ -276,9 +296,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and test item that it holds an edited copy of.
 
     Words are runs of letters, digits and non-ASCII bytes, in lower case.  An
-    item's seeds are its 3-grams expected at most once in the corpus if words
-    were independent, and its rarest in any case; an item of fewer words is one
-    seed, one without words has none.  The score is the alignment's as a share
+    item's seeds are its 3-grams that are rare if words were independent, so that
+    all seeds together hit HITS_A_WORD times a word by chance, and the rarest of each
+    STRETCH in a row; an item of fewer words is one seed, one without words has
+    none.  Shares of words count, and not their numbers: seeds don't follow the
+    corpus' size.  The score is the alignment's as a share
     of a perfect copy's; rows have at least LEAST_SCORE.  Null texts count as
     empty; a document repeated with its id gives one row, the best, and of
     placements of one score the first.  A null document or item id is an id

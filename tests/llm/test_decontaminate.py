@@ -106,3 +106,39 @@ def test_clean_documents_stay(spark, docs_of, rng):
     assert ids == ({*range(40), 300, 301, 303})
     assert D.contaminated(df, bench.limit(0)).count() == 0
     assert D.drop_contaminated(df.limit(0), bench).count() == 0
+
+
+def test_seeds_survive_edits_at_any_size_of_corpus():
+    """Of copies with three tenths of their words replaced, nearly all that the aligner accepts keep a seed, whatever the counts."""
+    rng = random.Random(4)
+    words = [k + 1 for k in range(3000)]
+    weights = [1 / k for k in words]
+    items = [np.array(rng.choices(words, weights, k=rng.randrange(15, 60)), dtype=np.uint64) for _ in range(150)]
+    rate = float(np.log(D.seed_rate(sum(map(len, items)))))
+    chosen = []
+    for scale in (1, 3_000, 200_000):
+        counts = {w: max(1, int(4e6 / 9 / w)) * scale for w in words}
+        total = float(np.log(4e6 * scale))
+        chosen.append([D.seed_places(h, np.log([float(counts[int(w)]) for w in h]) - total, rate) for h in items])
+    assert all([s[1].tolist() for s in one] == [s[1].tolist() for s in chosen[0]] for one in chosen)
+    for edit in ("random", "spread", "rarest"):
+        kept = accepted = 0
+        for h, (n, _, hashes) in zip(items, chosen[0], strict=True):
+            many = int(0.3 * len(h))
+            where = rng.sample(range(len(h)), many) if edit == "random" else [int((k + 0.5) * len(h) / many) for k in range(many)] if edit == "spread" else np.argsort(h)[::-1][:many]
+            copy = h.copy()
+            copy[where] = [rng.getrandbits(62) for _ in range(many)]
+            if D.align(h, copy)[0] >= D.LEAST_SCORE * D.MATCH * len(h):
+                accepted += 1
+                kept += bool(set(hashes.tolist()) & set(D._grams(copy, n).tolist()))
+        assert accepted > 50 and kept >= 0.9 * accepted, edit
+
+
+def test_items_of_a_document_come_in_rows_of_bounded_length(spark, docs_of, rng, monkeypatch):
+    bench, df, planted = items_and_docs(spark, docs_of, rng)
+    texts = [r["text"] for r in bench.filter("item_id < 8").collect()]
+    df = df.unionByName(docs_of([(700, " and ".join(texts))]))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    whole = sorted(map(str, D.contaminated(df, bench).collect()))
+    monkeypatch.setattr(D, "ITEMS_A_ROW", 3)
+    assert sorted(map(str, D.contaminated(df, bench).collect())) == whole and len(whole) == len(planted) + 8
