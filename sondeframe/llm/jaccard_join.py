@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 BLOCK = 256
+#: Bytes of text of a block, on average over the blocks of a component.
+BLOCK_BYTES = 8 << 20
 SKETCH_BLOCK = 256
 #: Standard deviations of a signature's estimate by which a candidate may fall short of the threshold: a chance of 3e-8.
 SHORT = 5.4
@@ -84,11 +87,11 @@ def gram_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[fresh_], grams[fresh_]
 
 
-def _sign(n: int, bands: int, rows: int):
+def _sign(n: int, bands: int, rows: int, sized: bool = False):
     rng = np.random.default_rng(7)
     mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), *([("size", pa.int64())] if sized else [])])
 
     def bands_of(owner: np.ndarray, grams: np.ndarray, docs: int) -> tuple[list[np.ndarray | None], list[bytes]]:
         cuts = np.searchsorted(owner, np.arange(docs + 1))
@@ -122,7 +125,8 @@ def _sign(n: int, bands: int, rows: int):
                 bands_, sketches = bands_of(*gram_sets(words, n), docs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, docs), batch.column("key").slice(first, docs),
-                     pa.array(bands_, type=schema.field("bands").type), pa.array(sketches, pa.binary())],
+                     pa.array(bands_, type=schema.field("bands").type), pa.array(sketches, pa.binary()),
+                     *([pc.binary_length(batch.column("text").slice(first, docs)).cast(pa.int64())] if sized else [])],
                     schema=schema,
                 )
 
@@ -311,21 +315,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = source.withColumn("key", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
-    signed = keyed.mapInArrow(_sign(n, bands, rows), "doc_id long, key binary, bands array<long>, sketch binary")
+    signed = keyed.mapInArrow(_sign(n, bands, rows, sized=True), "doc_id long, key binary, bands array<long>, sketch binary, size long")
     members = materialise(
-        signed.groupBy("doc_id").agg(F.min(F.struct("key", "bands", "sketch")).alias("x")).select("doc_id", "x.key", "x.bands", "x.sketch")
+        signed.groupBy("doc_id").agg(F.min(F.struct("key", "bands", "sketch", "size")).alias("x")).select("doc_id", "x.key", "x.bands", "x.sketch", "x.size")
     )
     classes = materialise(
         members.filter("doc_id is not null and bands is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     )
     candidates = candidate_groups(classes, bands, rows, threshold)
 
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # a block is bounded in texts and in bytes
+    known = candidates.join(classes.select(F.col("doc_id").alias("node"), "key", "copies", "size"), "node")
+    sizes = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = (
-        candidates.join(sizes, "component")
+        known.join(sizes, "component")
         .withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(classes.select(F.col("doc_id").alias("node"), "key", "copies"), "node")
         .select(F.col("node").alias("doc_id"), "component", "blocks", "at", "copies", "key")
     )
     texts = in_bitmap(keyed, key_bitmap(placed, "doc_id"), "doc_id").join(placed, ["doc_id", "key"])

@@ -121,3 +121,13 @@ def test_least_agreement_costs_no_recall():
 
     n = bands * rows
     assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-6 and least > 0.55 * n
+
+
+def test_blocks_are_bounded_in_bytes(spark, docs_of, rng, monkeypatch):
+    """Long near copies meet in more blocks, and give the same classes and links."""
+    base = prose(rng, 4000)
+    rows = [(k, base + f" end{k} of copy{k}") for k in range(24)] + [(100, prose(rng, 50)), (101, base)]
+    one = sorted(map(tuple, J.jaccard_classes(docs_of(rows)).collect()))
+    monkeypatch.setattr(J, "BLOCK_BYTES", 50_000)
+    assert sorted(map(tuple, J.jaccard_classes(docs_of(rows)).collect())) == one
+    assert {r[1] for r in one if r[0] != 100} == {0}
