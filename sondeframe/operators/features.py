@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeframe.functions import physics as P
+from sondeframe.functions.parcel import Parcel
 from sondeframe.functions.levels import first_argmax, gradient, gradient_ratio, interpolated, local_maximum, slope, smooth3, smooth5, trapezoid_term
 
 UNITS = {"T": "K", "lapse": "K/m", "ws": "m/s", "RH": "%", "IWV": "kg/m2", "z": "m"}
@@ -225,30 +226,11 @@ def parcel_profile(levels: DataFrame) -> DataFrame:
     schema = "profile_id string, level_idx long, parcel_t double"
 
     def lift(own):
-        import numpy as np
-
         own = own.dropna(subset=["p_niv", "t"]).sort_values(["p_niv", "level_idx"], ascending=[False, True])
         if own.empty or math.isnan(own["td"].iloc[0]):
-            return own.assign(parcel_t=np.nan)[["profile_id", "level_idx", "parcel_t"]]
-        p = own["p_niv"].to_numpy()
-        t0, td0, p0 = own["t"].iloc[0], own["td"].iloc[0], p[0]
-        lcl_t = 1 / (1 / (td0 - 56) + math.log(t0 / td0) / 800) + 56 if td0 < t0 else t0
-        lcl_p = p0 * (lcl_t / t0) ** (1 / P.KAPPA)
-        out = t0 * (p / p0) ** P.KAPPA
-        t, at = lcl_t, lcl_p
-        for k in np.flatnonzero(p < lcl_p):
-            steps = max(1, int(math.ceil((at - p[k]) / 500.0)))
-            dp = (p[k] - at) / steps
-            for _ in range(steps):
-                def rate(temp, pressure):
-                    e = 611.2 * math.exp(17.67 * (temp - 273.15) / (temp - 29.65))
-                    r = 0.622 * e / (pressure - e)
-                    return (287.05 * temp + 2.501e6 * r) / (1004.0 + 2.501e6**2 * r * 0.622 / (287.05 * temp**2)) / pressure
-                half = t + rate(t, at) * dp / 2
-                t += rate(half, at + dp / 2) * dp
-                at += dp
-            out[k] = t
-        return own.assign(parcel_t=out)[["profile_id", "level_idx", "parcel_t"]]
+            return own.assign(parcel_t=math.nan)[["profile_id", "level_idx", "parcel_t"]]
+        parcel = Parcel(own["t"].iloc[0], own["td"].iloc[0], own["p_niv"].iloc[0], P.KAPPA)
+        return own.assign(parcel_t=[parcel.at(p) for p in own["p_niv"]])[["profile_id", "level_idx", "parcel_t"]]
 
     return levels.select(F.col("profile_id").cast("string").alias("profile_id"), F.col("level_idx").cast("long").alias("level_idx"), "p_niv", "t", "td").groupBy("profile_id").applyInPandas(lift, schema)
 

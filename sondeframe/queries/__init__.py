@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sondeframe.queries import calendars, details, learning, levels, statistics
+from sondeframe.queries import calendars, details, joins, learning, levels, statistics
 
-QUERIES = {**levels.QUERIES, **statistics.QUERIES, **calendars.QUERIES, **learning.QUERIES, **details.QUERIES}
-ORACLE_SQL = {**levels.SQL, **statistics.SQL, **calendars.SQL, **learning.SQL, **details.SQL}
+QUERIES = {**levels.QUERIES, **statistics.QUERIES, **calendars.QUERIES, **learning.QUERIES, **details.QUERIES, **joins.QUERIES}
+ORACLE_SQL = {**levels.SQL, **statistics.SQL, **calendars.SQL, **learning.SQL, **details.SQL, **joins.SQL}

@@ -230,7 +230,7 @@ def tree_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def two_stage(spark: SparkSession, d: str) -> DataFrame:
     rows = matrix.standardise(matrix.impute(matrix.build_matrix(on_grid(spark, d)), "mean"))
-    return cluster.two_stage(rows, 2, max_k=3, n_init=2).assignments
+    return cluster.two_stage(rows, 2).assignments
 
 
 QUERIES = {f.__name__: f for f in (
