@@ -270,11 +270,12 @@ def two_stage(matrix: DataFrame, k_wind: int, wind: list[str] | None = None, the
             raise ValueError(f"no {what} variable")
         if set(names) - present:
             raise ValueError(f"unknown variables: {sorted(set(names) - present)}")
-    points = vectors(blocks(matrix, wind), wind)
+    points = vectors(blocks(matrix, wind), wind).persist()
     n = points.count()
     first = k_means(reduce(points, max(1, min(n_wind, n - 1))).scores, k_wind, seed, n_init).assignments.select("profile_id", F.col("cluster").alias("cluster_wind")).persist()
     heat = vectors(blocks(matrix, thermal), thermal).join(first, "profile_id").withColumnRenamed("cluster_wind", "group").persist()
     sizes = {r["group"]: r["count"] for r in heat.groupBy("group").count().collect()}
+    points.unpersist()
     if k_therm is None:
         wanted = {w: range(2, min(max_k + 1, m)) for w, m in sizes.items() if m > 1}
     else:

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeframe.operators import aggregate, cluster, evaluate, matrix, qc
+from sondeframe.operators import aggregate, cells, cluster, evaluate, matrix, qc
 from sondeframe.queries.common import E, G, events, on_grid, r, rounded, table
 from sondeframe.sources import adapters
 
@@ -107,6 +107,11 @@ def silhouettes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.silhouette(_array_points(spark, d)), 5)
 
 
+def silhouettes_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same by cells, at tolerance 0."""
+    return rounded(cells.silhouette_cells(_array_points(spark, d)).rows, 5)
+
+
 def cluster_inertia(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.inertia(_array_points(spark, d)), 3)
 
@@ -235,7 +240,7 @@ def two_stage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     build_matrix, impute_mean, impute_median, impute_most_frequent, impute_drop, standardise, scale_profile, scale_global, scale_block_std, scale_block_z, scale_block_max,
-    cluster_summary, effect_size, anova_f, anova_p, correlations, silhouettes, cluster_inertia, confusion, adjusted_rand, best_match, co_membership, pair_bands, ranked_scores,
+    cluster_summary, effect_size, anova_f, anova_p, correlations, silhouettes, silhouettes_cells, cluster_inertia, confusion, adjusted_rand, best_match, co_membership, pair_bands, ranked_scores,
     most_common, pca_scores, pca_variance, pca_loadings, k_means, k_scan, component_scan, seed_sweep, consensus, gaussian_mixture, linkage_ward, linkage_single, hierarchical, hierarchical_single,
     tree_scan, tree_scan_single, two_stage,
 )}
@@ -438,3 +443,4 @@ SQL = {
         SELECT var, {r('any_value(f)', 'f', 4)}, {r('sum(CASE WHEN t > 0 AND t < 1 THEN c * exp(front + (w - 1) * ln(t) + (k - 1) * ln(1 - t)) ELSE 0 END) * any_value(x) / 12000e0', 'p', 5)} FROM x JOIN y USING (var) GROUP BY 1""",
     "most_common": "SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_quantity LIMIT 10",
 }
+SQL["silhouettes_cells"] = SQL["silhouettes"]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondeframe.operators import cluster, evaluate, kmeans, mixtures
+from sondeframe.operators import cells, cluster, evaluate, kmeans, mixtures
 from sondeframe.operators import quantiles as Q
 from sondeframe.operators.kmeans import Run
 
@@ -157,3 +157,22 @@ def test_quantiles_of_a_whole_column_and_of_none(spark):
     assert (got["n"], got["low"], got["mid"]) == (101, 5.0, 50.0) and got["high"] == pytest.approx(quantile([k * k for k in range(0, 101, 2)], 0.9))
     empty = Q.with_quantiles(df.limit(0).agg(F.count("*").alias("n")), df.limit(0), [], {"a": {"mid": 0.5}}).first()
     assert (empty["n"], empty["mid"]) == (0, None)
+
+
+def test_silhouettes_by_cells(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"p{i}", (rng.normal(0, 0.05, 3) + np.array([(i % 3) * 20, (i // 3 % 4) * 3, 0])).tolist(), i % 3) for i in range(400)] + [("alone", [100.0, 0.0, 0.0], 7)]
+    df = spark.createDataFrame(rows, "profile_id string, features array<double>, cluster int").repartition(3)
+    want = {r["profile_id"]: r["silhouette"] for r in evaluate.silhouette(df).collect()}
+    opened = []
+    for tolerance in (0.0, 0.002, 0.05):
+        found = cells.silhouette_cells(df, tolerance, pivots=16)
+        got = {r["profile_id"]: r["silhouette"] for r in found.rows.collect()}
+        assert set(got) == set(want) and max(abs(got[p] - want[p]) for p in want) <= max(1e-9, 2.5 * tolerance)
+        opened.append(found.opened)
+    assert opened[0] > opened[1] > opened[2] and found.pairs >= opened[0]
+    one = cells.silhouette_cells(df.filter("cluster = 1"))
+    assert {r["silhouette"] for r in one.rows.collect()} == {0.0}
+    same = spark.createDataFrame([(f"p{i}", [1.0], i % 2) for i in range(6)], "profile_id string, features array<double>, cluster int")
+    assert {r["silhouette"] for r in cells.silhouette_cells(same).rows.collect()} == {0.0}
+    assert cells.silhouette_cells(df.limit(0)).rows.count() == 0
