@@ -117,7 +117,7 @@ def fit(points: DataFrame, runs: list[Run], max_rounds: int = MAX_ROUNDS) -> tup
         found: dict[int, Mixture] = {}
         step = max(1, SUM_BYTES // (8 * (d + d * d) * max(r.k for r in runs)))
         for k in range(0, len(runs), step):
-            found |= _fit(rows, {j: (runs[j], starts[j].centres - shift) for j in range(k, min(k + step, len(runs)))}, n, shift, max_rounds)
+            found |= _fit(kmeans.together(rows, n, d), {j: (runs[j], starts[j].centres - shift) for j in range(k, min(k + step, len(runs)))}, n, shift, max_rounds)
         return [found[j] for j in range(len(runs))], n
     finally:
         rows.unpersist()
