@@ -7,7 +7,6 @@ by the number of columns, clusters or leaves, never by the number of profiles.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +19,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondeframe.operators import kmeans, mixtures
+from sondeframe.operators import kmeans, mixtures, trees
 from sondeframe.operators.evaluate import mean_silhouettes, silhouette
 from sondeframe.operators.kmeans import Fitted, Run
 from sondeframe.operators.matrix import blocks, vectors
+from sondeframe.sources.storage import checkpointed
 
-MAX_LEAVES = 2000
+MAX_LEAVES = 10_000
+MAX_CENTRES = 2000
 
 
 @dataclass(frozen=True)
@@ -141,8 +142,7 @@ class Tree:
     """Merges (left, right, height, size) of weighted leaves; ids of merges go on from the leaves'."""
 
     merges: list[tuple[int, int, float, int]]
-    leaves: np.ndarray
-    weights: np.ndarray
+    leaves: range
     members: DataFrame  # (profile_id, features, leaf)
 
     def cut(self, k: int) -> list[int]:
@@ -168,69 +168,36 @@ class Tree:
         return (below + above) / 2
 
 
-def linkage_tree(points: DataFrame, method: str = "ward", max_leaves: int = MAX_LEAVES, seed: int = 0) -> Tree:
+def linkage_tree(points: DataFrame, method: str = "ward", max_leaves: int = MAX_LEAVES, seed: int = 0, tail: int = trees.TAIL) -> Tree:
     """Agglomeration by ward, complete, average or single linkage.
 
     Up to ``max_leaves`` different vectors are leaves themselves and the tree is
-    exact.  Beyond, the leaves are that many k-means centres with their sizes as
-    weights: for ward and average those are the merges of their centres of mass.
+    exact; its distances are a matrix over all tasks, of which one task takes
+    the last ``tail`` clusters.  Beyond, the leaves are k-means centres
+    (``MAX_CENTRES`` at most) with their sizes as weights: for ward and average
+    those are the merges of their centres of mass.
     """
-    if method not in ("ward", "complete", "average", "single"):
-        raise ValueError(f"unknown method: {method}")
-    keyed = points.withColumn("_x", vector_to_array("features"))
-    distinct = keyed.groupBy("_x").agg(F.count("*").alias("n"))
-    rows = distinct.orderBy("_x").limit(max_leaves + 1).collect()
-    if len(rows) <= max_leaves:
-        leaves, weights = np.array([r["_x"] for r in rows], dtype=float), np.array([r["n"] for r in rows])
-        named = points.sparkSession.createDataFrame([(list(map(float, r["_x"])), k) for k, r in enumerate(rows)], "_x array<double>, leaf int")
-        members = keyed.join(F.broadcast(named), "_x").select("profile_id", "features", "leaf")  # max_leaves rows
+    spark = points.sparkSession
+    keyed = points.withColumn("x", vector_to_array("features"))
+    distinct = keyed.groupBy("x").agg(F.count("*").alias("n"))
+    if distinct.limit(max_leaves + 1).count() <= max_leaves:
+        place = (F.row_number().over(Window.orderBy("x")) - 1).alias("leaf")  # max_leaves rows
+        leaves = checkpointed(distinct.select(place, "x", "n"))
+        members = keyed.join(F.broadcast(leaves.select("x", "leaf")), "x").select("profile_id", "features", "leaf")  # max_leaves rows
     else:
-        model = KMeans(k=max_leaves, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
+        model = KMeans(k=min(max_leaves, MAX_CENTRES), seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
         assigned = model.transform(points)
         sizes = {r["cluster"]: r["count"] for r in assigned.groupBy("cluster").count().collect()}
-        used = sorted(sizes)
-        leaves, weights = np.array(model.clusterCenters())[used], np.array([sizes[c] for c in used])
-        place = F.create_map(*[F.lit(x) for k, c in enumerate(used) for x in (c, k)])
-        members = assigned.select("profile_id", "features", place[F.col("cluster")].alias("leaf"))
-    return Tree(_agglomerate(leaves, weights, method), leaves, weights, members)
-
-
-def _agglomerate(leaves: np.ndarray, weights: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
-    """Merges in order of height, by the Lance-Williams update of a bounded distance matrix."""
-    n = len(leaves)
-    square = np.maximum(((leaves**2).sum(1)[:, None] + (leaves**2).sum(1) - 2 * leaves @ leaves.T), 0)
-    size = weights.astype(float).copy()
-    d = 2 * square * size[:, None] * size / (size[:, None] + size) if method == "ward" else np.sqrt(square)
-    np.fill_diagonal(d, np.inf)
-    ids, alive, merges = list(range(n)), np.ones(n, dtype=bool), []
-    for step in range(n - 1):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        height = math.sqrt(d[i, j]) if method == "ward" else float(d[i, j])
-        a, b = size[i], size[j]
-        if method == "ward":
-            new = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)
-        elif method == "average":
-            new = (a * d[i] + b * d[j]) / (a + b)
-        else:
-            new = np.maximum(d[i], d[j]) if method == "complete" else np.minimum(d[i], d[j])
-        alive[j] = False
-        new[~alive] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] = a + b
-        left, right = sorted((ids[i], ids[j]))
-        merges.append((left, right, height, int(size[i])))
-        ids[i] = n + step
-    return merges
+        rows = [(k, c, model.clusterCenters()[c].tolist(), sizes[c]) for k, c in enumerate(sorted(sizes))]
+        leaves = spark.createDataFrame(rows, "leaf int, cluster int, x array<double>, n long")
+        members = assigned.join(F.broadcast(leaves.select("cluster", "leaf")), "cluster").select("profile_id", "features", "leaf")  # MAX_CENTRES rows
+    return Tree(trees.agglomerate(leaves, method, tail), range(leaves.count()), members)
 
 
 def hierarchical(tree: Tree, k: int) -> DataFrame:
     """(profile_id, features, cluster) of the tree cut into k."""
-    own = tree.cut(k)
-    lookup = F.array(*[F.lit(c) for c in own])
-    return tree.members.select("profile_id", "features", F.get(lookup, F.col("leaf")).alias("cluster"))
+    own = tree.members.sparkSession.createDataFrame(list(enumerate(tree.cut(k))), "leaf int, cluster int")
+    return tree.members.join(F.broadcast(own), "leaf").select("profile_id", "features", "cluster")  # a row a leaf
 
 
 def merge_table(spark: SparkSession, tree: Tree) -> DataFrame:
