@@ -9,7 +9,7 @@ from sondeframe.functions import levels as L
 from sondeframe.functions import physics as P
 from sondeframe.operators import aggregate, features, qc, resample, stitch
 from sondeframe.queries import feature_sql
-from sondeframe.queries.common import E, G, events, on_grid, r, rounded, table
+from sondeframe.queries.common import E, G, events, on_grid, r, round_to, rounded, table
 from sondeframe.sources import adapters, soundings
 
 
@@ -129,7 +129,7 @@ def dry_adiabat(spark: SparkSession, d: str) -> DataFrame:
 
 def layer_features(spark: SparkSession, d: str) -> DataFrame:
     table = features.layer_features(events(spark, d))  # means of few decimals: more digits, past their ties
-    return table.select(*[F.round(c, 9 if c.startswith("T_mean") else 6).alias(c) if c != "profile_id" else F.col(c) for c in table.columns])
+    return table.select(*[round_to(F.col(c), 9 if c.startswith("T_mean") else 6).alias(c) if c != "profile_id" else F.col(c) for c in table.columns])
 
 
 def basic_features(spark: SparkSession, d: str) -> DataFrame:
