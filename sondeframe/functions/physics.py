@@ -36,8 +36,13 @@ def wrap_360(degrees: Column) -> Column:
 
 
 def direction(u: Column | str, v: Column | str, sign: int = 1) -> Column:
-    """The angle whose ``components`` with this sign are (u, v), in [0, 360)."""
-    return wrap_360(F.degrees(F.atan2(sign * _c(u), sign * _c(v))))
+    """The angle whose ``components`` with this sign are (u, v), in [0, 360).
+
+    Of a calm wind the zeros' signs tell, as in C: 180 where v is a negative zero, else 0.  Spark's atan2 drops those signs.
+    """
+    x, y = sign * _c(u), sign * _c(v)
+    behind = (x == 0) & (y == 0) & y.cast("string").startswith("-")
+    return F.when(behind, 180.0).otherwise(wrap_360(F.degrees(F.atan2(x, y))))
 
 
 def turning(first: Column, last: Column) -> Column:
