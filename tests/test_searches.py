@@ -176,3 +176,17 @@ def test_silhouettes_by_cells(spark):
     same = spark.createDataFrame([(f"p{i}", [1.0], i % 2) for i in range(6)], "profile_id string, features array<double>, cluster int")
     assert {r["silhouette"] for r in cells.silhouette_cells(same).rows.collect()} == {0.0}
     assert cells.silhouette_cells(df.limit(0)).rows.count() == 0
+
+
+def test_co_membership_writes_no_pairs(spark, monkeypatch):
+    """The plan over the blocks shuffles nothing; pairs are those of a plain count, also where labels are missing."""
+    from sondeframe.operators import pairwise
+
+    monkeypatch.setattr(pairwise, "PART_ROWS", 10)
+    rng = np.random.default_rng(4)
+    rows = [(r, f"p{i}", f"c{rng.integers(0, 3)}") for r in range(4) for i in range(50) if (r + i) % 7]
+    found = evaluate.co_membership(spark.createDataFrame(rows, "run int, profile_id string, cluster string").repartition(3))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    have = {(r, p): c for r, p, c in rows}
+    want = Counter((a, b) for r in range(4) for a, b in itertools.combinations(sorted(f"p{i}" for i in range(50)), 2) if have.get((r, a), 0) == have.get((r, b), 1))
+    assert {(r["a"], r["b"]): r["share"] for r in found.collect()} == {p: c / 4 for p, c in want.items()}
