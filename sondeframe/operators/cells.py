@@ -13,13 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeframe.operators.pairwise import distance_sums
 from sondeframe.sources.storage import checkpointed
 
 #: Profiles to a pivot, about, and the most pivots.
@@ -85,18 +85,12 @@ def silhouette_cells(points: DataFrame, tolerance: float = 0.0, pivots: int | No
             yield pa.RecordBatch.from_arrays([batch.column("profile_id").take(pa.array(row)), pa.array(c.astype(np.int32)), pa.array(sums[row, c])], names=["profile_id", "cj", "d"])
 
     schema = f"profile_id {kinds['profile_id']}, cj int, d double"
-    opened = [(a, b) for a, b in np.argwhere(~far).tolist()]
-    pairs = spark.createDataFrame(opened, "a int, b int") if opened else spark.range(0).selectExpr("int(id) AS a", "int(id) AS b")
-    left = held.join(F.broadcast(pairs), F.col("cell") == F.col("a")).select("a", "b", F.lit(0).alias("side"), "profile_id", "x")
-    right = held.join(F.broadcast(pairs), F.col("cell") == F.col("b")).select("a", "b", F.lit(1).alias("side"), "profile_id", "x")
-
-    def by_member(rows: pd.DataFrame) -> pd.DataFrame:
-        own, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        d = _apart(np.stack(own["x"]), np.stack(other["x"])).sum(axis=1)
-        return pd.DataFrame({"profile_id": own["profile_id"].to_numpy(), "cj": np.full(len(own), of[int(rows["b"].iloc[0])], np.int32), "d": d})
-
-    exact = left.unionByName(right).groupBy("a", "b").applyInPandas(by_member, schema)
-    sums = held.mapInArrow(by_centre, schema).unionByName(exact).groupBy("profile_id", "cj").agg(F.sum("d").alias("d"))
+    coded = spark.createDataFrame([(c, k) for k, c in enumerate(clusters)], f"c {kinds['c']}, k int")  # a row a cluster
+    # pairs of cells that are opened meet in blocks, which hold whole cells or neighbouring ones
+    rows = held.join(F.broadcast(coded), "c").select("profile_id", "x", "cell", F.array("k").alias("labels"))
+    exact = distance_sums(rows, [len(clusters)], far=far if far.any() else None)
+    exact = exact.select("profile_id", F.posexplode("sums").alias("cj", "d"))
+    sums = (held.mapInArrow(by_centre, schema).unionByName(exact) if far.any() else exact).groupBy("profile_id", "cj").agg(F.sum("d").alias("d"))
     total = {k: int(sizes[of == k].sum()) for k in range(len(clusters))}
     known = spark.createDataFrame([(clusters[k], k, total[k]) for k in total], f"c {kinds['c']}, k int, n long")
     own = held.select("profile_id", "c").join(F.broadcast(known.select("c", F.col("k").alias("ci"))), "c")
@@ -106,4 +100,4 @@ def silhouette_cells(points: DataFrame, tolerance: float = 0.0, pivots: int | No
     mean = F.try_divide("d", F.col("n") - (F.col("ci") == F.col("cj")).cast("long"))
     facts = cells.groupBy("profile_id", "c").agg(F.max(F.when(F.col("ci") == F.col("cj"), mean)).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), mean)).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return Silhouettes(facts.select("profile_id", F.col("c").alias("cluster"), score.alias("silhouette")), len(opened), far.size)
+    return Silhouettes(facts.select("profile_id", F.col("c").alias("cluster"), score.alias("silhouette")), int((~far).sum()), far.size)

@@ -190,3 +190,23 @@ def test_co_membership_writes_no_pairs(spark, monkeypatch):
     have = {(r, p): c for r, p, c in rows}
     want = Counter((a, b) for r in range(4) for a, b in itertools.combinations(sorted(f"p{i}" for i in range(50)), 2) if have.get((r, a), 0) == have.get((r, b), 1))
     assert {(r["a"], r["b"]): r["share"] for r in found.collect()} == {p: c / 4 for p, c in want.items()}
+
+
+@pytest.mark.parametrize("d", [3, 20])
+def test_silhouettes_far_from_the_origin_and_in_parts(spark, monkeypatch, d):
+    """Blocks of one profile and several parts; copies have distances of exactly 0."""
+    from sondeframe.operators import pairwise
+
+    monkeypatch.setattr(pairwise, "PART_ROWS", 10)
+    rng = np.random.default_rng(3)
+    x = 1e6 + rng.normal(0, 1, (61, d)) + 3 * (np.arange(61) % 3 == 1)[:, None]
+    x[40:50] = x[30]
+    c = [None if i == 60 else i % 3 for i in range(61)]
+    df = spark.createDataFrame([(f"p{i}", x[i].tolist(), c[i]) for i in range(61)], "profile_id string, features array<double>, cluster int").repartition(4)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {r["profile_id"]: r["silhouette"] for r in evaluate.silhouette(df, block=7).collect()}
+    for i in range(60):
+        means = [apart[i, [j for j in range(60) if c[j] == k and j != i]].mean() for k in range(3)]
+        a, b = means[c[i]], min(m for k, m in enumerate(means) if k != c[i])
+        assert got[f"p{i}"] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    assert got["p60"] == 0.0
