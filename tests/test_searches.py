@@ -210,3 +210,12 @@ def test_silhouettes_far_from_the_origin_and_in_parts(spark, monkeypatch, d):
         a, b = means[c[i]], min(m for k, m in enumerate(means) if k != c[i])
         assert got[f"p{i}"] == pytest.approx((b - a) / max(a, b), abs=1e-9)
     assert got["p60"] == 0.0
+
+
+def test_rounds_that_end_by_their_number_make_them_all(points, rows):
+    """After one round centres are means once, and the inertia is that of their own clusters."""
+    (start,), (once,) = kmeans.fit(points, [Run(3, 2)], max_rounds=0), kmeans.fit(points, [Run(3, 2)], max_rounds=1)
+    x = np.array([v for _, v, g in rows if g == 0])
+    at = ((x[:, None] - start.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert once.centres == pytest.approx(np.array([x[at == c].mean(axis=0) for c in range(3)])) and once.rounds == 1
+    assert once.inertia == pytest.approx(((x[:, None] - once.centres[None]) ** 2).sum(axis=2).min(axis=1).sum())
