@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sondeframe.operators import kmeans
 from sondeframe.operators.kmeans import Run
+from sondeframe.sources.storage import checkpointed
 
 TOLERANCE = 1e-3
 MAX_ROUNDS = 100
@@ -107,17 +108,18 @@ def fit(points: DataFrame, runs: list[Run], max_rounds: int = MAX_ROUNDS) -> tup
     A mixture has fewer components where the rows have fewer different vectors.
     """
     starts = kmeans.fit(points, runs)
-    rows = kmeans.prepared(points).select("x").persist()
+    source = checkpointed(kmeans.prepared(points).select("x"))
+    n = source.count()
+    if not n:
+        return [], 0
+    shift = source.select(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"].toArray()
+    d = len(shift)
+    rows = kmeans.together(source, n, d, d * sum(r.k for r in runs)).persist()  # a component's products are d centres' work
     try:
-        n = rows.count()
-        if not n:
-            return [], 0
-        shift = rows.select(Summarizer.mean(array_to_vector("x")).alias("m")).first()["m"].toArray()
-        d = len(shift)
         found: dict[int, Mixture] = {}
         step = max(1, SUM_BYTES // (8 * (d + d * d) * max(r.k for r in runs)))
         for k in range(0, len(runs), step):
-            found |= _fit(kmeans.together(rows, n, d), {j: (runs[j], starts[j].centres - shift) for j in range(k, min(k + step, len(runs)))}, n, shift, max_rounds)
+            found |= _fit(rows, {j: (runs[j], starts[j].centres - shift) for j in range(k, min(k + step, len(runs)))}, n, shift, max_rounds)
         return [found[j] for j in range(len(runs))], n
     finally:
         rows.unpersist()
