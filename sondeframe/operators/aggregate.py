@@ -203,24 +203,37 @@ def ellipse(points: DataFrame, x: str, y: str, by: list[str], sigmas: float = 2.
 def density(points: DataFrame, x: str, y: str, factor: float = 0.3, cells: int = 100) -> DataFrame:
     """(gx, gy, density): Gaussian kernels with the points' covariance times factor squared, on a square mesh.
 
-    The mesh covers the points' range.  A task adds its points up on the mesh,
-    so that no row is made for a point and a cell.
+    The mesh covers the points' range.  Of a kernel's exponent only one term joins
+    both axes of the mesh, and that one knows no point; so a task adds up products of
+    a row for either axis, and equal points once, with their number.
     """
     x0, x1, y0, y1, a, c, b, n = points.agg(
         F.min(x), F.max(x), F.min(y), F.max(y), F.var_samp(x), F.var_samp(y), F.covar_samp(x, y), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
     ).first()
     precision = np.linalg.inv(np.array([[a, b], [b, c]]) * factor**2)
-    mesh = np.stack(np.meshgrid(np.linspace(x0, x1, cells), np.linspace(y0, y1, cells), indexing="ij"), axis=-1).reshape(-1, 2)
+    gx, gy = np.linspace(x0, x1, cells), np.linspace(y0, y1, cells)
     scale = math.sqrt(np.linalg.det(precision)) / (2 * math.pi * n)
+    # exponents that grow beyond a double's, where points lie on a line nearly, are taken point by point
+    apart = abs(precision[0, 1]) * (x1 - x0) * (y1 - y0) < 300
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(mesh))
+        (p, q), (_, r) = precision
+        total = np.zeros((cells, cells))
+        u, v = gx - (x0 + x1) / 2, gy - (y0 + y1) / 2
         for batch in batches:
-            own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)
-            for k in range(0, len(own), 128):
-                d = mesh[:, None, :] - own[None, k : k + 128]
-                total += np.exp(-0.5 * np.einsum("gpi,ij,gpj->gp", d, precision, d)).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(mesh[:, 0]), pa.array(mesh[:, 1]), pa.array(total)], names=["gx", "gy", "part"])
-
-    held = points.select(F.col(x).cast("double"), F.col(y).cast("double")).na.drop()
+            px, py, number = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            px, py = px - (x0 + x1) / 2, py - (y0 + y1) / 2
+            if apart:
+                rows = np.exp(-0.5 * p * (u - px[:, None]) ** 2 + q * u * py[:, None] - q * (px * py)[:, None])
+                columns = np.exp(-0.5 * r * (v - py[:, None]) ** 2 + q * px[:, None] * v)
+                total += (rows * number[:, None]).T @ columns
+            else:
+                for k in range(len(px)):
+                    dx, dy = (u - px[k])[:, None], (v - py[k])[None]
+                    total += number[k] * np.exp(-0.5 * (p * dx * dx + 2 * q * dx * dy + r * dy * dy))
+        if apart:
+            total *= np.exp(-q * np.outer(u, v))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gx, cells)), pa.array(np.tile(gy, cells)), pa.array(total.ravel())], names=["gx", "gy", "part"])
+
+    held = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop().groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
     return held.mapInArrow(add, "gx double, gy double, part double").groupBy("gx", "gy").agg((F.sum("part") * scale).alias("density"))

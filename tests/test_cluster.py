@@ -134,3 +134,19 @@ def test_scaling_and_imputation(spark):
     for bad in (lambda: M.impute(df, "other"), lambda: M.scale_block(df, ["q"]), lambda: M.scale_block(df, None, "other")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_densities_on_a_line_and_of_repeated_points(spark):
+    """Equal points count as often as they occur; points nearly on a line are added one by one."""
+    from sondeframe.operators.aggregate import density
+
+    rng = np.random.default_rng(6)
+    for noise in (0.5, 1e-3):
+        u = rng.integers(0, 9, 40).astype(float)
+        x = np.stack([u, 2 * u + noise * rng.integers(0, 5, 40)], axis=1)
+        x = np.concatenate([x, x[:15]])
+        inverse = np.linalg.inv(np.cov(x.T) * 0.09)
+        for r in density(spark.createDataFrame(x.tolist(), "a double, b double").repartition(3), "a", "b", cells=5).collect():
+            d = np.array([r["gx"], r["gy"]]) - x
+            want = np.exp(-0.5 * np.einsum("pi,ij,pj->p", d, inverse, d)).mean() * np.sqrt(np.linalg.det(inverse)) / (2 * np.pi)
+            assert r["density"] == pytest.approx(want, rel=1e-6, abs=1e-12)
