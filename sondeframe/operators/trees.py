@@ -6,8 +6,8 @@ both were, so that all pairs that are nearest to each other may merge at once:
 one round folds the columns of all rows inside their tasks and brings together
 the rows of pairs alone.  Rows are tables in the shared folder, a table a round.
 Once few clusters are left, one task merges those.  Single linkage is read off
-the minimum spanning tree: in each round every chain of leaves takes its least
-edge to another one.
+the minimum spanning tree, which needs no matrix: in each round every chain of
+leaves takes its least edge to another one, found over pairs of blocks.
 
 What comes to the driver are sizes, nearest neighbours and merges: a few
 numbers a leaf.  Vectors and distances never do.
@@ -22,9 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondeframe.operators import pairwise
 from sondeframe.sources.storage import shared_folder
 
 METHODS = ("ward", "complete", "average", "single")
@@ -168,17 +170,45 @@ def _chains(names: np.ndarray, near: np.ndarray) -> np.ndarray:
     return names[least[to]]
 
 
-def _outward(chain: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Of each chain the least edge (height, then its ends) that a batch of rows knows to a leaf of another chain."""
+def _outward(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each chain that asks, the least edge (height, then its ends) that a task's pairs of blocks know to a leaf of another chain."""
 
     def run(batches):
+        chain, asking = shared.value
+        best: dict[int, tuple] = {}
+
+        def side(batch: pa.RecordBatch, s: str, r: int) -> tuple[np.ndarray, np.ndarray]:
+            nodes = np.frombuffer(batch.column(f"{s}_cell")[r].as_py(), np.int32)
+            return np.frombuffer(batch.column(f"{s}_x")[r].as_py()).reshape(len(nodes), -1), nodes
+
+        def look(x: np.ndarray, nodes: np.ndarray, y: np.ndarray, others: np.ndarray) -> None:
+            mine = np.flatnonzero(asking[nodes])
+            noise = 1e-13 * ((x**2).sum(axis=1).max() + (y**2).sum(axis=1).max()) if len(mine) and x.shape[1] > pairwise.NARROW else 0.0
+            found = []
+            for k in range(0, len(mine), pairwise.TILE):
+                at = mine[k : k + pairwise.TILE]
+                d = pairwise.squares(x[at], y)
+                d[chain[nodes[at]][:, None] == chain[others]] = np.inf
+                least = d.min(axis=1)
+                i, j = np.nonzero((d <= least[:, None] + noise) & np.isfinite(d))
+                found.append(pd.DataFrame({"node": nodes[at[i]], "near": others[j], "height": pairwise.exact(x[at[i]], y[j])}))
+            for row in _least(pd.concat(found), chain).itertuples(index=False) if found else ():
+                key = (row.height, row.low, row.high)
+                if row.chain not in best or key < best[row.chain][0]:
+                    best[row.chain] = (key, row.node, row.near)
+
         for batch in batches:
-            if len(batch):
-                nodes, d = batch["node"].to_numpy(), np.stack(batch["d"])
-                d[chain[nodes][:, None] == chain] = np.inf
-                near = d.argmin(axis=1)
-                ends = pd.DataFrame({"node": nodes, "near": near, "height": d[np.arange(len(nodes)), near]})
-                yield _least(ends, chain)[["node", "near", "height"]]
+            for r in range(batch.num_rows):
+                x, nodes = side(batch, "a", r)
+                if batch.column("a")[r].as_py() == batch.column("b")[r].as_py():
+                    look(x, nodes, x, nodes)
+                else:
+                    y, others = side(batch, "b", r)
+                    look(x, nodes, y, others)
+                    look(y, others, x, nodes)
+        columns = [pa.array([int(c) for c in best], pa.int32()), *[pa.array([v[0][k] for v in best.values()], t) for k, t in ((0, pa.float64()), (1, pa.int32()), (2, pa.int32()))],
+                   pa.array([v[1] for v in best.values()], pa.int32()), pa.array([v[2] for v in best.values()], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chain", "square", "low", "high", "node", "near"])
 
     return run
 
@@ -188,15 +218,28 @@ def _least(ends: pd.DataFrame, chain: np.ndarray) -> pd.DataFrame:
     return ends.sort_values(["height", "low", "high"]).drop_duplicates("chain").sort_values("chain")
 
 
-def _spanning(rows: DataFrame, n: int) -> list[tuple[int, int, float]]:
-    """Edges (a, b, height) of the minimum spanning tree: the number of chains at least halves in each round, and the matrix is only read."""
+def _spanning(leaves: DataFrame, n: int) -> list[tuple[int, int, float]]:
+    """Edges (a, b, height) of the minimum spanning tree, without a matrix, in few rounds over pairs of blocks.
+
+    In a round every chain takes its least edge to another one; a chain of more
+    than half of the leaves takes none, because the others take theirs.
+    """
+    rows = leaves.select(F.col("leaf").cast("int").alias("profile_id"), "x", F.col("leaf").cast("int").alias("cell"))
+    blocks = pairwise.packed(rows, n, leaves.select(F.size("x")).first()[0])
     chain, found = np.arange(n), []
     while chain.any():
-        known = rows.select("node", "d").mapInPandas(_outward(chain), "node int, near int, height double").toPandas()  # three numbers a leaf at most
-        ends = _least(known, chain)
-        names, near = ends["chain"].to_numpy(), chain[ends["near"]]
-        once = (near[np.searchsorted(names, near)] != names) | (names < near)
-        found += list(ends.loc[once, ["node", "near", "height"]].itertuples(index=False, name=None))
+        sizes = np.bincount(chain, minlength=n)
+        shared = leaves.sparkSession.sparkContext.broadcast((chain, sizes[chain] * 2 <= n))
+        met = pairwise.met(blocks, ["x", "cell"]).mapInArrow(_outward(shared), "chain int, square double, low int, high int, node int, near int")
+        ends = met.groupBy("chain").agg(F.min(F.struct("square", "low", "high", "node", "near")).alias("e")).select("chain", "e.node", "e.near", "e.square").toArrow().sort_by("chain")  # four numbers a chain
+        shared.destroy()
+        own, node, near_leaf, square = (ends.column(c).to_numpy() for c in ("chain", "node", "near", "square"))
+        names = np.unique(chain)
+        at = np.searchsorted(names, own)
+        near = names.copy()
+        near[at] = chain[near_leaf]
+        once = (near[np.searchsorted(names, near[at])] != own) | (own < near[at])
+        found += zip(node[once].tolist(), near_leaf[once].tolist(), np.sqrt(square[once]).tolist(), strict=True)
         chain = _chains(names, near)[np.searchsorted(names, chain)]
     return found
 
@@ -215,11 +258,10 @@ def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> li
     names, sizes = np.array([k for k, _ in first], dtype=np.int32), np.array([n for _, n in first], dtype=float)
     if len(first) < 2:
         return []
+    if method == "single":
+        return _in_order(_spanning(leaves, len(first)), [n for _, n in first], method)
     folder, found = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}", []
     rows = _distances(leaves, len(first), method)
-    if method == "single":
-        rows.write.parquet(folder)
-        return _in_order(_spanning(spark.read.parquet(folder), len(first)), [n for _, n in first], method)
     rows = rows.mapInPandas(_nearest(names), _ROW)
     for step in range(len(first)):
         rows.write.parquet(f"{folder}/{step}")

@@ -93,3 +93,24 @@ def test_a_path_takes_few_rounds(spark, monkeypatch):
     leaves = spark.createDataFrame([(k, [float(g)], 1) for k, g in enumerate(gaps)], "leaf int, x array<double>, n long")
     assert [m[2] for m in trees.agglomerate(leaves, "single")] == pytest.approx(np.diff(gaps).tolist())
     assert all(b <= a / 2 for a, b in zip(rounds, rounds[1:], strict=False))
+
+
+def test_single_linkage_is_exact_beyond_the_leaves_of_a_matrix(spark, monkeypatch):
+    """Blocks of few vectors in several parts, 20 columns, with copies; heights are those of Prim's tree."""
+    from sondeframe.operators import pairwise
+
+    monkeypatch.setattr(K, "MAX_LEAVES", 30)
+    monkeypatch.setattr(pairwise, "PART_ROWS", 20)
+    x = np.random.default_rng(9).normal(100, 1, (90, 20))
+    rows = [(f"p{k}", x[k % 90].tolist()) for k in range(100)]
+    tree = K.linkage_tree(spark.createDataFrame(rows, "profile_id string, x array<double>").repartition(4).select("profile_id", array_to_vector("x").alias("features")), "single")
+    d, inside, heights = np.linalg.norm(x[:, None] - x[None], axis=2), [0], []
+    while len(inside) < 90:
+        rest = [k for k in range(90) if k not in inside]
+        near = d[np.ix_(inside, rest)]
+        heights.append(near.min())
+        inside.append(rest[near.min(axis=0).argmin()])
+    assert [m[2] for m in tree.merges] == pytest.approx(sorted(heights)) and tree.merges[-1][3] == 100
+    scan = {r["k"]: r["silhouette"] for r in K.scan_tree(tree, 3).collect()}
+    for k in (2, 3):
+        assert scan[k] == pytest.approx(K.mean_silhouette(K.hierarchical(tree, k)))
