@@ -233,7 +233,7 @@ def _score(shared):
                 known = np.bincount(owner[found], minlength=docs)
                 head_logs = np.bincount(owner[found], weights=logs[at[found]] if len(head) else None, minlength=docs)
                 tokens, bounds = sequences(words)
-                likelihood = Segments(model, tokens, bounds).likelihood / math.log(10)
+                likelihood = Segments(model, tokens, bounds).likelihood / math.log(10) if model else np.zeros(docs)
                 rest = likelihood - np.bincount(owner, weights=class_logs[classes_of(h)], minlength=docs)
                 d, w = owner[~found], h[~found]
                 order = np.lexsort((w, d))
@@ -255,7 +255,7 @@ def _score(shared):
     return run
 
 
-def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, head_words: int = HEAD_WORDS) -> DataFrame:
+def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, head_words: int = HEAD_WORDS, with_score: bool = True) -> DataFrame:
     """One row per input row: its probability by a count model and by the HMM.
 
     Trained on the rows whose crc32 of the id as text, modulo 7, is not 2 (a
@@ -265,6 +265,8 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and the model is its prior.  Baum-Welch goes on until a round gains less
     than ``tolerance`` of log10 likelihood a training token, or ``most_rounds``.
 
+    Without ``with_score`` nothing is trained beyond the counts, and there is no score.
+
     Columns: the id, held_out, n_tokens, n_known, train_tokens (longs),
     base_score, score (doubles, log10).
     """
@@ -287,9 +289,9 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def summed(step) -> list:
         return training.mapInArrow(step, _SUMS).groupBy("row").agg(*[F.sum(f"s{k}") for k in range(STATES)]).collect()
 
-    model = _model(summed(_first_counts), prior)
+    model = _model(summed(_first_counts), prior) if with_score else None
     before = -math.inf
-    for _ in range(most_rounds if n_docs else 0):
+    for _ in range(most_rounds if n_docs and with_score else 0):
         sums = summed(_expected(context.broadcast(model)))
         model = _model(sums, prior)
         reached = next((r[1] for r in sums if r[0] == LIKELIHOOD), 0.0) / math.log(10) / train_tokens
@@ -322,10 +324,11 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     logs = F.col("head_logs") + F.coalesce("tail_logs", F.lit(0.0))
     end_log = math.log10(n_docs + 1)
     per_token = math.log10(train_tokens + distinct + 1)
-    return scored.join(tails, "row_uid", "left").select(
+    found = scored.join(tails, "row_uid", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(n_docs > 0)).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (logs + end_log - F.col("n_tokens") * per_token).alias("base_score"),
         (F.col("rest") + logs).alias("score"),
     )
+    return found if with_score else found.drop("score")

@@ -125,3 +125,13 @@ def test_training_stops_where_a_round_gains_little(docs_of, rng, monkeypatch):
     assert trained(most_rounds=3, tolerance=0.0)[1] == 3
     wide, fine = trained(tolerance=10.0), trained(tolerance=1e-4)
     assert wide[1] == 2 and 2 < fine[1] <= H.MOST_ROUNDS and fine[0] >= wide[0] - 1e-3
+
+
+def test_base_columns_need_no_training(spark, monkeypatch):
+    from sondeframe.llm import hmm
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 5} x{j % 7}".split() * (k % 3))) for k in range(40) for j in [k * 3]], "doc_id long, text string")
+    want = sorted(hmm.hmm_scores(docs).drop("score").collect())
+    monkeypatch.setattr(hmm, "_expected", None)
+    monkeypatch.setattr(hmm, "_model", None)
+    assert sorted(hmm.hmm_scores(docs, with_score=False).collect()) == want
