@@ -219,3 +219,44 @@ def test_rounds_that_end_by_their_number_make_them_all(points, rows):
     at = ((x[:, None] - start.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert once.centres == pytest.approx(np.array([x[at == c].mean(axis=0) for c in range(3)])) and once.rounds == 1
     assert once.inertia == pytest.approx(((x[:, None] - once.centres[None]) ** 2).sum(axis=2).min(axis=1).sum())
+
+
+def test_narrow_widths_go_on_from_one_another():
+    """Distances of rising widths, narrow ones and wide ones, are those of each width alone."""
+    from sondeframe.operators import pairwise
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(9, 20)), rng.normal(size=(7, 20))
+    widths = [1, 3, 16, 18, None]
+    got = [part.copy() for part in pairwise.distances(x, np.ascontiguousarray(y.T), widths)]
+    for w, part in zip(widths, got, strict=True):
+        assert part == pytest.approx(np.sqrt(((x[:, None, :w] - y[None, :, :w]) ** 2).sum(axis=2)), abs=1e-12)
+
+
+def test_mean_silhouettes_meet_equal_profiles_once(spark, monkeypatch):
+    """Copies are one row with a weight, and means are those over all copies."""
+    met = []
+    sums = evaluate.distance_sums
+
+    def counted(rows, *rest):
+        met.append(rows.count())
+        return sums(rows, *rest)
+
+    monkeypatch.setattr(evaluate, "distance_sums", counted)
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(12, 3)), [1, 5, 2, 1, 7, 1, 1, 3, 1, 2, 1, 4], axis=0)
+    c = (x[:, 0] > 0).astype(int)
+    labels = np.stack([c, 2 * c + (x[:, 1] > 0)], axis=1)
+    df = spark.createDataFrame([(f"p{i}", x[i].tolist(), 0, labels[i].tolist()) for i in range(len(x))], "profile_id string, x array<double>, g int, labels array<int>").repartition(3)
+    got = evaluate.mean_silhouettes(df, [2, 4], [1, None], block=5)
+    assert met == [12]
+    for j, w in enumerate((1, 3)):
+        apart, own, each = np.sqrt(((x[:, None, :w] - x[None, :, :w]) ** 2).sum(axis=2)), labels[:, j], []
+        for i in range(len(x)):
+            if (own == own[i]).sum() == 1:
+                each.append(0.0)
+                continue
+            a = apart[i, own == own[i]].sum() / ((own == own[i]).sum() - 1)
+            b = min(apart[i, own == k].mean() for k in set(own) - {own[i]})
+            each.append((b - a) / max(a, b))
+        assert got[j] == pytest.approx(np.mean(each), abs=1e-9)
