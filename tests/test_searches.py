@@ -260,3 +260,34 @@ def test_mean_silhouettes_meet_equal_profiles_once(spark, monkeypatch):
             b = min(apart[i, own == k].mean() for k in set(own) - {own[i]})
             each.append((b - a) / max(a, b))
         assert got[j] == pytest.approx(np.mean(each), abs=1e-9)
+
+
+def test_two_stages_resample_once(spark, monkeypatch):
+    """The matrix of the query is read from the resampled profiles, which are written once."""
+    from types import SimpleNamespace
+
+    from sondeframe.queries import learning
+
+    seen = []
+    monkeypatch.setattr(learning.cluster, "two_stage", lambda rows, k: seen.append(rows) or SimpleNamespace(assignments=rows))
+    learning.two_stage(spark, "/root/testdata/sf0.001")
+    assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labelings_of_other_groups_are_left_out():
+    """A pair of blocks computes the widths of its own labelings alone."""
+    from sondeframe.operators import pairwise
+
+    begin = np.array([0, 2, 5, 7])
+    assert pairwise.widths_of([4, 4, 9], begin, (0, 1)) == [(4, slice(0, 5))]
+    assert pairwise.widths_of([4, 4, 9], begin, (2,)) == [(9, slice(5, 7))]
+    assert pairwise.widths_of([4, 4, 9], begin, ()) == []
+
+
+def test_equal_profiles_of_a_group_keep_equal_scores(spark):
+    """To the last bit, wherever they stand in a batch."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(7, 23))[np.arange(203) % 7]
+    df = spark.createDataFrame([(f"p{i}", i % 7 % 2, x[i].tolist()) for i in range(203)], "profile_id string, group int, features array<double>").repartition(3)
+    scores = cluster._reduced_groups(df, {0: 23, 1: 23}, 0.99)[1]
+    assert scores.select("group", "features").distinct().count() == 7
