@@ -5,8 +5,13 @@ Units: K, Pa, m, m/s, degrees.  Null in, null out.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ZERO_C = 273.15
 GRAVITY = 9.81
@@ -61,10 +66,19 @@ def celsius(t: Column | str) -> Column:
     return _c(t) - ZERO_C
 
 
-def saturation_pressure(t: Column | str) -> Column:
+LARGEST_EXP = 709.78
+
+
+@F.pandas_udf(DoubleType())
+def c_exp(x: pd.Series) -> pd.Series:
+    """exp by the C library, as DuckDB has it: in Spark's own the last bit differs for some arguments."""
+    return pd.Series([math.inf if v > LARGEST_EXP else math.exp(v) for v in x], dtype=float)
+
+
+def saturation_pressure(t: Column | str, exp: Callable[[Column], Column] = F.exp) -> Column:
     """Over water, in hPa (Magnus form 17.67, 243.5)."""
     c = celsius(t)
-    return 6.112 * F.exp(17.67 * c / (c + 243.5))
+    return 6.112 * exp(17.67 * c / (c + 243.5))
 
 
 def ice_saturation_pressure(t: Column | str) -> Column:
@@ -79,8 +93,11 @@ def usable_dew_point(td: Column | str) -> Column:
 
 
 def relative_humidity(t: Column | str, td: Column | str) -> Column:
-    """In percent, cut to 0 and 105."""
-    rh = 100 * saturation_pressure(usable_dew_point(td)) / saturation_pressure(t)
+    """In percent, cut to 0 and 105.
+
+    Saturated levels are equal but for the last bit, which tells where the humidity is largest.
+    """
+    rh = 100 * saturation_pressure(usable_dew_point(td), c_exp) / saturation_pressure(t, c_exp)
     return F.when(rh.isNotNull(), F.least(F.greatest(rh, F.lit(0.0)), F.lit(105.0)))
 
 
