@@ -189,8 +189,9 @@ def diagnostics(levels: DataFrame, min_levels: int = 5) -> DataFrame:
     """
     zr, t, ws = F.col("zr"), F.col("t"), F.col("ff")
     rows = _stage(levels)
-    rows = rows.withColumn("_in", F.coalesce((zr <= 1000) & t.isNotNull(), F.lit(False)))
-    rows = rows.withColumn("_ts", smooth3("t", _w("_in"))).withColumn("_peak", F.col("_in") & local_maximum("_ts", _w("_in")))
+    rows = rows.withColumn("_in", F.coalesce((zr <= 1000) & t.isNotNull(), F.lit(False))).withColumn("_out", ~F.col("_in"))
+    # the rows inside come first, as in the SQL: means on a half of the last digit go by the order of their sums
+    rows = rows.withColumn("_ts", smooth3("t", _w("_out"))).withColumn("_peak", F.col("_in") & local_maximum("_ts", _w("_out")))
     layers = {"0_500": zr <= 500, "0_1km": zr <= 1000, "0_2km": zr <= 2000, "1_3km": (zr > 1000) & (zr <= 3000), "3_6km": (zr > 3000) & (zr <= 6000)}
     sfc = F.percentile(F.when(zr <= 200, t), F.lit(0.5))
     peak = F.min_by(F.when(F.col("_peak"), F.col("_ts")), F.when(F.col("_peak"), zr))
