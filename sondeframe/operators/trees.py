@@ -6,8 +6,8 @@ both were, so that all pairs that are nearest to each other may merge at once:
 one round folds the columns of all rows inside their tasks and brings together
 the rows of pairs alone.  Rows are tables in the shared folder, a table a round.
 Once few clusters are left, one task merges those.  Single linkage is read off
-the minimum spanning tree, which needs no matrix: in each round every chain of
-leaves takes its least edge to another one, found over pairs of blocks.
+the minimum spanning tree, which needs no matrix: every chain of leaves takes its
+least edge to another one, read off lists of nearest leaves found over pairs of blocks.
 
 What comes to the driver are sizes, nearest neighbours and merges: a few
 numbers a leaf.  Vectors and distances never do.
@@ -33,6 +33,8 @@ METHODS = ("ward", "complete", "average", "single")
 TAIL = 1024  # clusters that one task merges
 TILE = 1024  # vectors on a side of the blocks in which distances are first found
 PART_BYTES = 1 << 26
+LISTED = 8  # nearest leaves of other chains in a leaf's list
+NOBODY = np.iinfo(np.int32).max
 
 _ROW = "node int, d array<double>, near int, height double"
 
@@ -170,80 +172,146 @@ def _chains(names: np.ndarray, near: np.ndarray) -> np.ndarray:
     return names[least[to]]
 
 
-def _outward(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each chain that asks, the least edge (height, then its ends) that a task's pairs of blocks know to a leaf of another chain."""
+def _shortest(group: np.ndarray, square: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Positions of the LISTED least (square, node) of each group; in the order of the groups, which have so many at least."""
+    order = np.lexsort((node, square, group))
+    ends = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+    rank = np.arange(len(order)) - np.repeat(ends, np.diff(np.r_[ends, len(order)]))
+    return order[rank < LISTED]
+
+
+class _Lists:
+    """Of the leaves of a block the LISTED nearest ones of other chains, of equally near ones the first; without so many, the rest is infinitely far."""
+
+    def __init__(self, nodes: np.ndarray) -> None:
+        self.nodes = nodes
+        self.square, self.near = np.full((len(nodes), LISTED), np.inf), np.full((len(nodes), LISTED), NOBODY, dtype=np.int32)
+
+    def take(self, at: np.ndarray, d: np.ndarray, axis: int, x: np.ndarray, y: np.ndarray, others: np.ndarray, noise: float) -> None:
+        """Squares ``d`` of the rows ``at``, which are on that axis, to others, good to the noise; what comes near enough is taken again exactly."""
+        limit = self.square[at, -1]
+        open_ = np.flatnonzero(np.isinf(limit))
+        if len(open_) and d.shape[1 - axis] > LISTED:
+            limit[open_] = np.partition(d.take(open_, axis), LISTED - 1, 1 - axis).take(LISTED - 1, 1 - axis)
+        limit = np.minimum(limit + noise, np.finfo(float).max)
+        found = np.nonzero(d <= np.expand_dims(limit, 1 - axis))
+        i, j = found[axis], found[1 - axis]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        own = at[rows]
+        group = np.concatenate([np.repeat(rows, LISTED), i])
+        square, near = np.concatenate([self.square[own].ravel(), pairwise.exact(x[at[i]], y[j])]), np.concatenate([self.near[own].ravel(), others[j]])
+        kept = _shortest(group, square, near)
+        self.square[own], self.near[own] = square[kept].reshape(-1, LISTED), near[kept].reshape(-1, LISTED)
+
+
+def _listed(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of the leaves that ask, by block, as far as a task's pairs of blocks know them."""
 
     def run(batches):
         chain, asking = shared.value
-        best: dict[int, tuple] = {}
-
-        def side(batch: pa.RecordBatch, s: str, r: int) -> tuple[np.ndarray, np.ndarray]:
-            nodes = np.frombuffer(batch.column(f"{s}_cell")[r].as_py(), np.int32)
-            return np.frombuffer(batch.column(f"{s}_x")[r].as_py()).reshape(len(nodes), -1), nodes
-
-        def look(x: np.ndarray, nodes: np.ndarray, y: np.ndarray, others: np.ndarray) -> None:
-            mine = np.flatnonzero(asking[nodes])
-            noise = 1e-13 * ((x**2).sum(axis=1).max() + (y**2).sum(axis=1).max()) if len(mine) and x.shape[1] > pairwise.NARROW else 0.0
-            found = []
-            for k in range(0, len(mine), pairwise.TILE):
-                at = mine[k : k + pairwise.TILE]
-                d = pairwise.squares(x[at], y)
-                d[chain[nodes[at]][:, None] == chain[others]] = np.inf
-                least = d.min(axis=1)
-                i, j = np.nonzero((d <= least[:, None] + noise) & np.isfinite(d))
-                found.append(pd.DataFrame({"node": nodes[at[i]], "near": others[j], "height": pairwise.exact(x[at[i]], y[j])}))
-            for row in _least(pd.concat(found), chain).itertuples(index=False) if found else ():
-                key = (row.height, row.low, row.high)
-                if row.chain not in best or key < best[row.chain][0]:
-                    best[row.chain] = (key, row.node, row.near)
+        lists: dict[int, _Lists] = {}
+
+        def side(batch: pa.RecordBatch, s: str, r: int) -> tuple[np.ndarray, _Lists, np.ndarray]:
+            at, nodes = batch.column(s)[r].as_py(), np.frombuffer(batch.column(f"{s}_cell")[r].as_py(), np.int32)
+            if at not in lists:
+                lists[at] = _Lists(nodes)
+            return np.frombuffer(batch.column(f"{s}_x")[r].as_py()).reshape(len(nodes), -1), lists[at], np.flatnonzero(asking[nodes])
 
         for batch in batches:
             for r in range(batch.num_rows):
-                x, nodes = side(batch, "a", r)
-                if batch.column("a")[r].as_py() == batch.column("b")[r].as_py():
-                    look(x, nodes, x, nodes)
-                else:
-                    y, others = side(batch, "b", r)
-                    look(x, nodes, y, others)
-                    look(y, others, x, nodes)
-        columns = [pa.array([int(c) for c in best], pa.int32()), *[pa.array([v[0][k] for v in best.values()], t) for k, t in ((0, pa.float64()), (1, pa.int32()), (2, pa.int32()))],
-                   pa.array([v[1] for v in best.values()], pa.int32()), pa.array([v[2] for v in best.values()], pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["chain", "square", "low", "high", "node", "near"])
+                (x, own, mine), (y, other, theirs) = side(batch, "a", r), side(batch, "b", r)
+                noise = 1e-13 * ((x**2).sum(axis=1).max() + (y**2).sum(axis=1).max()) if x.shape[1] > pairwise.NARROW else 0.0
+                one, meeting = own is other, len(np.intersect1d(chain[own.nodes], chain[other.nodes])) > 0
+                both = not one and len(mine) == len(x) and len(theirs) > 0  # then distances serve either side
+                looks = [(x, own, mine, y, other)] if one or both else [(x, own, mine, y, other), (y, other, theirs, x, own)]
+                for p, asks, rows, q, answers in looks:
+                    for k in range(0, len(rows), pairwise.SIDE):
+                        at = rows[k : k + pairwise.SIDE]
+                        d = pairwise.squares(p[at], q)
+                        if meeting:
+                            d[chain[asks.nodes[at]][:, None] == chain[answers.nodes]] = np.inf
+                        asks.take(at, d, 0, p, q, answers.nodes, noise)
+                        if both:
+                            answers.take(theirs, d[:, theirs] if len(theirs) < len(q) else d, 1, q, p[at], asks.nodes[at], noise)
+        yield from _sent((at, own.nodes[some], own.square[some], own.near[some]) for at, own in lists.items() if (some := np.isfinite(own.square[:, 0])).any())
 
     return run
 
 
-def _least(ends: pd.DataFrame, chain: np.ndarray) -> pd.DataFrame:
-    ends = ends.assign(chain=chain[ends["node"]], low=ends[["node", "near"]].min(axis=1), high=ends[["node", "near"]].max(axis=1))
-    return ends.sort_values(["height", "low", "high"]).drop_duplicates("chain").sort_values("chain")
+_LISTS = "block long, nodes binary, square binary, near binary"
+
+
+def _sent(lists) -> Iterator[pa.RecordBatch]:
+    for block, *arrays in lists:
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], names=["block", "nodes", "square", "near"])
+
+
+def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves, squares and nearest leaves, a row a leaf."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name).combine_chunks()])
+    return read("nodes", np.int32), read("square", np.float64).reshape(-1, LISTED), read("near", np.int32).reshape(-1, LISTED)
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The lists of a block's leaves, from all tasks that met it."""
+    nodes, square, near = _received(table)
+    kept = _shortest(np.repeat(nodes, LISTED), square.ravel(), near.ravel())
+    return pa.Table.from_batches(_sent([(table.column("block")[0].as_py(), np.unique(nodes), square.ravel()[kept], near.ravel()[kept])]))
 
 
 def _spanning(leaves: DataFrame, n: int) -> list[tuple[int, int, float]]:
-    """Edges (a, b, height) of the minimum spanning tree, without a matrix, in few rounds over pairs of blocks.
+    """Edges (a, b, height) of the minimum spanning tree, without a matrix, in few passes over pairs of blocks.
 
-    In a round every chain takes its least edge to another one; a chain of more
-    than half of the leaves takes none, because the others take theirs.
+    A pass lists the nearest leaves of other chains for every leaf that asks.
+    A chain takes its least edge as long as none that isn't listed can be less;
+    when no chain can, leaves whose lists are used up ask again, but for those
+    of the largest chain, because the others take theirs.  Lists come to the
+    driver, LISTED squares and leaves for each.
     """
     rows = leaves.select(F.col("leaf").cast("int").alias("profile_id"), "x", F.col("leaf").cast("int").alias("cell"))
     blocks = pairwise.packed(rows, n, leaves.select(F.size("x")).first()[0])
-    chain, found = np.arange(n), []
-    while chain.any():
-        sizes = np.bincount(chain, minlength=n)
-        shared = leaves.sparkSession.sparkContext.broadcast((chain, sizes[chain] * 2 <= n))
-        met = pairwise.met(blocks, ["x", "cell"]).mapInArrow(_outward(shared), "chain int, square double, low int, high int, node int, near int")
-        ends = met.groupBy("chain").agg(F.min(F.struct("square", "low", "high", "node", "near")).alias("e")).select("chain", "e.node", "e.near", "e.square").toArrow().sort_by("chain")  # four numbers a chain
+    chain, asking, found = np.arange(n), np.ones(n, dtype=bool), []
+    square, near = np.full((n, LISTED), np.inf), np.full((n, LISTED), NOBODY, dtype=np.int32)
+    while asking.any():
+        shared = leaves.sparkSession.sparkContext.broadcast((chain, asking))
+        parts = pairwise.met(blocks, ["x", "cell"]).mapInArrow(_listed(shared), _LISTS)
+        nodes, *lists = _received(parts.groupBy("block").applyInArrow(_joined, _LISTS).toArrow())
         shared.destroy()
-        own, node, near_leaf, square = (ends.column(c).to_numpy() for c in ("chain", "node", "near", "square"))
-        names = np.unique(chain)
-        at = np.searchsorted(names, own)
-        near = names.copy()
-        near[at] = chain[near_leaf]
-        once = (near[np.searchsorted(names, near[at])] != own) | (own < near[at])
-        found += zip(node[once].tolist(), near_leaf[once].tolist(), np.sqrt(square[once]).tolist(), strict=True)
-        chain = _chains(names, near)[np.searchsorted(names, chain)]
+        square[nodes], near[nodes] = lists
+        chain, edges, asking = _taken(chain, square, near)
+        found += edges
     return found
 
 
+def _taken(chain: np.ndarray, square: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]], np.ndarray]:
+    """The chains after all edges that the lists prove, those edges, and which leaves must ask."""
+    found, every = [], np.arange(len(chain))
+    while True:
+        names, at = np.unique(chain, return_inverse=True)
+        if len(names) == 1:
+            return chain, found, np.zeros(len(chain), dtype=bool)
+        other = (near != NOBODY) & (chain[np.where(near != NOBODY, near, 0)] != chain[:, None])
+        some, place = other.any(axis=1), other.argmax(axis=1)
+        ends, height = near[every, place], np.where(some, square[every, place], np.inf)
+        order = np.lexsort((np.maximum(every, ends), np.minimum(every, ends), height, at))
+        least = order[np.r_[True, np.diff(at[order]) > 0]]  # a leaf of each chain
+        unlisted = np.where(some, np.inf, square[:, -1])
+        bound = np.full(len(names), np.inf)
+        np.minimum.at(bound, at, unlisted)
+        sure = np.flatnonzero(height[least] < bound)
+        if not len(sure):
+            largest = np.bincount(at).argmax()
+            return chain, found, np.isfinite(unlisted) & (unlisted <= height[least][at]) & (at != largest)
+        node = least[sure]
+        to = names.copy()
+        to[sure] = chain[ends[node]]
+        once = (to[np.searchsorted(names, to[sure])] != names[sure]) | (names[sure] < to[sure])
+        found += zip(node[once].tolist(), ends[node[once]].tolist(), np.sqrt(height[node[once]]).tolist(), strict=True)
+        chain = _chains(names, to)[at]
+
+
 def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size) in order of height; ids of merges go on from the leaves'.
 
@@ -254,16 +322,17 @@ def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> li
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     spark = leaves.sparkSession
-    first = sorted((r["leaf"], r["n"]) for r in leaves.select("leaf", "n").collect())  # two numbers a leaf
-    names, sizes = np.array([k for k, _ in first], dtype=np.int32), np.array([n for _, n in first], dtype=float)
-    if len(first) < 2:
+    first = leaves.select("leaf", "n").toArrow().sort_by("leaf")  # two numbers a leaf
+    names, weights = first.column("leaf").to_numpy().astype(np.int32), first.column("n").to_pylist()
+    sizes = np.array(weights, dtype=float)
+    if len(names) < 2:
         return []
     if method == "single":
-        return _in_order(_spanning(leaves, len(first)), [n for _, n in first], method)
+        return _in_order(_spanning(leaves, len(names)), weights, method)
     folder, found = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}", []
-    rows = _distances(leaves, len(first), method)
+    rows = _distances(leaves, len(names), method)
     rows = rows.mapInPandas(_nearest(names), _ROW)
-    for step in range(len(first)):
+    for step in range(len(names)):
         rows.write.parquet(f"{folder}/{step}")
         rows = spark.read.schema(_ROW).parquet(f"{folder}/{step}")
         if len(names) <= max(tail, 2):
@@ -280,7 +349,7 @@ def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> li
     if len(names) > 1:
         ends = rows.select("node", "d").groupBy().applyInPandas(_last(method, names, sizes), "step int, a int, b int, height double")  # tail rows
         found += [(r["a"], r["b"], r["height"]) for r in ends.orderBy("step").collect()]
-    return _in_order(found, [n for _, n in first], method)
+    return _in_order(found, weights, method)
 
 
 def _in_order(found: list[tuple[int, int, float]], weights: list[int], method: str) -> list[tuple[int, int, float, int]]:
