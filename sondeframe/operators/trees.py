@@ -1,11 +1,12 @@
-"""Agglomeration as rounds over a distributed matrix of distances.
+"""Agglomeration in rounds, over pairs of blocks or a distributed matrix of distances.
 
 A row of the matrix is a cluster with its distances to all others.  Ward,
 complete and average linkage never bring two clusters nearer to a third than
 both were, so that all pairs that are nearest to each other may merge at once:
 one round folds the columns of all rows inside their tasks and brings together
 the rows of pairs alone.  Rows are tables in the shared folder, a table a round.
-Once few clusters are left, one task merges those.  Single linkage is read off
+Once few clusters are left, one task merges those.  Ward's linkage has the same
+rounds without the matrix, because means and sizes tell its distances.  Single linkage is read off
 the minimum spanning tree, which needs no matrix: every chain of leaves takes its
 least edge to another one, read off lists of nearest leaves found over pairs of blocks.
 
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeframe.operators import pairwise
-from sondeframe.sources.storage import shared_folder
+from sondeframe.sources.storage import checkpointed, shared_folder
 
 METHODS = ("ward", "complete", "average", "single")
 TAIL = 1024  # clusters that one task merges
 TILE = 1024  # vectors on a side of the blocks in which distances are first found
 PART_BYTES = 1 << 26
+TASK_PAIRS = 40_000_000  # pairs of clusters to a task of a round of ward's linkage, about
 LISTED = 8  # nearest leaves of other chains in a leaf's list
 NOBODY = np.iinfo(np.int32).max
 
@@ -106,11 +108,11 @@ class _Round:
         return rest.unionByName(rows.join(pairs, "node").select("pair", "node", "d").groupBy("pair").applyInPandas(lambda pair: self.united(pair), _ROW))
 
 
-def _distances(leaves: DataFrame, n: int, method: str) -> DataFrame:
+def _distances(leaves: DataFrame, n: int) -> DataFrame:
     """(node, d): of each leaf the distances to all, in order; the matrix is found in tiles."""
     keyed = leaves.withColumn("own", F.floor(F.col("leaf") / TILE).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // TILE)))
-    left, right = keyed.select(F.col("own").alias("r"), every.alias("c"), "leaf", "x", "n"), keyed.select(every.alias("r"), F.col("own").alias("c"), "leaf", "x", "n")
+    left, right = keyed.select(F.col("own").alias("r"), every.alias("c"), "leaf", "x"), keyed.select(every.alias("r"), F.col("own").alias("c"), "leaf", "x")
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("leaf"), b.sort_values("leaf")
@@ -118,12 +120,7 @@ def _distances(leaves: DataFrame, n: int, method: str) -> DataFrame:
         d = np.zeros((len(a), len(b)))
         for k in range(x.shape[1]):  # in one order for both triangles
             d += np.subtract.outer(x[:, k], y[:, k]) ** 2
-        if method == "ward":
-            p, q = a["n"].to_numpy(float), b["n"].to_numpy(float)
-            d *= 2 * (np.multiply.outer(p, q) / np.add.outer(p, q))
-        else:
-            d = np.sqrt(d)
-        return pd.DataFrame({"node": a["leaf"], "c": b["c"].iloc[0], "d": list(d)})
+        return pd.DataFrame({"node": a["leaf"], "c": b["c"].iloc[0], "d": list(np.sqrt(d))})
 
     tiles = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(tile, "node int, c int, d array<double>")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda t: t["d"]))
@@ -312,12 +309,98 @@ def _taken(chain: np.ndarray, square: np.ndarray, near: np.ndarray) -> tuple[np.
         chain = _chains(names, to)[at]
 
 
+def _ward_squares(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared heights at which clusters of means x, y and sizes p, q would merge; columns in one order, so that both ways give the same bits."""
+    total, step = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+    for k in range(x.shape[1]):
+        np.subtract.outer(x[:, k], y[:, k], out=step)
+        step *= step
+        total += step
+    np.multiply.outer(p, q, out=step)
+    step /= np.add.outer(p, q)
+    step *= 2
+    total *= step
+    return total
+
+
+def _ward_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, height, near): of each cluster the nearest one that a task's pairs of blocks know, of equally near ones the first."""
+    best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def side(batch: pa.RecordBatch, s: str, r: int) -> tuple[np.ndarray, ...]:
+        nodes = np.frombuffer(batch.column(f"{s}_cell")[r].as_py(), np.int32)
+        order = nodes.argsort()
+        x = np.frombuffer(batch.column(f"{s}_x")[r].as_py()).reshape(len(nodes), -1)[order]
+        found = best.setdefault(batch.column(s)[r].as_py(), (nodes[order], np.full(len(nodes), np.inf), np.full(len(nodes), NOBODY, dtype=np.int32)))
+        return x, np.frombuffer(batch.column(f"{s}_weight")[r].as_py())[order], *found
+
+    def nearer(height: np.ndarray, near: np.ndarray, at: slice, d: np.ndarray, axis: int, others: np.ndarray) -> None:
+        place = d.argmin(axis=axis)
+        new, who = np.take_along_axis(d, np.expand_dims(place, axis), axis).ravel(), others[place]
+        better = (new < height[at]) | ((new == height[at]) & (who < near[at]))
+        height[at][better], near[at][better] = new[better], who[better]
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            (x, p, nodes, height, near), (y, q, others, far, next_) = side(batch, "a", r), side(batch, "b", r)
+            one = nodes is others
+            for k in range(0, len(x), pairwise.SIDE):
+                at = slice(k, min(k + pairwise.SIDE, len(x)))
+                d = _ward_squares(x[at], p[at], y, q)
+                if one:
+                    d[np.arange(len(d)), np.arange(len(d)) + k] = np.inf
+                nearer(height, near, at, d, 1, others)
+                if not one:
+                    nearer(far, next_, slice(0, len(y)), d, 0, nodes[at])
+    for nodes, height, near in best.values():
+        some = np.isfinite(height)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(height[some]), pa.array(near[some])], names=["node", "height", "near"])
+
+
+def _ward(leaves: DataFrame, names: np.ndarray, sizes: np.ndarray, tail: int) -> list[tuple[int, int, float]]:
+    """Merges (a, b, squared height) by ward's linkage, without a matrix: clusters are their means and sizes, which tell all distances.
+
+    A round finds each cluster's nearest one over pairs of blocks, and merges all pairs that are nearest to each other.
+    """
+    found = []
+    rows = checkpointed(leaves.select(F.col("leaf").cast("int").alias("node"), "x", F.col("n").cast("double").alias("n")))
+    d = rows.select(F.size("x")).first()[0]
+    while len(names) > max(tail, 2):
+        blocks = pairwise.packed(rows.select(F.col("node").alias("profile_id"), "x", F.col("node").alias("cell"), F.col("n").alias("weight")), len(names), d, parts=min(pairwise.PARTS, math.isqrt(len(names) ** 2 // TASK_PAIRS)))
+        parts = pairwise.met(blocks, ["x", "cell", "weight"]).mapInArrow(_ward_nearest, "node int, height double, near int")
+        ends = parts.groupBy("node").agg(F.min(F.struct("height", "near")).alias("e")).select("node", "e.height", "e.near").toArrow().sort_by("node")  # three numbers a cluster
+        near, height = ends.column("near").to_numpy(), ends.column("height").to_numpy()
+        edges = (near[np.searchsorted(names, near)] == names) & (names < near)
+        left, right = names[edges], near[edges]
+        found += zip(left.tolist(), right.tolist(), height[edges].tolist(), strict=True)
+        later = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"node": right, "pair": left})))  # two numbers a pair
+        own = rows.join(later, "node", "left").groupBy(F.coalesce("pair", "node").alias("to")).agg(F.array_sort(F.collect_list(F.struct("node", "x", "n"))).alias("of"))
+        a, b = F.col("of")[0], F.get("of", F.lit(1))
+        mean = F.zip_with(a["x"], b["x"], lambda u, v: (a["n"] * u + b["n"] * v) / (a["n"] + b["n"]))
+        rows = checkpointed(own.select(F.col("to").alias("node"), F.when(F.size("of") == 2, mean).otherwise(a["x"]).alias("x"), (a["n"] + F.coalesce(b["n"], F.lit(0.0))).alias("n")))
+        total = sizes.copy()
+        total[np.searchsorted(names, left)] += sizes[np.searchsorted(names, right)]
+        stay = ~np.isin(names, right)
+        names, sizes = names[stay], total[stay]
+    if len(names) > 1:
+        last = _last("ward", names, sizes)
+
+        def matrix(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("node")
+            x, n = np.stack(own["x"]), own["n"].to_numpy()
+            return last(pd.DataFrame({"node": own["node"], "d": list(_ward_squares(x, n, x, n))}))
+
+        ends = rows.groupBy().applyInPandas(matrix, "step int, a int, b int, height double")  # tail rows
+        found += [(r["a"], r["b"], r["height"]) for r in ends.orderBy("step").collect()]
+    return found
+
+
 def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size) in order of height; ids of merges go on from the leaves'.
 
     ``leaves`` is (leaf from 0, x, n): different vectors and how often each occurs.
-    The matrix takes 8 bytes for a pair of leaves over all tasks and shrinks by
-    rounds; of equally near clusters those of the first leaves merge first.
+    By complete and average linkage the matrix takes 8 bytes for a pair of leaves over all tasks
+    and shrinks by rounds, by the others there is none; of equally near clusters those of the first leaves merge first.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
@@ -329,8 +412,10 @@ def agglomerate(leaves: DataFrame, method: str = "ward", tail: int = TAIL) -> li
         return []
     if method == "single":
         return _in_order(_spanning(leaves, len(names)), weights, method)
+    if method == "ward":
+        return _in_order(_ward(leaves, names, sizes, tail), weights, method)
     folder, found = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}", []
-    rows = _distances(leaves, len(names), method)
+    rows = _distances(leaves, len(names))
     rows = rows.mapInPandas(_nearest(names), _ROW)
     for step in range(len(names)):
         rows.write.parquet(f"{folder}/{step}")
